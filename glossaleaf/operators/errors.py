@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaleaf.functions import responses
+from glossaleaf.functions.rows import explode_rows
 from glossaleaf.languages import Languages
 from glossaleaf.schemas import ERROR_CATEGORIES
 
@@ -18,9 +19,8 @@ RECORD = [
 def error_rows(df: DataFrame, skip_first: bool = True) -> DataFrame:
     """One row per error block of ``response``; ``error_no`` counts from 1 per response."""
     others = [c for c in df.columns if c != "response"]
-    return df.select(
-        *others, F.posexplode(responses.error_blocks(F.col("response"), skip_first)).alias("_pos", "_error")
-    ).select(*others, (F.col("_pos") + 1).alias("error_no"), "_error.*")
+    blocks = responses.error_blocks(F.col("response"), skip_first)
+    return explode_rows(df, others, blocks, "_pos", "_error").select(*others, (F.col("_pos") + 1).alias("error_no"), "_error.*")
 
 
 def with_validity(errors: DataFrame, languages: Languages) -> DataFrame:

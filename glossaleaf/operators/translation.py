@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossaleaf.functions import keys, responses, text
+from glossaleaf.functions.rows import explode_rows, settled
 from glossaleaf.schemas import SPAN
 
 
@@ -35,8 +36,18 @@ def _phrase(pair: Column) -> Column:
     return text.drop_square_brackets(pair["expression_original"])
 
 
+def _for_each(items: Column, body: Column, function: Callable[[Column, Column], Column]) -> Column:
+    """``function(item, body)`` per item, with ``body`` computed once.
+
+    A lambda that names ``body`` itself would compute it again for every item as soon as
+    the optimizer merges the projections.
+    """
+    return F.zip_with(items, F.array_repeat(body, F.size(items)), function)
+
+
 def _once_each(phrases: Column, body: Column) -> Column:
-    return F.forall(phrases, lambda p: text.occurrences(body, p) == 1)
+    found = _for_each(phrases, body, lambda p, b: text.occurrences(b, p) == 1)
+    return F.forall(found, lambda once: once)
 
 
 def _substituted(draft: Column, pairs: Column) -> Column:
@@ -71,11 +82,12 @@ def with_substitution(df: DataFrame, draft: str = "draft", strict: bool = True)
         "array<struct<expression_original:string,expression_translation:string,"
         "span_original:struct<start:int,end:int>,span_translation:struct<start:int,end:int>>>"
     )
-    return (
-        found.withColumn("draft_replaced", F.when(ok, F.col("_replaced")).otherwise(F.lit("")))
-        .withColumn("spans", F.when(ok, spans).otherwise(empty))
-        .drop("_replaced", "_before", "_after")
-    )
+    return settled(
+        found,
+        translate_status=F.col("translate_status"),
+        draft_replaced=F.when(ok, F.col("_replaced")).otherwise(F.lit("")),
+        spans=F.when(ok, spans).otherwise(empty),
+    ).drop("_replaced", "_before", "_after")
 
 
 def _status(places_ok: Column, spans_ok: Column) -> Column:
@@ -100,8 +112,8 @@ def _strict_spans(df: DataFrame, draft: str) -> DataFrame:
             "translate_status",
             _status(F.col("_placed"), _once_each(F.col("_translations"), F.col("_replaced"))),
         )
-        .withColumn("_before", F.transform("_phrases", lambda p: text.span(F.col("_flat"), p)))
-        .withColumn("_after", F.transform("_translations", lambda p: text.span(F.col("_replaced"), p)))
+        .withColumn("_before", _for_each(F.col("_phrases"), F.col("_flat"), lambda p, b: text.span(b, p)))
+        .withColumn("_after", _for_each(F.col("_translations"), F.col("_replaced"), lambda p, b: text.span(b, p)))
         .drop("_flat", "_phrases", "_translations", "_placed")
     )
 
@@ -150,16 +162,20 @@ def translate(df: DataFrame, draft: str = "draft", skip_first: bool = True, stri
 
 def expression_rows(translated: DataFrame, entry: str = "primary_id") -> DataFrame:
     """One unknown-expression record per placed pair, with a collision-free key."""
-    rows = translated.select(
+    originals = F.transform("spans", lambda s: s["expression_original"])
+    repeats = F.size(F.array_distinct(originals)) < F.size(originals)
+    keep = [
         F.col(entry).alias("primary_id_DiaryEntry"),
         "created_at",
         "language_source",
         "language_annotation",
-        F.transform(F.col("spans"), lambda s: s["expression_original"]).alias("_all"),
-        F.posexplode("spans").alias("_pos", "_span"),
-    )
-    same = F.size(
-        F.filter(F.slice("_all", F.lit(1), F.col("_pos") + 1), lambda e: e == F.col("_span.expression_original"))
+        # only an entry that repeats an expression carries the list along
+        F.when(repeats, originals).alias("_all"),
+    ]
+    rows = explode_rows(translated, keep, "spans", "_pos", "_span")
+    so_far = F.slice("_all", F.lit(1), F.col("_pos") + 1)
+    same = F.coalesce(
+        F.size(F.filter(so_far, lambda e: e == F.col("_span.expression_original"))), F.lit(1)
     )
     return rows.select(
         keys.expression_key(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaleaf.functions import keys, prompts, responses, text
+from glossaleaf.functions.rows import explode_rows
 from glossaleaf.languages import Languages
 from glossaleaf.operators import (
     errors, intake, langid, memory, models, rewriting, store, translation, versions, views,
@@ -34,7 +35,7 @@ def query(function: Query) -> Query:
 
 @query
 def brackets(spark, sf):
-    return given.drafts(spark, sf).select("doc_id", F.posexplode("expressions").alias("ordinal", "expression"))
+    return explode_rows(given.drafts(spark, sf), ["doc_id"], "expressions", "ordinal", "expression")
 
 
 @query
@@ -62,7 +63,7 @@ def response_tail(spark, sf):
 @query
 def translation_pairs(spark, sf):
     pairs = translation.with_pairs(given.translator_responses(spark, sf))
-    return pairs.select("doc_id", F.posexplode("pairs").alias("ordinal", "pair")).select("doc_id", "ordinal", "pair.*")
+    return explode_rows(pairs, ["doc_id"], "pairs", "ordinal", "pair").select("doc_id", "ordinal", "pair.*")
 
 
 @query
@@ -83,7 +84,7 @@ def draft_replaced_by_pattern(spark, sf):
 
 @query
 def pair_spans(spark, sf):
-    placed = given.translated(spark, sf).select("doc_id", F.posexplode("spans").alias("ordinal", "s"))
+    placed = explode_rows(given.translated(spark, sf), ["doc_id"], "spans", "ordinal", "s")
     return placed.select(
         "doc_id",
         "ordinal",
@@ -107,7 +108,7 @@ def pairs_to_expressions(spark, sf):
 
 @query
 def expression_keys(spark, sf):
-    d = given.drafts(spark, sf).select("primary_id", "created_at", F.explode("expressions").alias("expression"))
+    d = explode_rows(given.drafts(spark, sf), ["primary_id", "created_at"], "expressions", "_n", "expression")
     key = keys.expression_key(F.col("primary_id"), F.col("expression"), F.col("created_at"))
     return d.select(F.col("primary_id").alias("entry"), "expression", key.alias("expression_id"))
 
