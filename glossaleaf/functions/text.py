@@ -49,15 +49,35 @@ def flat_space(value: Column) -> Column:
     return F.translate(value, PY_SPACE, " " * len(PY_SPACE))
 
 
-def occurrences(text: Column, phrase: Column) -> Column:
-    """How often a literal phrase occurs, without overlap; -1 for an empty phrase."""
-    removed = F.length(text) - F.length(F.replace(text, phrase, F.lit("")))
-    return F.when(F.length(phrase) > 0, F.floor(removed / F.length(phrase)).cast("int")).otherwise(
-        F.lit(-1)
+def single_spans(body: Column, phrases: Column) -> Column:
+    """Per phrase the span of its one literal occurrence in ``body``; null if it occurs
+    never, more than once, or is empty. 0-based, half-open, in code points.
+
+    ``locate`` counts code points. Each step hands its result on in a struct and the body
+    is repeated by reference, so that nothing is searched or computed twice.
+    """
+    first = F.zip_with(
+        phrases,
+        F.array_repeat(body, F.size(phrases)),
+        lambda p, b: F.struct(
+            p.alias("p"), b.alias("b"), F.length(p).alias("n"), F.call_function("locate", p, b).alias("at")
+        ),
+    )
+    again = F.transform(
+        first,
+        lambda s: F.struct(
+            s["n"].alias("n"),
+            s["at"].alias("at"),
+            F.when((s["at"] > 0) & (s["n"] > 0), F.call_function("locate", s["p"], s["b"], s["at"] + s["n"])).alias("next"),
+        ),
+    )
+    return F.transform(
+        again,
+        lambda s: F.when(
+            s["next"] == 0, F.struct((s["at"] - 1).alias("start"), (s["at"] - 1 + s["n"]).alias("end"))
+        ),
     )
 
 
-def span(text: Column, phrase: Column) -> Column:
-    """Span of the first occurrence: 0-based, half-open, in code points."""
-    start = F.call_function("locate", phrase, text) - F.lit(1)
-    return F.struct(start.alias("start"), (start + F.length(phrase)).alias("end"))
+def all_found(spans: Column) -> Column:
+    return F.forall(spans, lambda s: s.isNotNull())

@@ -74,7 +74,8 @@ def similar_errors(
     """
     group = group or SEARCH_KEYS
     queries = queries.select("query_id", "embedding", *group)
-    memory = memory.select("error_id", "embedding", *group)
+    # both may come from one table: new column identities keep the sides apart
+    memory = memory.select("error_id", "embedding", *group).toDF("error_id", "embedding", *group)
     probe = queries.limit(max_broadcast + 1).toPandas()
     if len(probe) <= max_broadcast:
         found = _scan_memory(probe, memory, k, group, exclude_same_id)

@@ -43,12 +43,15 @@ def with_previous(
     return df.withColumns(out)
 
 
+def ranged(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    return df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id())
+
+
 def _with_previous_spread(
     df: DataFrame, key: str, order: list[str], number: str, previous: dict[str, str]
 ) -> DataFrame:
-    ranged = df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id())
     # written once: the part a row belongs to must not change if a task runs again
-    rows = materialize(ranged, "ordered")
+    rows = materialize(ranged(df, key, order), "ordered")
 
     position: Column = F.struct(*order)
     summary = rows.groupBy(key, "_part").agg(

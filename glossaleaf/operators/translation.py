@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,20 +36,6 @@ def _phrase(pair: Column) -> Column:
     return text.drop_square_brackets(pair["expression_original"])
 
 
-def _for_each(items: Column, body: Column, function: Callable[[Column, Column], Column]) -> Column:
-    """``function(item, body)`` per item, with ``body`` computed once.
-
-    A lambda that names ``body`` itself would compute it again for every item as soon as
-    the optimizer merges the projections.
-    """
-    return F.zip_with(items, F.array_repeat(body, F.size(items)), function)
-
-
-def _once_each(phrases: Column, body: Column) -> Column:
-    found = _for_each(phrases, body, lambda p, b: text.occurrences(b, p) == 1)
-    return F.forall(found, lambda once: once)
-
-
 def _substituted(draft: Column, pairs: Column) -> Column:
     """Each original replaced by its translation, in order, at all its places."""
     return F.aggregate(
@@ -101,20 +87,15 @@ def _status(places_ok: Column, spans_ok: Column) -> Column:
 def _strict_spans(df: DataFrame, draft: str) -> DataFrame:
     phrases = F.transform("pairs", lambda p: text.flat_space(_phrase(p)))
     translations = F.transform("pairs", lambda p: p["expression_translation"])
+    replaced = F.when(text.all_found(F.col("_before")), _substituted(F.col(draft), F.col("pairs")))
+    # a draft that failed is not substituted at all: _replaced and _after are null then
     return (
-        df.withColumn("_flat", text.flat_space(F.col(draft)))
-        .withColumn("_phrases", phrases)
-        .withColumn("_translations", translations)
-        .withColumn("_placed", _once_each(F.col("_phrases"), F.col("_flat")))
-        # a draft that failed is not substituted at all
-        .withColumn("_replaced", F.when(F.col("_placed"), _substituted(F.col(draft), F.col("pairs"))))
+        df.withColumn("_before", text.single_spans(text.flat_space(F.col(draft)), phrases))
+        .withColumn("_replaced", replaced)
+        .withColumn("_after", F.when(F.col("_replaced").isNotNull(), text.single_spans(F.col("_replaced"), translations)))
         .withColumn(
-            "translate_status",
-            _status(F.col("_placed"), _once_each(F.col("_translations"), F.col("_replaced"))),
+            "translate_status", _status(text.all_found(F.col("_before")), text.all_found(F.col("_after")))
         )
-        .withColumn("_before", _for_each(F.col("_phrases"), F.col("_flat"), lambda p, b: text.span(b, p)))
-        .withColumn("_after", _for_each(F.col("_translations"), F.col("_replaced"), lambda p, b: text.span(b, p)))
-        .drop("_flat", "_phrases", "_translations", "_placed")
     )
 
 

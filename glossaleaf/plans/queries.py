@@ -15,6 +15,7 @@ from glossaleaf.operators import (
     errors, intake, langid, memory, models, rewriting, store, translation, versions, views,
 )
 from glossaleaf.sources import given
+from glossaleaf.sources.tables import spread
 from glossaleaf.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -499,13 +500,10 @@ def entry_keys(spark, sf):
     )
 
 
-def lang_profile(spark, sf):
-    return langid.train(given.base(spark, sf), "text", "language_source")
-
-
 @query
 def lang_ident(spark, sf):
-    return langid.detect(given.base(spark, sf), "doc_id", "text", lang_profile(spark, sf))
+    texts = spread(given.base(spark, sf), "doc_id")
+    return langid.detect(texts, "doc_id", "text", langid.train(texts, "text", "language_source"))
 
 
 # ---- store and views ----

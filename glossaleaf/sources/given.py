@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from glossaleaf.functions import keys, text
 from glossaleaf.operators import translation
 from glossaleaf.schemas import CEFR_LEVELS, ERROR_CATEGORIES
+from glossaleaf.sources.tables import spread
 
 # long words become the bracketed expressions of a draft
 LONG_WORD = r"([^\s,.;:|\[\]]{12,})"
@@ -69,7 +70,7 @@ def base_of(documents: DataFrame) -> DataFrame:
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as drafts with their long words in brackets, and those words."""
-    return drafts_of(table(spark, sf_dir, "documents"))
+    return drafts_of(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def drafts_of(documents: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def drafts_of(documents: DataFrame) -> DataFrame:
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return submissions_of(table(spark, sf_dir, "documents"))
+    return submissions_of(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def submissions_of(documents: DataFrame) -> DataFrame:

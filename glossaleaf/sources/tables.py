@@ -21,6 +21,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Gives a scan that offers far fewer pieces than there are cores more of them.
+
+    For text work that costs much more than moving the text. A large table has pieces
+    enough and is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def shaped(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of ``schema``, in order and type; a missing one fails here, not later."""
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
