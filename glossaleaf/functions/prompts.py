@@ -91,12 +91,14 @@ def json_string(value: Column) -> Column:
         pair = F.concat(
             unit(F.shiftright(over, 10) + 0xD800), unit(over.bitwiseAND(F.lit(0x3FF)) + 0xDC00)
         )
-        return F.when(code < 0x7F, ch).when(code >= 0x10000, pair).otherwise(unit(code))
-
-    # only expressions with other characters pay for the per-character form
-    return F.when(F.regexp_like(body, F.lit(r"^[\x20-\x7E]*$")), body).otherwise(
-        F.array_join(F.transform(F.split(body, ""), escape), "")
-    )
+        return F.when(code >= 0x10000, pair).otherwise(unit(code))
+
+    # only the other characters become array items, however long the text
+    other = r"[^\x20-\x7E]"
+    escaped = F.transform(F.regexp_extract_all(body, F.lit(other), F.lit(0)), escape)
+    endings = F.array_append(escaped, F.lit(""))
+    pieces = F.zip_with(F.split(body, other), endings, lambda piece, ending: F.concat(piece, ending))
+    return F.when(F.regexp_like(body, F.lit(other)), F.array_join(pieces, "")).otherwise(body)
 
 
 def json_list(values: Column) -> Column:

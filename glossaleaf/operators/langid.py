@@ -59,24 +59,27 @@ def train(texts: DataFrame, text: str, language: str) -> Profile:
     return Profile(counts.groupBy("gram").agg(*weights), offsets, size <= MAX_BROADCAST_GRAMS)
 
 
-def detect(texts: DataFrame, key: str, text: str, profile: Profile, out: str = "detected_language") -> DataFrame:
-    """(key, language) for every row; null for a text without a trigram.
+def detect(
+    texts: DataFrame, key: str | list[str], text: str, profile: Profile, out: str = "detected_language"
+) -> DataFrame:
+    """(key..., language) for every row; null for a text without a trigram.
 
     With a small profile nothing but one partial sum per text is shuffled. Otherwise each
     text's trigrams are counted first, so that a frequent trigram is one row per text.
     """
+    keys = [key] if isinstance(key, str) else key
     if profile.small:
-        grams = texts.select(key, F.explode_outer(trigrams(F.col(text))).alias("gram")).withColumn(
+        grams = texts.select(*keys, F.explode_outer(trigrams(F.col(text))).alias("gram")).withColumn(
             "c", F.col("gram").isNotNull().cast("long")
         )
     else:
         grams = (
-            texts.select(key, F.explode_outer(trigrams(F.col(text))).alias("gram"))
-            .groupBy(key, "gram")
+            texts.select(*keys, F.explode_outer(trigrams(F.col(text))).alias("gram"))
+            .groupBy(*keys, "gram")
             .agg(F.count("gram").alias("c"))
         )
     scored = grams.join(profile.side(), "gram", "left")
-    sums = scored.groupBy(key).agg(
+    sums = scored.groupBy(*keys).agg(
         F.sum("c").alias("_grams"),
         *[F.sum(F.coalesce(F.col(f"w{i}"), F.lit(0.0)) * F.col("c")).alias(f"s{i}") for i in range(len(profile.offsets))],
     )
@@ -91,4 +94,4 @@ def detect(texts: DataFrame, key: str, text: str, profile: Profile, out: str = "
         ]
     )
     best = F.array_max(scores)["language"]
-    return sums.select(key, F.when(F.col("_grams") > 0, best).alias(out))
+    return sums.select(*keys, F.when(F.col("_grams") > 0, best).alias(out))

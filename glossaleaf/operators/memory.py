@@ -15,6 +15,8 @@ SEARCH_KEYS = ["language_annotation_text", "language_diary_text", "model_id_embe
 RULE_KEYS = ["language_annotation_text", "language_diary_text", "error_rule", "category"]
 
 MAX_BROADCAST_QUERIES = 20_000
+MAX_BROADCAST_NUMBERS = 8_000_000  # 64 MB of doubles
+MAX_BROADCAST_GROUPS = 100_000
 QUERY_BLOCK = 1_024
 MEMORY_BLOCK = 8_192
 FOUND = "query_id long, error_id long, distance double"
@@ -76,6 +78,8 @@ def similar_errors(
     queries = queries.select("query_id", "embedding", *group)
     # both may come from one table: new column identities keep the sides apart
     memory = memory.select("error_id", "embedding", *group).toDF("error_id", "embedding", *group)
+    first = queries.select(F.size("embedding")).first()
+    max_broadcast = min(max_broadcast, MAX_BROADCAST_NUMBERS // max(first[0], 1) if first else 0)
     probe = queries.limit(max_broadcast + 1).toPandas()
     if len(probe) <= max_broadcast:
         found = _scan_memory(probe, memory, k, group, exclude_same_id)
@@ -123,6 +127,8 @@ def _block_pairs(
 
     # one row per group and side: the block counts of both
     blocks = sizes(queries, QUERY_BLOCK, "n_q").join(sizes(memory, MEMORY_BLOCK, "n_m"), group)
+    if blocks.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
+        blocks = F.broadcast(blocks)
 
     def numbered(df: DataFrame, row_id: str, own: str, count: str, other: str, other_count: str) -> DataFrame:
         return (

@@ -29,17 +29,21 @@ def with_previous(
     number: str,
     previous: dict[str, str] | None = None,
     spread: bool | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """Adds ``number`` (1, 2, ... per key in order) and, for each ``{column: name}`` in
-    ``previous``, the column's value in the row before. ``order`` must be unique per key.
+    """Adds ``number`` (1, 2, ... per key in order), for each ``{column: name}`` in
+    ``previous`` the column's value in the row before, and under the name ``total`` the
+    key's row count. ``order`` must be unique per key.
 
     ``spread`` forces or forbids the spread form; by default the key counts decide."""
     previous = previous or {}
     if has_large_key(df, key) if spread is None else spread:
-        return _with_previous_spread(df, key, order, number, previous)
+        return _with_previous_spread(df, key, order, number, previous, total)
     window = Window.partitionBy(key).orderBy(*order)
     out = {number: F.row_number().over(window)}
     out |= {name: F.lag(column).over(window) for column, name in previous.items()}
+    if total:
+        out[total] = F.count("*").over(Window.partitionBy(key))
     return df.withColumns(out)
 
 
@@ -48,7 +52,7 @@ def ranged(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def _with_previous_spread(
-    df: DataFrame, key: str, order: list[str], number: str, previous: dict[str, str]
+    df: DataFrame, key: str, order: list[str], number: str, previous: dict[str, str], total: str | None
 ) -> DataFrame:
     # written once: the part a row belongs to must not change if a task runs again
     rows = materialize(ranged(df, key, order), "ordered")
@@ -65,6 +69,7 @@ def _with_previous_spread(
         key,
         "_part",
         F.coalesce(before, F.lit(0)).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy(key)).alias("_total"),
         *[F.lag(f"_last_{name}").over(parts).alias(f"_carry_{name}") for name in previous.values()],
     )
     local = Window.partitionBy(key, "_part").orderBy(*order)
@@ -82,4 +87,5 @@ def _with_previous_spread(
             .alias(name)
             for name in previous.values()
         ],
+        *([F.col("_total").alias(total)] if total else []),
     )

@@ -6,10 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaleaf.functions import responses
+from glossaleaf.operators import langid
 
 MAX_TRIES = 5
 
 
+def with_detected_language(attempts: DataFrame, entry: str, profile: langid.Profile) -> DataFrame:
+    """Adds detected_language of each attempt's rewritten text; null without one.
+
+    ``entry`` and ``attempt`` together must be unique. Attempts past the last try are not looked at.
+    """
+    texts = attempts.select(entry, "attempt", responses.last_rewriting(F.col("response")).alias("_text"))
+    looked_at = texts.filter(F.col("attempt") <= MAX_TRIES)
+    found = langid.detect(looked_at, [entry, "attempt"], "_text", profile)
+    return attempts.join(found, [entry, "attempt"], "left")
+
+
 def classify_attempts(attempts: DataFrame) -> DataFrame:
     """Needs response, finish_reason, detected_language, language_source."""
     return attempts.withColumn(

@@ -101,28 +101,15 @@ def line_changes(
     and equal lines add up before the shuffle.
     """
     cols = versions.select(entry, *order, text)
-    numbered = ordered.with_previous(cols, entry, order, "_n", spread=spread)
-    last = numbered.groupBy(entry).agg(F.max("_n").alias("_last"))
-    steps = numbered.join(last, entry).select(
-        entry,
-        F.explode(F.split(text, "\n")).alias("line"),
-        F.col("_n"),
-        F.col("_last"),
-    )
-    signed = steps.select(
-        entry,
-        "line",
-        F.explode(
-            F.array(
-                F.struct((F.col("_n") - 1).alias("version_to"), F.lit(1).alias("sign")),
-                F.struct(F.col("_n").alias("version_to"), F.lit(-1).alias("sign")),
-            )
-        ).alias("_step"),
-        "_last",
-    ).filter((F.col("_step.version_to") >= 1) & (F.col("_step.version_to") < F.col("_last")))
-    net = signed.groupBy(entry, F.col("_step.version_to").alias("version_to"), "line").agg(
-        F.sum("_step.sign").alias("net")
+    numbered = ordered.with_previous(cols, entry, order, "_n", spread=spread, total="_last")
+    lines = numbered.select(entry, "_n", "_last", F.explode(F.split(text, "\n")).alias("line"))
+    steps = F.array(
+        F.struct((F.col("_n") - 1).alias("version_to"), F.lit(1).alias("sign")),
+        F.struct(F.col("_n").alias("version_to"), F.lit(-1).alias("sign")),
     )
+    signed = lines.select(entry, "line", "_last", F.inline(steps))
+    real = signed.filter((F.col("version_to") >= 1) & (F.col("version_to") < F.col("_last")))
+    net = real.groupBy(entry, "version_to", "line").agg(F.sum("sign").alias("net"))
     return net.filter("net <> 0").select(
         entry,
         "version_to",

@@ -11,6 +11,7 @@ from glossaleaf.functions import responses, text
 from glossaleaf.languages import Languages
 from glossaleaf.operators import errors as error_ops
 from glossaleaf.operators import intake, langid, memory, rewriting, store, translation
+from glossaleaf.session import materialize
 
 
 @dataclass
@@ -62,8 +63,8 @@ def analyse(
 ) -> Analysis:
     """Submissions and the models' answers (each keyed by primary_id) to the stored tables.
 
-    ``attempts`` also has attempt, finish_reason and detected_language. All joins are on
-    primary_id, so one shuffle of each side serves the chain.
+    ``attempts`` also has attempt, finish_reason and detected_language (see
+    ``rewriting.with_detected_language``). All joins are on primary_id.
     """
     checked = intake.checked(submissions, languages)
     keyed = intake.with_keys(intake.valid(checked))
@@ -71,7 +72,8 @@ def analyse(
 
     answered = entries.join(translator.select("primary_id", "response"), "primary_id", "left")
     answered = answered.withColumn("response", F.coalesce("response", F.lit("")))
-    done = translation.translate(answered, "draft_text", strict=strict)
+    # every table below starts from the translated drafts: written once, read by column
+    done = materialize(translation.translate(answered, "draft_text", strict=strict), "translated")
     ok = F.col("translate_status") == "ok"
 
     found = error_ops.error_rows(

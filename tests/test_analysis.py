@@ -97,3 +97,17 @@ def test_blank_codes_are_detected(spark, sf_dir):
     got = analysis.with_languages(blank, profile).collect()
     right = sum(r.language_source == r.want for r in got)
     assert right / len(got) > 0.95 and {r.language_annotation for r in got} == {"eng"}
+
+
+def test_attempt_languages_are_detected(spark, sf_dir):
+    from glossaleaf.operators import rewriting
+
+    base = given.base(spark, sf_dir)
+    profile = langid.train(base, "text", "language_source")
+    attempts = base.selectExpr(
+        "primary_id", "language_source", "explode(array(1, 2, 6)) as attempt", "text", "'stop' as finish_reason"
+    ).selectExpr("*", "if(attempt = 2, text, concat('<rewriting>', text, '</rewriting>')) as response")
+    got = rewriting.with_detected_language(attempts, "primary_id", profile).collect()
+    assert all(r.detected_language is None for r in got if r.attempt != 1)
+    first = [r for r in got if r.attempt == 1]
+    assert sum(r.detected_language == r.language_source for r in first) / len(first) > 0.95

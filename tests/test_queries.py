@@ -26,3 +26,9 @@ def test_flagship(spark):
 
 def test_every_sql_has_its_query():
     assert set(SQL) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_no_plan_pairs_everything(spark, sf_dir, name):
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
