@@ -51,13 +51,14 @@ class Languages:
             table = spark.createDataFrame(LANGUAGES, "alpha_3 string, alpha_2 string, name string")
             self.small = len(LANGUAGES) <= MAX_BROADCAST_LANGUAGES
         else:
+            table = table.dropDuplicates(["alpha_3"])  # a join must not multiply rows
             probe = table.select("alpha_3").limit(MAX_BROADCAST_LANGUAGES + 1).count()
             self.small = probe <= MAX_BROADCAST_LANGUAGES
         self.table = table
 
     def side(self, *columns: str) -> DataFrame:
         """The dimension as a join side, broadcast only while its checked size allows."""
-        df = self.table.select(*columns).distinct() if len(columns) == 1 else self.table.select(*columns)
+        df = self.table.select(*columns)
         return F.broadcast(df) if self.small else df
 
     def known(self, df: DataFrame, *codes: str) -> DataFrame:

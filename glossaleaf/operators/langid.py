@@ -81,7 +81,7 @@ def detect(
     scored = grams.join(profile.side(), "gram", "left")
     sums = scored.groupBy(*keys).agg(
         F.sum("c").alias("_grams"),
-        *[F.sum(F.coalesce(F.col(f"w{i}"), F.lit(0.0)) * F.col("c")).alias(f"s{i}") for i in range(len(profile.offsets))],
+        *[F.coalesce(F.sum(F.col(f"w{i}") * F.col("c")), F.lit(0.0)).alias(f"s{i}") for i in range(len(profile.offsets))],
     )
     scores = F.array(
         *[

@@ -389,7 +389,7 @@ BODY = {
     "soft_delete": "SELECT primary_id, is_show AND primary_id NOT IN (SELECT diary_id FROM status_events WHERE status = 'error') AS is_show, title_diary FROM entries",
     "apply_results": "SELECT e.primary_id, e.diary_original, t.draft_replaced AS diary_replaced, e.is_show FROM entries e JOIN translated t USING (primary_id)",
     "merge_latest_wins": """
-        SELECT e.primary_id, coalesce(c.level_rewriting, e.level_rewriting) AS level_rewriting, coalesce(c.current_version, e.current_version) AS current_version
+        SELECT e.primary_id, coalesce(c.level_rewriting, e.level_rewriting) AS level_rewriting, coalesce(c.current_version, e.current_version, 0) AS current_version
         FROM entries e LEFT JOIN (SELECT diary_id, max(CASE WHEN status = 'completed' THEN 'C2' END) AS level_rewriting,
             CAST(arg_max(minute(ts), ts) AS INTEGER) AS current_version FROM status_events GROUP BY diary_id) c ON c.diary_id = e.primary_id""",
     "dup_keys": "SELECT job_id, count(*) AS n FROM status_events GROUP BY job_id HAVING count(*) <> 1",

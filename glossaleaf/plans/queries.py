@@ -596,7 +596,9 @@ def merge_latest_wins(spark, sf):
     merged = store.apply_updates(
         given.diary_entries(spark, sf), changes, "primary_id", ["ts"], ["level_rewriting", "current_version"]
     )
-    return merged.select("primary_id", "level_rewriting", "current_version")
+    return merged.select(
+        "primary_id", "level_rewriting", F.coalesce("current_version", F.lit(0)).alias("current_version")
+    )
 
 
 @query
