@@ -167,6 +167,51 @@ def chat_json(prompt: Column) -> Column:
     )
 
 
+def generate_request(
+    prompt: Column,
+    max_length: Column | None = None,
+    temperature: Column | None = None,
+    enable_thinking: Column | None = None,
+) -> Column:
+    """Request body of a server that takes the chat as one text."""
+    return F.to_json(
+        F.struct(
+            prompt.alias("prompt"),
+            with_default(max_length, 512).alias("max_length"),
+            with_default(temperature, 0.7).alias("temperature"),
+            with_default(enable_thinking, True).alias("enable_thinking"),
+        )
+    )
+
+
+def chat_request(
+    model: Column,
+    prompt: Column,
+    max_tokens: Column | None = None,
+    max_length: Column | None = None,
+    temperature: Column | None = None,
+    top_p: Column | None = None,
+) -> Column:
+    """Request body of a server that takes messages and options; max_tokens goes before
+    max_length."""
+    limits = [c for c in (max_tokens, max_length) if c is not None]
+    messages = [
+        F.struct(F.lit(role).alias("role"), prompt[role].alias("content")) for role in ("system", "user")
+    ]
+    return F.to_json(
+        F.struct(
+            model.alias("model"),
+            F.array(*messages).alias("messages"),
+            F.lit(False).alias("stream"),
+            F.struct(
+                with_default(temperature, 0.7).alias("temperature"),
+                F.coalesce(*limits, F.lit(512)).alias("num_predict"),
+                with_default(top_p, 0.9).alias("top_p"),
+            ).alias("options"),
+        )
+    )
+
+
 def with_default(value: Column | None, default) -> Column:
     return F.lit(default) if value is None else F.coalesce(value, F.lit(default))
 

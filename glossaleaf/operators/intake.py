@@ -68,6 +68,17 @@ def with_keys(submissions: DataFrame, separator: str = "_") -> DataFrame:
     )
 
 
+def initial_status(keyed: DataFrame) -> DataFrame:
+    """The status record a job starts with."""
+    return keyed.select(
+        "job_id",
+        F.col("primary_id").alias("diary_id"),
+        F.col("submitted_at").alias("ts"),
+        F.lit("processing").alias("status"),
+        F.lit("").alias("message"),
+    )
+
+
 def with_settings(submissions: DataFrame, draft: str = "draft_text") -> DataFrame:
     """Adds one settings struct per task. Flags come from optional columns such as
     ``rewriter_is_execute``; the token budget follows from the draft."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaleaf.functions import keys
+from glossaleaf.session import materialize
 
 SEARCH_KEYS = ["language_annotation_text", "language_diary_text", "model_id_embedding"]
 RULE_KEYS = ["language_annotation_text", "language_diary_text", "error_rule", "category"]
@@ -204,12 +205,20 @@ def with_texts(found: DataFrame, memory: DataFrame) -> DataFrame:
 # ---- approximate variant ----
 
 
-def cell_centres(memory: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
-    """K-means centres of the stored vectors: ``cells`` rows, whatever the table size."""
+def cell_centres(memory: DataFrame, cells: int, seed: int = 7, train_rows: int = 500_000) -> np.ndarray:
+    """K-means centres of the stored vectors: ``cells`` rows, whatever the table size.
+
+    The centres only say where a cell is; every stored vector still belongs to one. So
+    about ``train_rows`` of them are enough to place the centres, and only those are
+    read again in each round.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     vectors = memory.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    rows = vectors.count()
+    if rows > train_rows:
+        vectors = materialize(vectors.sample(train_rows / rows, seed), "centre-training")
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(vectors)
     return np.array([list(c) for c in model.clusterCenters()])
 

@@ -19,31 +19,39 @@ GENERATED = [
 
 
 def generate(
-    requests: DataFrame, model: Callable[[list[str]], list[dict]], chat: str = "chat"
+    requests: DataFrame,
+    model: Callable[[list[str]], list[dict]],
+    chat: str = "chat",
+    chats_per_call: int = 64,
 ) -> DataFrame:
-    """Runs ``model`` over the chats, a batch at a time, on the executors.
+    """Runs ``model`` over the chats on the executors, ``chats_per_call`` at a time.
 
     ``model`` gets a list of JSON chats and returns one dict per chat with ``content``
     and, if it has them, ``finish_reason``, ``prompt_tokens`` and ``completion_tokens``.
-    A batch that fails does not fail the job: its rows carry the message in ``error``.
+    A call that fails is repeated chat by chat; a chat that still fails does not fail the
+    job, its row carries the message in ``error``.
     """
     schema = T.StructType([*requests.schema.fields, *GENERATED])
     names = schema.fieldNames()
 
+    def ask(chats: list[str]) -> list[dict]:
+        try:
+            return list(model(chats))
+        except Exception as problem:  # noqa: BLE001 - any model failure becomes data
+            if len(chats) == 1:
+                return [{"error": str(problem)}]
+            return [answer for one in chats for answer in ask([one])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                answers = model(batch[chat].tolist())
-                errors = [None] * len(batch)
-            except Exception as problem:  # noqa: BLE001 - any model failure becomes data
-                answers = [{}] * len(batch)
-                errors = [str(problem)] * len(batch)
+            chats = batch[chat].tolist()
+            answers = [a for i in range(0, len(chats), chats_per_call) for a in ask(chats[i: i + chats_per_call])]
             yield batch.assign(
                 response=[a.get("content") for a in answers],
                 finish_reason=[a.get("finish_reason", "unknown") for a in answers],
                 prompt_tokens=pd.array([a.get("prompt_tokens") for a in answers], dtype="Int32"),
                 completion_tokens=pd.array([a.get("completion_tokens") for a in answers], dtype="Int32"),
-                error=errors,
+                error=[a.get("error") for a in answers],
             )[names]
 
     return requests.mapInPandas(run, schema)
@@ -54,12 +62,31 @@ def recorded(requests: DataFrame, responses: DataFrame, key: str) -> DataFrame:
     return requests.join(responses, key, "left")
 
 
-def embed(texts: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """Adds ``embedding``: the model's vector of each text, batch by batch."""
+def embed(
+    texts: DataFrame,
+    text: str,
+    model: Callable[[list[str]], list[list[float]]],
+    texts_per_call: int = 256,
+    empty_on_error: bool = False,
+) -> DataFrame:
+    """Adds ``embedding``: the model's vector of each text.
+
+    A failing model fails the job, or with ``empty_on_error`` gives the texts of that call
+    an empty vector.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(model(batch.tolist()))
+            asked, found = batch.tolist(), []
+            for i in range(0, len(asked), texts_per_call):
+                part = asked[i: i + texts_per_call]
+                try:
+                    found += model(part)
+                except Exception:  # noqa: BLE001 - the caller chose what a failure means
+                    if not empty_on_error:
+                        raise
+                    found += [[] for _ in part]
+            yield pd.Series(found, dtype=object)
 
     return texts.withColumn("embedding", vectors(F.col(text)))

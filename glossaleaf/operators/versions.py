@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossaleaf.functions import keys
-from glossaleaf.operators import ordered
+from glossaleaf.operators import ordered, store
 
 
 def version_numbers(
@@ -91,6 +91,42 @@ def history_rows(changes: DataFrame, order: list[str], spread: bool | None = Non
     )
 
 
+def apply_versions(entries: DataFrame, history: DataFrame) -> DataFrame:
+    """Entries with current_version raised by their records, whatever kind of change."""
+    changes = history.select(
+        F.col("primary_id_DiaryEntry").alias("primary_id"), F.col("version_to").alias("current_version")
+    )
+    return store.apply_updates(entries, changes, "primary_id", ["current_version"], ["current_version"])
+
+
+def edit_texts(
+    entries: DataFrame, edits: DataFrame, field: str, spread: bool | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(entries after the edits, version records) for edits of one text column.
+
+    ``edits`` has primary_id, at and text; ``at`` is unique per entry. A null text is no
+    edit, nor is one that repeats the text before it. Edits of unknown entries are left out.
+    """
+    start = entries.select("primary_id", F.lit(None).cast(edits.schema["at"].dataType).alias("at"), F.col(field).alias("text"))
+    known = edits.filter("text is not null").join(entries.select("primary_id"), "primary_id", "left_semi")
+    # the stored text sorts first: null comes before every time
+    texts = start.unionByName(known.select("primary_id", "at", "text"))
+    pairs = version_pairs(texts, "primary_id", ["at"], "text", spread)
+    records = text_changes(pairs, field).select(
+        keys.history_key(F.col("primary_id"), F.col("version_to")).alias("history_id"),
+        F.col("primary_id").alias("primary_id_DiaryEntry"),
+        "version_from",
+        "version_to",
+        F.col("at").alias("created_at"),
+        "changes",
+    )
+    updates = pairs.select(
+        "primary_id", F.col("new_text").alias(field), F.col("version_to").alias("current_version")
+    )
+    updated = store.apply_updates(entries, updates, "primary_id", ["current_version"], [field, "current_version"])
+    return updated, records
+
+
 def line_changes(
     versions: DataFrame, entry: str, order: list[str], text: str, spread: bool | None = None
 ) -> DataFrame:

@@ -254,6 +254,13 @@ CTE = {
         SELECT conv_id, turn, old_text, text AS new_text,
             row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version_to
         FROM turns WHERE n > 1 AND old_text <> text""",
+    "real_edits": f"""
+        SELECT * FROM (SELECT primary_id, turn, text, lag(text) OVER (PARTITION BY primary_id ORDER BY turn) AS old FROM (
+            SELECT primary_id, -1 AS turn, diary_rewritten AS text FROM entries
+            UNION ALL SELECT k, turn, t FROM (SELECT {diary_key(created_at('conv_id'))} AS k, turn,
+                CASE turn % 4 WHEN 0 THEN text WHEN 3 THEN NULL ELSE 'same' END AS t FROM conversations)
+            WHERE t IS NOT NULL AND k IN (SELECT primary_id FROM entries)))
+        WHERE turn >= 0 AND old <> text""",
     "grams": """
         SELECT doc_id, language_source, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
         FROM (SELECT doc_id, language_source, string_split(text, '') AS c FROM base)""",
@@ -327,6 +334,12 @@ BODY = {
         SELECT doc_id, '[' || {message("'system'", 'system')} || ', ' || {message("'user'", '"user"')} || ']' AS prompt,
             CASE WHEN doc_id % 2 = 0 THEN 900 ELSE 512 END AS max_length, CAST(0.7 AS DOUBLE) AS temperature,
             doc_id % 3 <> 0 AS enable_thinking, CAST(0.9 AS DOUBLE) AS top_p FROM translator_prompts""",
+    "request_bodies": f"""
+        SELECT doc_id, CAST(to_json({{'prompt': '[' || {message("'system'", 'system')} || ', ' || {message("'user'", '"user"')} || ']',
+                'max_length': CASE WHEN doc_id % 2 = 0 THEN 900 ELSE 512 END, 'temperature': CAST(0.7 AS DOUBLE), 'enable_thinking': true}}) AS VARCHAR) AS generate_body,
+            CAST(to_json({{'model': 'tutor', 'messages': [{{'role': 'system', 'content': system}}, {{'role': 'user', 'content': "user"}}],
+                'stream': false, 'options': {{'temperature': CAST(0.7 AS DOUBLE), 'num_predict': CASE WHEN doc_id % 2 = 0 THEN 900 ELSE 512 END,
+                'top_p': CAST(0.9 AS DOUBLE)}}}}) AS VARCHAR) AS chat_body FROM translator_prompts""",
     "chat_messages": f"SELECT conv_id, turn, {message('role', 'text')} AS message FROM conversations",
     "generated_translations": f"""
         SELECT doc_id, array_to_string(list_transform(expressions, lambda x: '<bracket>' || x || '</bracket><translation>t_' || {word('x')} || '</translation>'), '') AS response,
@@ -356,6 +369,7 @@ BODY = {
             CASE WHEN lang_diary_body <> '' AND lang_annotation <> '' THEN {strip('lang_annotation')} END AS language_annotation
         FROM submissions_checked WHERE reject_reason IS NULL""",
     "intake_rejected": "SELECT job_id, reject_reason FROM submissions_checked WHERE reject_reason IS NOT NULL",
+    "initial_status": "SELECT job_id, primary_id AS diary_id, created_at AS ts, 'processing' AS status, '' AS message FROM submissions_checked WHERE reject_reason IS NULL",
     "lang_code_invalid": f"SELECT job_id, {strip('lang_diary_body')} AS code FROM submissions WHERE {strip('lang_diary_body')} <> '' AND {strip('lang_diary_body')} NOT IN (SELECT alpha_3 FROM langs)",
     "entry_keys": f"SELECT doc_id, {diary_key('created_at')} AS run_key, {diary_key('created_at', '-')} AS record_key FROM base",
     "lang_ident": """
@@ -406,8 +420,16 @@ BODY = {
         SELECT sha256("primary_id_DiaryEntry" || '_' || version_to) AS history_id, "primary_id_DiaryEntry",
             CAST(version_to - 1 AS INTEGER) AS version_from, CAST(version_to AS INTEGER) AS version_to, created_at, changes FROM (
             SELECT *, {change_json('add')} AS changes, row_number() OVER (PARTITION BY "primary_id_DiaryEntry" ORDER BY created_at, primary_id) AS version_to FROM expressions)""",
+    "current_versions": """
+        SELECT e.primary_id, CAST(coalesce(v.n, e.current_version, 0) AS INTEGER) AS current_version, e.title_diary FROM entries e
+        LEFT JOIN (SELECT "primary_id_DiaryEntry" AS id, count(*) AS n FROM expressions GROUP BY 1) v ON v.id = e.primary_id""",
+    "edit_texts": """
+        SELECT e.primary_id, coalesce(v.last_text, e.diary_rewritten) AS diary_rewritten,
+            CAST(coalesce(v.n, e.current_version, 0) AS INTEGER) AS current_version
+        FROM entries e LEFT JOIN (SELECT primary_id, count(*) AS n, arg_max(text, turn) AS last_text FROM real_edits GROUP BY 1) v
+            ON v.primary_id = e.primary_id""",
     "stream_submissions": f"""
-        SELECT job_id, primary_id, level_rewriting, reject_reason,
+        SELECT job_id, primary_id, level_rewriting, reject_reason, CASE WHEN reject_reason IS NULL THEN 'processing' END AS status,
             CASE WHEN lang_diary_body <> '' AND lang_annotation <> '' THEN {strip('lang_diary_body')} END AS language_source
         FROM submissions_checked""",
     "stream_unique_jobs": "SELECT DISTINCT job_id, diary_id FROM status_events",

@@ -379,6 +379,17 @@ def chat_payload(spark, sf):
     )
 
 
+@query
+def request_bodies(spark, sf):
+    d = _named_drafts(spark, sf).withColumn("p", _translator_prompts(spark, sf))
+    limit = F.when(given.case("doc_id", 2, 0), 900)
+    return d.select(
+        "doc_id",
+        prompts.generate_request(prompts.chat_json(F.col("p")), limit).alias("generate_body"),
+        prompts.chat_request(F.lit("tutor"), F.col("p"), None, limit).alias("chat_body"),
+    )
+
+
 @query
 def chat_messages(spark, sf):
     turns = given.table(spark, sf, "conversations")
@@ -482,6 +493,11 @@ def intake_rejected(spark, sf):
     return intake.rejected(_checked_submissions(spark, sf)).select("job_id", "reject_reason")
 
 
+@query
+def initial_status(spark, sf):
+    return intake.initial_status(intake.with_keys(intake.valid(_checked_submissions(spark, sf))))
+
+
 @query
 def lang_code_invalid(spark, sf):
     code = text.strip(F.col("lang_diary_body"))
@@ -646,6 +662,30 @@ def version_history(spark, sf):
     return versions.history_rows(changes, ["created_at", "change_id"])
 
 
+@query
+def current_versions(spark, sf):
+    """Added expressions raise the version of their entry."""
+    table = given.unknown_expressions(spark, sf)
+    changes = table.select("primary_id_DiaryEntry", "created_at", F.col("primary_id").alias("change_id"), F.lit("{}").alias("changes"))
+    history = versions.history_rows(changes, ["created_at", "change_id"])
+    raised = versions.apply_versions(views.as_records(given.diary_entries(spark, sf)), history)
+    return raised.select("primary_id", "current_version", "title_diary")
+
+
+@query
+def edit_texts(spark, sf):
+    entries = views.as_records(given.diary_entries(spark, sf))
+    updated, _ = versions.edit_texts(entries, given.text_edits(spark, sf), "diary_rewritten")
+    return updated.select("primary_id", "diary_rewritten", "current_version")
+
+
+@query
+def edit_history(spark, sf):
+    entries = views.as_records(given.diary_entries(spark, sf))
+    _, records = versions.edit_texts(entries, given.text_edits(spark, sf), "diary_rewritten")
+    return records
+
+
 # ---- streams ----
 
 

@@ -233,6 +233,17 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
 
 
+def text_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation turn as an edit of one entry; every fourth repeats the one before."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(
+        diary_key(F.col("conv_id")).alias("primary_id"),
+        created_at(F.col("turn")).alias("at"),
+        F.when(F.col("turn") % 4 == 3, F.lit(None)).when(F.col("turn") % 4 == 2, "same").when(F.col("turn") % 4 == 1, "same")
+        .otherwise(F.col("text")).alias("text"),
+    )
+
+
 def error_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label")
     return table(spark, sf_dir, "embeddings").select(

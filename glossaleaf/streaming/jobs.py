@@ -24,23 +24,26 @@ def _run(query) -> None:
 
 
 def status_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, state = fresh_path(spark, "status"), fresh_path(spark, "status-state")
+    out, state = fresh_path(spark, "jobs"), fresh_path(spark, "jobs-state")
     events = given.status_of(_stream(spark, sf_dir, "events"))
     _run(submissions.run_batches(events, submissions.latest_status, out, state))
-    return submissions.read_status(spark.read.parquet(out))
+    return submissions.read_status(spark.read.parquet(f"{out}/status"))
 
 
 def intake_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, state = fresh_path(spark, "intake"), fresh_path(spark, "intake-state")
 
-    def step(batch: DataFrame) -> DataFrame:
+    def step(batch: DataFrame) -> dict[str, DataFrame]:
         given_rows = given.submissions_of(batch)
         checked = intake.checked(given_rows, Languages(batch.sparkSession))
         good = intake.with_codes(intake.with_keys(checked))
-        return good.select("job_id", "primary_id", "language_source", "level_rewriting", "reject_reason")
+        seen = good.select("job_id", "primary_id", "language_source", "level_rewriting", "reject_reason")
+        return {"seen": seen, "status": intake.initial_status(intake.valid(good))}
 
     _run(submissions.run_batches(_stream(spark, sf_dir, "documents"), step, out, state))
-    return spark.read.parquet(out).drop("batch")
+    seen, status = (spark.read.parquet(f"{out}/{name}") for name in ("seen", "status"))
+    started = status.select("job_id", "status")
+    return seen.join(started, "job_id", "left").drop("batch")
 
 
 def unique_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,16 +12,17 @@ from glossaleaf.operators import store
 
 
 def run_batches(
-    stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
+    stream: DataFrame, step: Callable[[DataFrame], dict[str, DataFrame]], out: str, checkpoint: str
 ) -> StreamingQuery:
-    """Applies a batch transform to what has arrived and appends the result.
+    """Applies a batch transform to what has arrived and appends its tables, by name.
 
-    Each micro-batch owns the folder ``batch=N``, which a repeat of that batch replaces,
-    so a restart after a lost driver writes nothing twice.
+    Each micro-batch owns the folder ``<name>/batch=N``, which a repeat of that batch
+    replaces, so a restart after a lost driver writes nothing twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        step(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        for name, table in step(batch).items():
+            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -31,9 +32,9 @@ def run_batches(
     )
 
 
-def latest_status(batch: DataFrame) -> DataFrame:
+def latest_status(batch: DataFrame) -> dict[str, DataFrame]:
     """A micro-batch shrinks to one record per job; the reader takes the latest of those."""
-    return store.latest_per_key(batch, "job_id", ["ts"])
+    return {"status": store.latest_per_key(batch, "job_id", ["ts"])}
 
 
 def read_status(batches: DataFrame) -> DataFrame:

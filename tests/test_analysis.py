@@ -16,7 +16,7 @@ def key(second):
     return f"2024-01-02_2024-01-02T03:04:{second:02}"
 
 
-def run(spark, **options):
+def chain_inputs(spark):
     at = [datetime(2024, 1, 2, 3, 4, s) for s in range(4)]
     submitted = spark.createDataFrame(
         [
@@ -55,9 +55,11 @@ def run(spark, **options):
         "primary_id string, attempt int, response string, finish_reason string, detected_language string",
     )
     reviews = spark.createDataFrame([(key(0), "<review>r0</review>"), (key(1), "<review>r1</review>")], translator.schema)
-    return analysis.analyse(
-        submitted, translator, archivist, attempts, reviews, Languages(spark), "tutor", "embedder", **options
-    )
+    return [submitted, translator, archivist, attempts, reviews]
+
+
+def run(spark, inputs=None):
+    return analysis.analyse(*(inputs or chain_inputs(spark)), Languages(spark), "tutor", "embedder")
 
 
 def test_whole_chain(spark):
@@ -111,3 +113,27 @@ def test_attempt_languages_are_detected(spark, sf_dir):
     assert all(r.detected_language is None for r in got if r.attempt != 1)
     first = [r for r in got if r.attempt == 1]
     assert sum(r.detected_language == r.language_source for r in first) / len(first) > 0.95
+
+
+def test_stream_of_submissions_equals_batch(spark, tmp_path):
+    """Submissions that arrive one file at a time give the tables of one batch run."""
+    from glossaleaf.streaming import submissions
+
+    inputs = chain_inputs(spark)
+    submitted = inputs[0]
+    for i, row in enumerate(submitted.collect()):
+        spark.createDataFrame([row], submitted.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = (
+        spark.readStream.schema(submitted.schema).option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    )
+
+    def step(batch):
+        done = run(spark, inputs=[batch, *inputs[1:]])
+        return {"entries": done.entries, "expressions": done.expressions, "rejected": done.rejected}
+
+    submissions.run_batches(stream, step, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    whole = run(spark)
+    for name, table in (("entries", whole.entries), ("expressions", whole.expressions), ("rejected", whole.rejected)):
+        streamed = spark.read.parquet(f"{tmp_path}/out/{name}").select(*table.columns)
+        assert sorted(map(str, streamed.collect())) == sorted(map(str, table.collect()))

@@ -96,7 +96,9 @@ def test_model_failure_becomes_a_row(spark):
         return [{"content": c.upper(), "finish_reason": "stop", "completion_tokens": 1} for c in chats]
 
     good = models.generate(spark.createDataFrame([("hi",)], "chat string"), model).first()
-    bad = models.generate(spark.createDataFrame([("bad",)], "chat string"), model).first()
+    mixed = models.generate(spark.createDataFrame([("bad",), ("ok",)], "chat string").coalesce(1), model).collect()
+    bad = mixed[0]
+    assert mixed[1].response == "OK"
     assert (good.response, good.finish_reason, good.completion_tokens, good.prompt_tokens, good.error) == ("HI", "stop", 1, None, None)
     assert (bad.response, bad.finish_reason, bad.error) == (None, "unknown", "no answer")
 
@@ -106,6 +108,16 @@ def test_embedding(spark):
     assert list(df.first().embedding) == [2.0, 1.0]
 
 
+def test_embedding_failure(spark):
+    def model(texts):
+        raise RuntimeError("down")
+
+    texts = spark.createDataFrame([("ab",)], "t string")
+    assert models.embed(texts, "t", model, empty_on_error=True).first().embedding == []
+    with pytest.raises(Exception, match="down"):
+        models.embed(texts, "t", model).collect()
+
+
 def test_recorded_answers(spark):
     asked = spark.createDataFrame([(1,), (2,)], "id int")
     answers = spark.createDataFrame([(1, "x")], "id int, response string")

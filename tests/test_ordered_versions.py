@@ -83,3 +83,18 @@ def test_expression_change_json(spark):
     }
     with pytest.raises(ValueError):
         versions.expression_change("edit", F.lit("id"), F.lit("a"), F.lit("b"))
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_edits_become_versions(spark, spread):
+    entries = spark.createDataFrame([("a", "t0", 0), ("b", "u0", 0)], "primary_id string, diary_rewritten string, current_version int")
+    edits = spark.createDataFrame(
+        [("a", 1, "t1"), ("a", 2, "t1"), ("a", 3, None), ("a", 4, "t2"), ("b", 1, "u0"), ("zz", 1, "no")],
+        "primary_id string, at int, text string",
+    )
+    updated, records = versions.edit_texts(entries, edits, "diary_rewritten", spread)
+    assert sorted(tuple(r) for r in updated.collect()) == [("a", "t2", 2), ("b", "u0", 0)]
+    got = sorted((r.primary_id_DiaryEntry, r.version_from, r.version_to, r.created_at) for r in records.collect())
+    assert got == [("a", 0, 1, 1), ("a", 1, 2, 4)]
+    raised = versions.apply_versions(entries, records)
+    assert {r.primary_id: r.current_version for r in raised.collect()} == {"a": 2, "b": 0}

@@ -26,9 +26,9 @@ def test_status_stream_equals_batch_and_restart_adds_nothing(spark, sf_dir, tmp_
         )
         query = submissions.run_batches(stream, submissions.latest_status, f"{tmp_path}/out", f"{tmp_path}/state")
         query.awaitTermination()
-        got = submissions.read_status(spark.read.parquet(f"{tmp_path}/out"))
+        got = submissions.read_status(spark.read.parquet(f"{tmp_path}/out/status"))
         assert rows(got.select(*events.columns)) == rows(store.latest_per_key(events, "job_id", ["ts"]).select(*events.columns))
-    assert spark.read.parquet(f"{tmp_path}/out").select("batch").distinct().count() > 1
+    assert spark.read.parquet(f"{tmp_path}/out/status").select("batch").distinct().count() > 1
 
 
 def test_repeated_submissions_are_dropped(spark, sf_dir, tmp_path):

@@ -150,6 +150,20 @@ def test_rewriter_prompt_repeats_the_format_after_failed_parses(spark):
     assert again == plain + 2 * prompts.REWRITER_RETRY
 
 
+def test_request_bodies(spark):
+    prompt = F.struct(F.lit("s").alias("system"), F.lit('u "é"').alias("user"))
+    body = json.loads(value(spark, prompts.chat_request(F.lit("m"), prompt, F.lit(None).cast("int"), F.lit(90))))
+    assert body == {
+        "model": "m",
+        "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": 'u "é"'}],
+        "stream": False,
+        "options": {"temperature": 0.7, "num_predict": 90, "top_p": 0.9},
+    }
+    body = json.loads(value(spark, prompts.generate_request(prompts.chat_json(prompt), temperature=F.lit(0.1))))
+    assert (body["max_length"], body["temperature"], body["enable_thinking"]) == (512, 0.1, True)
+    assert json.loads(body["prompt"])[1]["content"] == 'u "é"'
+
+
 def test_chat_roles(spark):
     kinds = ["system", "human", "ai", "tool"]
     df = spark.createDataFrame([(k,) for k in kinds], "k string")
