@@ -432,6 +432,7 @@ BODY = {
         SELECT job_id, primary_id, level_rewriting, reject_reason, CASE WHEN reject_reason IS NULL THEN 'processing' END AS status,
             CASE WHEN lang_diary_body <> '' AND lang_annotation <> '' THEN {strip('lang_diary_body')} END AS language_source
         FROM submissions_checked""",
+    "stream_first_submissions": "SELECT job_id, arg_min(diary_id, ts) AS diary_id, min(ts) AS ts FROM status_events GROUP BY job_id",
     "stream_unique_jobs": "SELECT DISTINCT job_id, diary_id FROM status_events",
 }
 BODY["stream_job_status"] = BODY["job_status_latest"]

@@ -702,3 +702,8 @@ def stream_submissions(spark, sf):
 @query
 def stream_unique_jobs(spark, sf):
     return jobs.unique_by_stream(spark, sf)
+
+
+@query
+def stream_first_submissions(spark, sf):
+    return jobs.first_by_stream(spark, sf)

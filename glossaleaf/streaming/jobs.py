@@ -52,3 +52,10 @@ def unique_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = submissions.first_submissions(events, "job_id", "ts", "3650 days")
     _run(submissions.append_stream(first.select("job_id", "diary_id"), out, state))
     return spark.read.parquet(out)
+
+
+def first_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, state = fresh_path(spark, "first"), fresh_path(spark, "first-state")
+    events = given.status_of(_stream(spark, sf_dir, "events")).select("job_id", "diary_id", "ts")
+    _run(submissions.accept_batches(events, "job_id", ["ts"], out, state))
+    return spark.read.parquet(out).drop("batch")

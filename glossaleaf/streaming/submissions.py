@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from glossaleaf.operators import store
+from glossaleaf.sources.tables import read_table
 
 
 def run_batches(
@@ -41,6 +43,30 @@ def read_status(batches: DataFrame) -> DataFrame:
     return store.latest_per_key(batches.drop("batch"), "job_id", ["ts"])
 
 
+def accept_batches(
+    stream: DataFrame, key: str, order: list[str], out: str, checkpoint: str
+) -> StreamingQuery:
+    """Keeps the first row of each key, whenever a repeat arrives.
+
+    A micro-batch is reduced to one row per key before the shuffle and then held against
+    what earlier batches stored, so neither a hot key nor old state has to fit anywhere.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        # a repeated batch must not read the folder it is about to replace
+        before = read_table(batch.sparkSession, out, schema).filter(F.col("batch") < number)
+        accepted, _ = store.append_new(batch, before, key, order)
+        accepted.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def first_submissions(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
     """Drops repeats of a key that arrive within ``delay`` of the first."""
     timed = stream.withColumn(at, F.col(at).cast("timestamp"))
