@@ -103,18 +103,26 @@ def _pattern_spans(df: DataFrame, draft: str) -> DataFrame:
     patterns = F.transform("pairs", lambda p: F.replace(_phrase(p), F.lit(" "), F.lit(r"\s")))
     translations = F.transform("pairs", lambda p: p["expression_translation"])
     return (
-        df.withColumn("_before", match_spans(F.col(draft), patterns))
-        .withColumn("_placed", F.size("_before") == F.col("n_parsed"))
-        .withColumn("_replaced", F.when(F.col("_placed"), _substituted(F.col(draft), F.col("pairs"))))
-        .withColumn("_after", match_spans(F.col("_replaced"), translations))
-        .withColumn("translate_status", _status(F.col("_placed"), F.size("_after") == F.col("n_parsed")))
-        .drop("_placed")
+        df.withColumn("_hits", match_spans(F.col(draft), patterns))
+        .withColumn("_placed", F.size("_hits") == F.col("n_parsed"))
+        # a pair is substituted once per match of its phrase, so one without a match is not
+        .withColumn("_found", F.transform("_hits", lambda h: F.element_at("pairs", h["pair"] + 1)))
+        .withColumn("_replaced", F.when(F.col("_placed"), _substituted(F.col(draft), F.col("_found"))))
+        .withColumn("_new_hits", match_spans(F.col("_replaced"), translations))
+        .withColumn("translate_status", _status(F.col("_placed"), F.size("_new_hits") == F.col("n_parsed")))
+        .withColumn("_before", F.transform("_hits", _span_of))
+        .withColumn("_after", F.transform("_new_hits", _span_of))
+        .drop("_hits", "_placed", "_found", "_new_hits")
     )
 
 
-@F.pandas_udf(T.ArrayType(SPAN))
+def _span_of(hit: Column) -> Column:
+    return F.struct(hit["start"].alias("start"), hit["end"].alias("end"))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pair", T.IntegerType()), *SPAN.fields])))
 def match_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Spans of every match of every pattern, in order; null if a pattern is not valid.
+    """Every match of every pattern, in order; null if a pattern is not valid.
 
     The patterns come from the data, so a bad one must not fail the job; only Python's
     own ``re`` agrees with the pattern language the responses are written for.
@@ -125,8 +133,8 @@ def match_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
             return None
         try:
             return [
-                {"start": m.start(), "end": m.end()}
-                for p in patterns
+                {"pair": i, "start": m.start(), "end": m.end()}
+                for i, p in enumerate(patterns)
                 for m in re.finditer(p, body, re.DOTALL)
             ]
         except re.error:

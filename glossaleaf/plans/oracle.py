@@ -329,7 +329,7 @@ BODY = {
     "prompt_translator": "SELECT * FROM translator_prompts",
     "prompt_archivist": f"SELECT doc_id, {render(P.ARCHIVIST_SYSTEM, diary_code='language_source')} AS system, {render(P.ARCHIVIST_USER, draft='draft_replaced')} AS \"user\" FROM translated WHERE translate_status = 'ok'",
     "prompt_rewriter": f"SELECT doc_id, {render(P.REWRITER_SYSTEM, diary_name='name')} AS system, {render(P.REWRITER_USER, level='level_rewriting', diary_name='name', draft='draft_replaced')} AS \"user\" FROM translated JOIN langs ON alpha_3 = language_source WHERE translate_status = 'ok'",
-    "prompt_reviewer": f"SELECT doc_id, {lit(P.REVIEWER_SYSTEM)} AS system, {render(P.REVIEWER_USER, level='level_rewriting', mistakes=json_list('list_transform(errors, lambda x: x.rule)'), history=lit('[]'), expressions=json_list('expressions'))} AS \"user\" FROM blocks",
+    "prompt_reviewer": f"SELECT doc_id, {lit(P.REVIEWER_SYSTEM)} AS system, {render(P.REVIEWER_USER, level='level_rewriting', mistakes="CAST(to_json(list_transform(errors, lambda x: {'error_rule': x.rule, 'example_phrase': x.phrase, 'correction': x.correction, 'category': x.category})) AS VARCHAR)", history=lit('[]'), expressions=json_list('expressions'))} AS \"user\" FROM blocks",
     "chat_payload": f"""
         SELECT doc_id, '[' || {message("'system'", 'system')} || ', ' || {message("'user'", '"user"')} || ']' AS prompt,
             CASE WHEN doc_id % 2 = 0 THEN 900 ELSE 512 END AS max_length, CAST(0.7 AS DOUBLE) AS temperature,

@@ -357,11 +357,11 @@ def prompt_rewriter(spark, sf):
 @query
 def prompt_reviewer(spark, sf):
     d = given.archivist_responses(spark, sf)
-    mistakes = F.transform(responses.error_blocks(F.col("response")), lambda e: e["error_rule"])
+    mistakes = F.to_json(responses.error_blocks(F.col("response")))
     return _prompt(
         d,
         prompts.reviewer_prompt(
-            F.col("level_rewriting"), prompts.json_list(mistakes), F.lit("[]"), prompts.json_list(F.col("expressions"))
+            F.col("level_rewriting"), mistakes, F.lit("[]"), prompts.json_list(F.col("expressions"))
         ),
     )
 

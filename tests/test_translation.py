@@ -81,13 +81,13 @@ def reference_substitution(draft, pairs):
     """The rule of pattern mode, written out one draft at a time."""
     try:
         before = [
-            m.span()
-            for o, _ in pairs
-            for m in re.finditer(o.replace("[", "").replace("]", "").replace(" ", r"\s"), draft, re.DOTALL)
+            (o, t)
+            for o, t in pairs
+            for _ in re.finditer(o.replace("[", "").replace("]", "").replace(" ", r"\s"), draft, re.DOTALL)
         ]
         if len(before) != len(pairs):
             return "position_mismatch", ""
-        for o, t in pairs:
+        for o, t in before:
             draft = draft.replace(o, t)
         after = [m.span() for _, t in pairs for m in re.finditer(t, draft, re.DOTALL)]
     except re.error:
@@ -105,6 +105,8 @@ def reference_substitution(draft, pairs):
         ("[a.c] is [vv]", [("[a.c]", "xx"), ("[vv]", "yy")]),
         ("[(a] is [vv]", [("[(a]", "x"), ("[vv]", "y")]),
         ("[aa] fille [bb]", [("[aa]", "fille"), ("[bb]", "zz")]),
+        ("[ab] ab [c(d)]", [("[ab]", "x"), ("[c(d)]", "y")]),
+        ("[ab] ab [c(d)] ", [("[ab]", "q[ab] "), ("[c(d)]", " ")]),
     ],
 )
 def test_pattern_mode_is_the_total_count_rule(spark, draft, pairs):
