@@ -77,10 +77,13 @@ def render(template: str, **slots: Column) -> Column:
     return F.concat(*parts)
 
 
+# The short escapes of JSON.
+SHORT_ESCAPES = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
 def json_string(value: Column) -> Column:
-    """A JSON string that is plain ASCII: other characters become ``\\uXXXX`` escapes."""
-    quoted = F.to_json(F.array(value))
-    body = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    """A JSON string in plain ASCII: other characters become short or ``\\uXXXX`` escapes."""
+    short = F.create_map(*[F.lit(x) for pair in SHORT_ESCAPES.items() for x in pair])
 
     def unit(code: Column) -> Column:
         return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code.cast("long")), 4, "0")))
@@ -91,14 +94,16 @@ def json_string(value: Column) -> Column:
         pair = F.concat(
             unit(F.shiftright(over, 10) + 0xD800), unit(over.bitwiseAND(F.lit(0x3FF)) + 0xDC00)
         )
-        return F.when(code >= 0x10000, pair).otherwise(unit(code))
+        return F.coalesce(F.try_element_at(short, ch), F.when(code >= 0x10000, pair).otherwise(unit(code)))
 
+    body = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     # only the other characters become array items, however long the text
     other = r"[^\x20-\x7E]"
     escaped = F.transform(F.regexp_extract_all(body, F.lit(other), F.lit(0)), escape)
     endings = F.array_append(escaped, F.lit(""))
     pieces = F.zip_with(F.split(body, other), endings, lambda piece, ending: F.concat(piece, ending))
-    return F.when(F.regexp_like(body, F.lit(other)), F.array_join(pieces, "")).otherwise(body)
+    ascii_body = F.when(F.regexp_like(body, F.lit(other)), F.array_join(pieces, "")).otherwise(body)
+    return F.concat(F.lit('"'), ascii_body, F.lit('"'))
 
 
 def json_list(values: Column) -> Column:

@@ -76,6 +76,8 @@ def similar_errors(
     pairs never become rows.
     """
     group = group or SEARCH_KEYS
+    # a record without a vector, left by a failed embedding call, is near to nothing
+    queries, memory = (df.filter(F.size("embedding") > 0) for df in (queries, memory))
     queries = queries.select("query_id", "embedding", *group)
     # both may come from one table: new column identities keep the sides apart
     memory = memory.select("error_id", "embedding", *group).toDF("error_id", "embedding", *group)

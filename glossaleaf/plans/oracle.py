@@ -298,7 +298,7 @@ BODY = {
     "span_codec": "SELECT primary_id, span_original AS span_text, CAST(original_start AS INTEGER) AS span_start, CAST(original_end AS INTEGER) AS span_end FROM expressions",
     "vocabulary": "SELECT language_annotation, expression, expression_translation, language_source FROM expressions",
     "expressions_for_entry": f'SELECT primary_id, expression, expression_translation FROM expressions WHERE "primary_id_DiaryEntry" = {ENTRY_LOOKUP}',
-    "delete_expressions": "SELECT primary_id, expression FROM expressions WHERE length(expression) % 2 <> 0",
+    "delete_expressions": 'SELECT primary_id, expression FROM expressions WHERE "primary_id_DiaryEntry" NOT IN (SELECT primary_id FROM entries WHERE NOT is_show)',
     "expression_changes": f"SELECT primary_id, {change_json('add')} AS add_change, {change_json('delete')} AS delete_change FROM expressions",
     "added_by_hand": f"SELECT primary_id AS \"primary_id_DiaryEntry\", title_diary AS expression, model_id_tutor AS expression_translation, '[-1, -1]' AS span_original, '[-1, -1]' AS span_translation, sha256(primary_id || '_' || title_diary || '_' || {iso('created_at')}) AS primary_id FROM entries WHERE is_show",
     "error_blocks": 'SELECT "primary_id_DiaryEntry", CAST(error_no AS INTEGER) AS error_no, error_rule, example_phrase, correction, category FROM errors',

@@ -140,7 +140,8 @@ def expressions_for_entry(spark, sf):
 @query
 def delete_expressions(spark, sf):
     table = given.unknown_expressions(spark, sf)
-    removed = table.filter(F.length("expression") % 2 == 0)
+    hidden = given.diary_entries(spark, sf).filter("not is_show").select(F.col("primary_id").alias("hidden_id"))
+    removed = table.join(hidden, F.col("primary_id_DiaryEntry") == F.col("hidden_id"), "left_semi")
     return store.delete_rows(table, removed).select("primary_id", "expression")
 
 
