@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glossaleaf.session import materialize
 
-MAX_BROADCAST_GRAMS = 500_000
+MAX_BROADCAST_WEIGHTS = 2_000_000  # trigrams times languages
 # a zero-width match at every position; group 1 is the trigram that starts there
 TRIGRAM = r"(?s)(?=(...))"
 
@@ -56,7 +56,7 @@ def train(texts: DataFrame, text: str, language: str) -> Profile:
         for i, name in enumerate(totals)
     ]
     offsets = {name: math.log(total + size) for name, total in totals.items()}
-    return Profile(counts.groupBy("gram").agg(*weights), offsets, size <= MAX_BROADCAST_GRAMS)
+    return Profile(counts.groupBy("gram").agg(*weights), offsets, size * len(totals) <= MAX_BROADCAST_WEIGHTS)
 
 
 def detect(

@@ -10,14 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key; combines before the shuffle."""
-    others = [c for c in df.columns if c != key]
-    return (
-        df.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row")).select(key, "_row.*")
-    )
-
-
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key; combines before the shuffle."""
     others = [c for c in df.columns if c != key]
@@ -28,12 +20,16 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def append_new(new: DataFrame, existing: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused): a row is refused if its key is stored already or came earlier
-    in ``new``. ``order`` must be unique per key.
+    in ``new``. ``order`` must be unique per key and not null.
 
-    The table side is the left side of each anti join, where a split of a large key helps.
+    Only keys and order columns are compared. The rows themselves are then matched on
+    key and order together, which spreads the rows of a hot key.
     """
-    accepted = first_per_key(new, key, order).join(existing.select(key), key, "left_anti").select(*new.columns)
-    refused = new.join(accepted.select(key, *order), [key, *order], "left_anti")
+    first = new.groupBy(key).agg(F.min(F.struct(*order)).alias("_first")).select(key, "_first.*")
+    winners = first.join(existing.select(key), key, "left_anti")
+    match = [key, *order]
+    accepted = new.join(winners, match, "left_semi").select(*new.columns)
+    refused = new.join(winners, match, "left_anti").select(*new.columns)
     return accepted, refused
 
 
