@@ -57,12 +57,21 @@ def with_codes(submissions: DataFrame) -> DataFrame:
 
 
 def with_keys(submissions: DataFrame, separator: str = "_") -> DataFrame:
-    """Adds created_at, date_diary, primary_id from the submission time; title never null."""
+    """Adds created_at, date_diary and primary_id; title never null.
+
+    A submitted date_diary or primary_id stays; what is missing follows from the
+    submission time.
+    """
+
+    def given_or(name: str, made: Column) -> Column:
+        return F.coalesce(name, made) if name in submissions.columns else made
+
+    day = given_or("date_diary", F.to_date("submitted_at"))
     return submissions.withColumns(
         {
             "created_at": F.col("submitted_at"),
-            "date_diary": F.to_date("submitted_at"),
-            "primary_id": keys.entry_key(F.to_date("submitted_at"), F.col("submitted_at"), separator),
+            "date_diary": day,
+            "primary_id": given_or("primary_id", keys.entry_key(day, F.col("submitted_at"), separator)),
             "title_diary": F.coalesce("title_diary", F.lit("")),
         }
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -124,7 +125,8 @@ def _span_of(hit: Column) -> Column:
 def match_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Every match of every pattern, in order; null if a pattern is not valid.
 
-    The patterns come from the data, so a bad one must not fail the job; only Python's
+    A draft counts only if there are as many matches as patterns, so the list stops one
+    past that. The patterns come from the data, so a bad one must not fail the job; only Python's
     own ``re`` agrees with the pattern language the responses are written for.
     """
 
@@ -132,11 +134,12 @@ def match_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         if body is None or patterns is None:
             return None
         try:
-            return [
+            hits = (
                 {"pair": i, "start": m.start(), "end": m.end()}
                 for i, p in enumerate(patterns)
                 for m in re.finditer(p, body, re.DOTALL)
-            ]
+            )
+            return list(islice(hits, len(patterns) + 1))
         except re.error:
             return None
 

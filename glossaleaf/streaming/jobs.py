@@ -49,7 +49,7 @@ def intake_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unique_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, state = fresh_path(spark, "unique"), fresh_path(spark, "unique-state")
     events = given.status_of(_stream(spark, sf_dir, "events")).select("job_id", "diary_id", "ts")
-    first = submissions.first_submissions(events, "job_id", "ts", "3650 days")
+    first = submissions.first_submissions(events, "job_id", "ts", "60 days")
     _run(submissions.append_stream(first.select("job_id", "diary_id"), out, state))
     return spark.read.parquet(out)
 

@@ -1,4 +1,5 @@
 from collections import Counter
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,15 @@ def test_large_entry_is_split_in_the_join(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_keys_come_from_the_submission_or_its_time(spark):
+    schema = "submitted_at timestamp_ntz, title_diary string, date_diary date, primary_id string"
+    at = datetime(2024, 1, 2, 3, 4, 5, 60)
+    rows_in = [(at, None, None, None), (at, "t", date(2023, 5, 6), None), (at, "t", None, "mine")]
+    got = intake.with_keys(spark.createDataFrame(rows_in, schema)).collect()
+    assert [r.primary_id for r in got] == [
+        "2024-01-02_2024-01-02T03:04:05.000060", "2023-05-06_2024-01-02T03:04:05.000060", "mine",
+    ]
+    assert [r.title_diary for r in got] == ["", "t", "t"]
+    assert [r.date_diary for r in got] == [date(2024, 1, 2), date(2023, 5, 6), date(2024, 1, 2)]

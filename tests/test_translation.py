@@ -104,6 +104,7 @@ def reference_substitution(draft, pairs):
         ("[w?] is [vv]", [("[w?]", "x"), ("[vv]", "y")]),
         ("[a.c] is [vv]", [("[a.c]", "xx"), ("[vv]", "yy")]),
         ("[(a] is [vv]", [("[(a]", "x"), ("[vv]", "y")]),
+        ("[a?] is [(b]", [("[a?]", "x"), ("[(b]", "y")]),
         ("[aa] fille [bb]", [("[aa]", "fille"), ("[bb]", "zz")]),
         ("[ab] ab [c(d)]", [("[ab]", "x"), ("[c(d)]", "y")]),
         ("[ab] ab [c(d)] ", [("[ab]", "q[ab] "), ("[c(d)]", " ")]),
