@@ -13,8 +13,9 @@ from glossaleaf.streaming import submissions
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream; the pattern takes a single file as well as a folder of files."""
     schema = given.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _run(query) -> None:
