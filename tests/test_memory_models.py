@@ -137,11 +137,16 @@ def test_language_identification_on_held_out_texts(spark, sf_dir):
     assert accuracy(langid.train(mixed, "text", "language_source")) < 0.7
 
 
-def test_language_forms_agree_and_short_text_has_none(spark, sf_dir):
+def test_language_forms_agree_and_short_text_has_none(spark, sf_dir, monkeypatch):
     texts = given.base(spark, sf_dir)
     profile = langid.train(texts, "text", "language_source")
-    some = texts.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "ab"), (-2, "")], "doc_id long, text string"))
+    some = texts.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "ab"), (-2, ""), (-3, None), (-4, "😀😀é"), (-5, "le 😀 la")], "doc_id long, text string"))
     small = {r[0]: r[1] for r in langid.detect(some, "doc_id", "text", profile).collect()}
     profile.small = False
     large = {r[0]: r[1] for r in langid.detect(some, "doc_id", "text", profile).collect()}
-    assert small == large and small[-1] is None and small[-2] is None
+    assert small == large
+    assert small[-1] is None and small[-2] is None and small[-3] is None and small[-4] is not None
+    monkeypatch.setattr(langid, "CODE_POINTS_AT_ONCE", 100)
+    profile.small = True
+    in_pieces = langid._scorer(profile).func(iter([texts.select("text").toPandas()["text"]]))
+    assert list(next(in_pieces)) == [small[r.doc_id] for r in texts.select("doc_id").collect()]
