@@ -118,6 +118,6 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0, text: str = "text")
         "text_crc32",
         F.lit(LAW).alias("law"),
         F.pmod("place", F.lit(shards)).cast("int").alias("shard"),
-        ((F.col("place") - F.pmod("place", F.lit(shards))) / shards).cast("long").alias("slot"),
+        F.expr(f"place div {int(shards)}").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
