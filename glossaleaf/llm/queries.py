@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from glossaleaf.llm import bpe, exact_dedup, quality, sharding, token_counts
+from glossaleaf.llm import bpe, exact_dedup, quality, sharding, simhash, token_counts
 from glossaleaf.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,11 +32,15 @@ def op8_sharding(spark, sf_dir):
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op9_simhash(spark, sf_dir):
+    return simhash.group(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_exact_dedup, op7_token_counts, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op4_exact_dedup, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
