@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from glossaleaf.llm import bpe, exact_dedup, quality, sharding, simhash, token_counts
+from glossaleaf.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts
 from glossaleaf.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -23,6 +23,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.mark(documents(spark, sf_dir))
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.mark(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark, sf_dir):
     lengths = bpe.lengths(documents(spark, sf_dir), RANKS, PATTERN)
     return token_counts.suffix_sums(token_counts.histogram(lengths))
@@ -40,9 +44,90 @@ def op10_quality_rules(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_exact_dedup, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op4_exact_dedup, op6_mixing, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules)}
+
+# every quotient of every source and shard is ranked here; the operator ranks a few of them
+MIXING_SQL = f"""
+    WITH RECURSIVE docs AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+               md5('0:' || coalesce(doc_id::VARCHAR, '')) AS digest
+        FROM documents
+    ),
+    sources AS (
+        SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows,
+               row_number() OVER (ORDER BY source NULLS LAST) AS place
+        FROM docs GROUP BY source
+    ),
+    weighed AS (SELECT *, list_extract([5.0::DOUBLE, 2.0, 1.0], (place - 1) % 3 + 1) AS weight FROM sources),
+    -- shares by weight, again and again, until none is above its limit
+    fill(round, place, weight, most, target, open) AS (
+        SELECT 0, place, weight, 2.0::DOUBLE * source_size, 0.0::DOUBLE, true FROM weighed
+        UNION ALL
+        SELECT round + 1, place, weight, most,
+               CASE WHEN NOT open THEN target ELSE least(most, level * weight) END,
+               open AND level * weight < most
+        FROM (
+            SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM sources)
+                       - sum(CASE WHEN open THEN 0 ELSE target END) OVER ())
+                      / nullif(sum(CASE WHEN open THEN weight ELSE 0 END) OVER (), 0) AS level
+            FROM fill
+        )
+        WHERE round < (SELECT count(*) FROM sources)
+    ),
+    targets AS (
+        SELECT s.*, f.target, greatest(1, ceil((s.source_size + s.n_rows) / {mixing.SHARD_WORDS}.0))::BIGINT AS n_shards
+        FROM sources s JOIN fill f USING (place) WHERE f.round = (SELECT count(*) FROM sources)
+    ),
+    seats AS (SELECT floor(sum(target) / {mixing.BLOCK} + 0.5)::BIGINT AS n FROM targets),
+    source_quotients AS (
+        SELECT place, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, place, k) AS nth
+        FROM targets, seats, unnest(range(1, (2 + 2 * target / {mixing.BLOCK})::BIGINT)) AS u(k)
+    ),
+    source_quota AS (SELECT place, count(*) AS quota FROM source_quotients, seats WHERE nth <= n GROUP BY place),
+    placed AS (
+        SELECT d.*, t.place, t.source_size, t.target,
+               ('0x' || substr(digest, 1, 15))::BIGINT % n_shards AS shard,
+               ('0x' || substr(digest, 16, 15))::BIGINT AS in_shard
+        FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+    ),
+    shards AS (SELECT place, shard, sum(size)::BIGINT AS shard_size FROM placed GROUP BY place, shard),
+    shard_quotients AS (
+        SELECT s.place, s.shard, q.quota,
+               row_number() OVER (PARTITION BY s.place ORDER BY s.shard_size / (2 * k - 1) DESC, s.shard, k) AS nth
+        FROM shards s JOIN source_quota q USING (place),
+             unnest(range(1, (q.quota + 1)::BIGINT)) AS u(k)
+        WHERE s.shard_size > 0
+    ),
+    shard_quota AS (SELECT place, shard, count(*) AS quota FROM shard_quotients WHERE nth <= quota GROUP BY place, shard),
+    picks AS (
+        SELECT s.*, ceil(shard_size / {mixing.BLOCK}.0)::BIGINT AS n_blocks,
+               least(coalesce(quota, 0), 2 * ceil(shard_size / {mixing.BLOCK}.0)::BIGINT) AS q,
+               ('0x' || substr(md5('0:blocks:' || s.place || ':' || s.shard), 1, 15))::BIGINT AS pick
+        FROM shards s LEFT JOIN shard_quota USING (place, shard)
+    ),
+    taken_blocks AS (
+        SELECT place, shard, b,
+               q // n_blocks + ((b * list_extract({list(mixing.PRIMES)}, pick % {len(mixing.PRIMES)} + 1) + pick % n_blocks) % n_blocks < q % n_blocks)::BIGINT AS times
+        FROM picks, unnest(range(0, n_blocks)) AS u(b)
+    ),
+    spans AS (
+        SELECT *, coalesce(sum(size) OVER (PARTITION BY place, shard ORDER BY in_shard, doc_id, size
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_word
+        FROM placed
+    ),
+    took AS (
+        SELECT s.doc_id, sum(times * (least(first_word + size, (b + 1) * {mixing.BLOCK}) - greatest(first_word, b * {mixing.BLOCK})))::BIGINT AS taken
+        FROM spans s JOIN taken_blocks t
+          ON s.place = t.place AND s.shard = t.shard
+         AND t.b BETWEEN first_word // {mixing.BLOCK} AND (first_word + size - 1) // {mixing.BLOCK}
+        WHERE size > 0 GROUP BY s.doc_id
+    )
+    SELECT s.doc_id, s.size::BIGINT AS size, s.source_size, s.target, coalesce(k.taken, 0) AS taken
+    FROM spans s LEFT JOIN took k USING (doc_id)
+"""
 
 ORACLE_SQL = {
+    "op6_mixing": MIXING_SQL,
     "op4_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS c
