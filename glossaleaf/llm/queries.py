@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from glossaleaf.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts
+from pyspark.sql import functions as F
+
+from glossaleaf.llm import bpe, exact_dedup, mixing, quality, secrets, sharding, simhash, token_counts, toxicity
 from glossaleaf.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,10 +21,29 @@ def op1_bpe(spark, sf_dir):
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_secrets(spark, sf_dir):
+    found = secrets.scan(documents(spark, sf_dir))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select(
+        "doc_id", *map(count, secrets.BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.mark(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mark(documents(spark, sf_dir))
 
@@ -44,7 +65,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_exact_dedup, op6_mixing, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op4_exact_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules)}
 
 # every quotient of every source and shard is ranked here; the operator ranks a few of them
 MIXING_SQL = f"""
