@@ -20,8 +20,11 @@ SALTS = 16
 
 
 def _groups(texts: DataFrame, salts: int) -> DataFrame:
-    """(digest, keep_id, group_size) of texts (doc_id, digest, content)."""
-    salted = texts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    """(digest, length, keep_id, group_size) of texts (doc_id, digest, length, content).
+
+    The length is a key beside the digest so that the look-up by both is dealt out anew: a
+    digest with very many rows can then be split there."""
+    salted = texts.drop("length").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     winners = salted.groupBy("digest", "salt", "content").agg(
         F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
     )
@@ -31,6 +34,7 @@ def _groups(texts: DataFrame, salts: int) -> DataFrame:
     # rows look their group up by digest alone; two contents under one digest must not pass
     checked: Column = F.when(F.count("*") > 1, F.raise_error(F.lit("two texts share a digest")).cast("long"))
     return combined.groupBy("digest").agg(
+        F.max(F.octet_length("content")).alias("length"),
         F.max("keep_id").alias("keep_id"),
         F.coalesce(checked, F.max("group_size")).alias("group_size"),
     )
@@ -38,7 +42,7 @@ def _groups(texts: DataFrame, salts: int) -> DataFrame:
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
     content = docs.select("doc_id", ascii_lower(whole(text)).alias("content"))
-    return content.withColumn("digest", F.sha2("content", 256))
+    return content.withColumns({"digest": F.sha2("content", 256), "length": F.octet_length("content")})
 
 
 def mark(docs: DataFrame, text: str = "text", salts: int = SALTS) -> DataFrame:
@@ -50,8 +54,8 @@ def mark(docs: DataFrame, text: str = "text", salts: int = SALTS) -> DataFrame:
     """
     texts = _texts(docs, text)
     again = Window.partitionBy("digest", "doc_id").orderBy(F.lit(1))
-    rows = texts.select("doc_id", "digest").withColumn("nth", F.row_number().over(again))
-    return rows.join(_groups(texts, salts), "digest").select(
+    rows = texts.select("doc_id", "digest", "length").withColumn("nth", F.row_number().over(again))
+    return rows.join(_groups(texts, salts), ["digest", "length"]).select(
         "doc_id",
         "keep_id",
         "group_size",
