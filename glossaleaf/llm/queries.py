@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from glossaleaf.llm import bpe, exact_dedup, mixing, quality, secrets, sharding, simhash, token_counts, toxicity
+from glossaleaf.llm import bpe, exact_dedup, mixing, quality, secrets, sharding, simhash, substring, token_counts, toxicity
 from glossaleaf.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -36,6 +36,11 @@ def op2_secrets(spark, sf_dir):
     )
 
 
+def op3_substring_dedup(spark, sf_dir):
+    done = substring.dedup(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.mark(documents(spark, sf_dir))
 
@@ -65,7 +70,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op4_exact_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_substring_dedup, op4_exact_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules)}
 
 # every quotient of every source and shard is ranked here; the operator ranks a few of them
 MIXING_SQL = f"""
