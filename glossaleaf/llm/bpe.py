@@ -138,38 +138,34 @@ def _shipped(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(read_ranks(path))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Every row with its token ids: doc_id, ids (binary, little-endian unsigned 32 bits),
-    n_tokens, ids_sha256, decoded (binary) and decoded_sha256.
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Every row with its token ids: doc_id, the columns in ``keep``, ids (binary, little-endian
+    unsigned 32 bits), n_tokens, ids_sha256, decoded (binary) and decoded_sha256.
 
     Each match of ``pattern`` is encoded separately by the ranks of the file at ``path``,
     without special tokens. Null and empty texts have no token. Repeated rows are
-    encoded each; other columns of ``docs`` are left out. No shuffle.
+    encoded each; columns of ``docs`` not named are left out. No shuffle.
     """
     ranks = _shipped(docs, path)
+    rows = docs.select(whole(text).alias("text"), "doc_id", *(keep or []))
+    carried = rows.schema.fields[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(ranks.value, pattern)
         for batch in batches:
-            ids = [known.encode(x) for x in batch.column(1).to_pylist()]
+            ids = [known.encode(x) for x in batch.column(0).to_pylist()]
             decoded = [known.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(ids, pa.binary()),
-                    pa.array([len(x) >> 2 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array(decoded, pa.binary()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
-                ],
-                names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"],
-            )
-
-    rows = docs.select("doc_id", whole(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+            columns = {f.name: batch.column(i + 1) for i, f in enumerate(carried)}
+            columns["ids"] = pa.array(ids, pa.binary())
+            columns["n_tokens"] = pa.array([len(x) >> 2 for x in ids], pa.int64())
+            columns["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
+            columns["decoded"] = pa.array(decoded, pa.binary())
+            columns["decoded_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried)
     return rows.mapInArrow(
-        run,
-        f"doc_id {kind}, ids binary, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string",
+        run, f"{kinds}ids binary, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string"
     )
 
 
