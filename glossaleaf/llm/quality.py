@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossaleaf.functions.rows import settled
 from glossaleaf.llm.common import WHITE, let, packed, whole, words_of
 
 # fixed values of the base rules
@@ -105,23 +106,19 @@ def trusted(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
 
 def _judged(docs: DataFrame, model: DataFrame, text: str, carried: list[Column], threshold: float, buckets: int) -> DataFrame:
     content, words = F.col("text"), F.col("words")
-    rows = docs.select(*carried, whole(text).alias("text")).withColumn("words", words_of(content))
-    # the model is one row of fixed size
-    rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(model.withColumn("one", F.lit(1))), "one")
-    total = let(
-        F.col("weights"),
-        lambda w: F.aggregate(_grams(words, buckets), F.lit(0.0), lambda acc, g: acc + F.get(w, g.cast("int"))),
-    )
-    # what only shows results is computed once, here
-    counted = rows.select(
-        *[c for c in rows.columns if c not in ("text", "words", "weights", "one")],
-        F.size(words).cast("long").alias("n_words"),
-        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        F.regexp_count(content, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(_worded_lines(content), _line_count).alias("n_dup_lines"),
-        _repeat_words(words).alias("n_repeat_words"),
-        (total / F.greatest(F.size(words) - 1, F.lit(1))).alias("score"),
-    )
+    # the model is one value of fixed size
+    rows = docs.select(*carried, whole(text).alias("text"), model.select("weights").scalar().alias("weights"))
+    rows = settled(rows, words=words_of(content))
+    total = F.aggregate(_grams(words, buckets), F.lit(0.0), lambda acc, g: acc + F.get("weights", g.cast("int")))
+    counted = settled(
+        rows,
+        n_words=F.size(words).cast("long"),
+        word_chars=F.length(F.array_join(words, "")).cast("long"),
+        n_symbols=F.regexp_count(content, F.lit(SYMBOLS)).cast("long"),
+        n_dup_lines=let(_worded_lines(content), _line_count),
+        n_repeat_words=_repeat_words(words),
+        score=total / F.greatest(F.size(words) - 1, F.lit(1)),
+    ).drop("text", "words", "weights")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     judged = counted.withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
