@@ -56,31 +56,31 @@ def _hashed(codes: np.ndarray, size: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def present(texts: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def present(texts: list[str], wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, bucket) of each different wanted bucket in each text; ``wanted`` marks buckets.
 
-    Texts are hashed end to end in blocks; an n-gram over the end of a text is left out.
+    Short texts are hashed together up to a block, a long one in blocks; every text is in one
+    of the results only, in order. An n-gram over the end of a text is left out.
     """
-    parts = [_characters(x) for x in texts]
-    ends = np.cumsum([len(p) for p in parts])
-    found: list[np.ndarray] = []
-    start, i = 0, 0
-    while i < len(parts):
-        j = i + 1
-        while j < len(parts) and ends[j] - start <= BLOCK:
-            j += 1
-        codes = np.concatenate(parts[i:j])
+    i = 0
+    while i < len(texts):
+        parts = [_characters(texts[i])]
+        size = len(parts[0])
+        while i + len(parts) < len(texts) and size + len(texts[i + len(parts)]) < BLOCK:
+            parts.append(_characters(texts[i + len(parts)]))
+            size += len(parts[-1])
+        codes, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        found = []
         for at in range(0, len(codes), BLOCK):
-            for size in SIZES:
-                buckets = _hashed(codes[at : at + BLOCK + size - 1], size)
+            for n in SIZES:
+                buckets = _hashed(codes[at : at + BLOCK + n - 1], n)
                 hits = np.flatnonzero(wanted[buckets])
-                first = hits + at + start
-                owner = np.searchsorted(ends, first, "right")
-                inside = owner == np.searchsorted(ends, first + size - 1, "right")
+                owner = np.searchsorted(ends, hits + at, "right")
+                inside = owner == np.searchsorted(ends, hits + at + n - 1, "right")
                 found.append(np.unique(owner[inside] << BITS | buckets[hits[inside]]))
-        start, i = int(ends[j - 1]), j
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return pairs >> BITS, pairs & (BUCKETS - 1)
+        pairs = np.unique(np.concatenate(found))
+        yield i + (pairs >> BITS), pairs & (BUCKETS - 1)
+        i += len(parts)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, text: str, most: int) -> DataFrame:
@@ -101,10 +101,11 @@ def _counts(rows: DataFrame) -> np.ndarray:
         every = np.ones(BUCKETS, bool)
         for batch in batches:
             toxic = batch.column(1).to_numpy()
-            owner, buckets = present(batch.column(2).to_pylist(), every)
             for label in (0, 1):
-                seen[label, :-1] += np.bincount(buckets[toxic[owner] == label], minlength=BUCKETS)
                 seen[label, -1] += int((toxic == label).sum())
+            for owner, buckets in present(batch.column(2).to_pylist(), every):
+                for label in (0, 1):
+                    seen[label, :-1] += np.bincount(buckets[toxic[owner] == label], minlength=BUCKETS)
         used = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[0, used]), pa.array(seen[1, used])], names=["b", "n", "p"])
 
@@ -120,7 +121,8 @@ def _features(rows: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, list[np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, buckets = present(batch.column(2).to_pylist(), wanted)
+            parts = list(present(batch.column(2).to_pylist(), wanted))
+            owner, buckets = (np.concatenate([np.empty(0, np.int64), *(p[k] for p in parts)]) for k in (0, 1))
             cuts = np.searchsorted(owner, np.arange(len(batch) + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(buckets.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "toxic", "f"])
@@ -181,8 +183,9 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = MO
         bias, weights = model.value
         wanted = weights != 0
         for batch in batches:
-            owner, buckets = present(batch.column(1).to_pylist(), wanted)
-            z = bias + np.bincount(owner, weights=weights[buckets], minlength=len(batch))
+            z = np.full(len(batch), bias)
+            for owner, buckets in present(batch.column(1).to_pylist(), wanted):
+                np.add.at(z, owner, weights[buckets])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(z))], names=["doc_id", "score"])
 
     rows = docs.select("doc_id", whole(text).alias("text"))
