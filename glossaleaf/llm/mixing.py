@@ -118,7 +118,9 @@ def _placed(rows: DataFrame, sizes: DataFrame, weights: tuple, share: float, mos
 
     total = Window.partitionBy(F.lit(1))
     seats = F.floor(F.sum("target").over(total) / block + F.lit(0.5))
-    by_source = apportion(sources.withColumns({"seats": seats, "everything": F.lit(1)}), ["everything"], "place", "target", "seats")
+    # all sources are one group, named by the seats they share
+    shared = sources.withColumn("seats", seats).withColumn("mix", F.col("seats"))
+    by_source = apportion(shared, ["mix"], "place", "target", "seats")
     # the shards' words, by the same rule that deals out the rows
     dealt = sizes.join(named, sizes["source"].eqNullSafe(named["its_source"])).select(
         "place", "size", F.pmod(_hash(["doc_id"], seed), F.col("n_shards")).alias("shard")

@@ -95,6 +95,16 @@ class Reachable:
         return before > 0 and self.furthest[before - 1] > start
 
 
+def _apart(strong: list[Span], weak: list[Span]) -> list[Span]:
+    """Weak spans that meet no strong one; of those that meet each other the leftmost, longest."""
+    taken = Reachable(strong)
+    out: list[Span] = []
+    for span in sorted(weak, key=lambda span: (span[1], -span[2], ORDER[span[0]])):
+        if not taken.meets(span[1], span[2]) and (not out or span[1] >= out[-1][2]):
+            out.append(span)
+    return out
+
+
 def _linked(strong: list[Span], weak: list[Span], text: str, reach: int) -> list[Span]:
     """The weak spans whose complementary parts lie within reach and scope."""
     cuts = [m.start() for m in SCOPE_END.finditer(text)]
@@ -129,8 +139,7 @@ def spans_of(text: str, reach: int = REACH) -> list[Span]:
     weak += [("opaque", *m.span()) for m in OPAQUE.finditer(text) if _is_opaque(m[0])]
     weak += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
     if weak:
-        taken = Reachable(strong)
-        weak = [span for span in weak if not taken.meets(span[1], span[2])]
+        weak = _apart(strong, weak)
         weak = _linked(strong, weak, text, reach) if len(strong) + len(weak) > 1 else []
     return sorted(strong + weak, key=lambda span: (span[1], ORDER[span[0]], span[2]))
 

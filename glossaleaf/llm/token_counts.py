@@ -10,15 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossaleaf.session import materialize
+
 # lengths per chunk of the two-level sums
 CHUNK = 1024
 
 
 def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
-    """(length, n_docs) of a column of lengths; null counts as 0. Combines before the shuffle."""
-    return lengths.groupBy(F.coalesce(F.col(length), F.lit(0)).cast("long").alias("length")).agg(
+    """(length, n_docs) of a column of lengths; null counts as 0. Combines before the shuffle.
+
+    Written once, a row per length: the sums read it more than once, and the encoding that it
+    rests on must not run again for each."""
+    counts = lengths.groupBy(F.coalesce(F.col(length), F.lit(0)).cast("long").alias("length")).agg(
         F.count("*").alias("n_docs")
     )
+    return materialize(counts, "histogram")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
