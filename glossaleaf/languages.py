@@ -75,11 +75,19 @@ LANGUAGES = [
 MAX_BROADCAST_LANGUAGES = 20_000  # the whole of ISO 639-3 has about 8,000 codes
 
 
+def from_iso_codes(spark: SparkSession, path: str) -> DataFrame:
+    """(alpha_3, alpha_2, name) of all of ISO 639-3, from the JSON form in which the public
+    iso-codes project publishes it (``iso_639-3.json``); alpha_2 is null for most."""
+    fields = "array<struct<alpha_3: string, alpha_2: string, name: string>>"
+    listed = spark.read.schema(f"`639-3` {fields}").json(path, multiLine=True)
+    return listed.select(F.inline("639-3"))
+
+
 class Languages:
     """The known languages, as a small checked dimension.
 
-    ``Languages(spark)`` holds the built-in list; ``Languages(spark, table)`` takes any
-    (alpha_3, alpha_2, name) table, such as the whole of ISO 639-3.
+    ``Languages(spark)`` holds the languages of ISO 639-1; ``Languages(spark, table)`` takes any
+    (alpha_3, alpha_2, name) table, such as the whole of ISO 639-3 (see ``from_iso_codes``).
     """
 
     def __init__(self, spark: SparkSession, table: DataFrame | None = None):

@@ -45,6 +45,22 @@ def rejected(checked_rows: DataFrame) -> DataFrame:
     return checked_rows.filter("reject_reason is not null")
 
 
+def jobs(rejected_rows: DataFrame) -> DataFrame:
+    """Rejected submissions that were jobs: one without a draft never became any."""
+    return rejected_rows.filter(F.col("reject_reason") != EMPTY_DRAFT)
+
+
+def failure_status(keyed_rejected: DataFrame) -> DataFrame:
+    """The status record in which a rejected job ends."""
+    return jobs(keyed_rejected).select(
+        "job_id",
+        F.col("primary_id").alias("diary_id"),
+        F.col("submitted_at").alias("ts"),
+        F.lit("error").alias("status"),
+        F.col("reject_reason").alias("message"),
+    )
+
+
 def with_codes(submissions: DataFrame) -> DataFrame:
     """Trimmed codes; null where detection has to decide (either one blank)."""
     given = (F.col("lang_diary_body") != "") & (F.col("lang_annotation") != "")

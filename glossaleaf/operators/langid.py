@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from glossaleaf.session import materialize
 
-MAX_BROADCAST_WEIGHTS = 2_000_000  # trigrams times languages
+WEIGHTS_AT_ONCE = 2_000_000  # trigrams times languages in a task's memory
+MAX_LANGUAGES = 10_000  # more labels than there are languages mean a wrong column
 # a zero-width match at every code point; group 1 is the trigram that starts there
 TRIGRAM = r"(?s)(?![\uDC00-\uDFFF])(?=(...))"
 CODE_POINTS_AT_ONCE = 1_000_000
@@ -36,36 +37,41 @@ class Profile:
 
     grams: DataFrame
     offsets: dict[str, float]
-    small: bool
+    size: int
 
-    def weights(self) -> tuple[np.ndarray, np.ndarray]:
-        """Packed trigrams in ascending order and their weights; for a small profile only."""
-        rows = self.grams.toPandas()
-        packed = _packed(_code_points("".join(rows["gram"])))[::3] if len(rows) else np.empty(0, "int64")
-        order = np.argsort(packed)
-        return packed[order], rows.drop(columns="gram").to_numpy("float64")[order]
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Packed trigrams in ascending order and their weights, a bounded part at a time."""
+        n = max(1, -(-self.size * len(self.offsets) // WEIGHTS_AT_ONCE))
+        for i in range(n):
+            rows = self.grams.filter(F.pmod(F.xxhash64("gram"), F.lit(n)) == i).toPandas()
+            packed = _packed(_code_points("".join(rows["gram"])))[::3] if len(rows) else np.empty(0, "int64")
+            order = np.argsort(packed)
+            yield packed[order], rows.drop(columns="gram").to_numpy("float64")[order]
 
 
 def train(texts: DataFrame, text: str, language: str) -> Profile:
     """Counts trigrams per language; the counts combine before the shuffle.
 
-    Only the totals come to the driver, one number per language.
+    Only the totals come to the driver, one number per language; a null label is left out.
     """
     counts = (
-        texts.select(F.col(language).alias("language"), F.explode(trigrams(F.col(text))).alias("gram"))
+        texts.filter(F.col(language).isNotNull())
+        .select(F.col(language).alias("language"), F.explode(trigrams(F.col(text))).alias("gram"))
         .groupBy("gram", "language")
         .agg(F.count("*").alias("n"))
     )
     # read several times below, and far smaller than the texts
     counts = materialize(counts, "trigram-counts")
-    totals = dict(counts.groupBy("language").agg(F.sum("n")).sort("language").collect())
+    totals = dict(counts.groupBy("language").agg(F.sum("n")).sort("language").limit(MAX_LANGUAGES + 1).collect())
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels in column {language}")
     size = counts.select("gram").distinct().count()
     weights = [
         F.log(F.coalesce(F.sum(F.when(F.col("language") == name, F.col("n"))), F.lit(0)) + 1).alias(f"w{i}")
         for i, name in enumerate(totals)
     ]
     offsets = {name: math.log(total + size) for name, total in totals.items()}
-    return Profile(counts.groupBy("gram").agg(*weights), offsets, size * len(totals) <= MAX_BROADCAST_WEIGHTS)
+    return Profile(counts.groupBy("gram").agg(*weights), offsets, size)
 
 
 def detect(
@@ -73,13 +79,27 @@ def detect(
 ) -> DataFrame:
     """(key..., language) for every row; null for a text without a trigram.
 
-    With a small profile each text is scored where it lies, without a shuffle. Otherwise
-    each text's trigrams are counted and joined with the profile.
+    Each text is scored where it lies, without a shuffle. A profile that is too large for a
+    task's memory is taken in parts, with one pass over the texts for each; scores add up.
     """
     keys = [key] if isinstance(key, str) else key
-    if profile.small:
-        return texts.select(*keys, _scorer(profile)(F.col(text)).alias(out))
-    return _detect_by_join(texts, keys, text, profile, out)
+    rows = texts.select(*keys, F.col(text).alias("_text"), F.lit(None).cast("array<double>").alias("_scores"))
+    for i, (known, weights) in enumerate(profile.slices()):
+        if i:
+            rows = materialize(rows, "scores")  # one part of the profile in memory at a time
+        scored = _scorer(known, weights, len(profile.offsets))(F.col("_text"))
+        before = F.col("_scores")
+        total = scored if not i else F.zip_with(before, scored, lambda a, b: a + b)
+        rows = rows.withColumn("_scores", total)
+    n_grams = F.char_length("_text") - 2
+    ranked = F.array(
+        *[
+            F.struct((F.get("_scores", i) - n_grams * offset).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("language"))
+            for i, (name, offset) in enumerate(profile.offsets.items())
+        ]
+    )
+    best = F.array_max(ranked)["language"] if profile.offsets else F.lit(None).cast("string")
+    return rows.select(*keys, F.when(n_grams > 0, best).alias(out))
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -91,18 +111,18 @@ def _packed(points: np.ndarray) -> np.ndarray:
     return (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
 
 
-def _scorer(profile: Profile):
-    """A batch function from texts to languages.
+def _scorer(known: np.ndarray, weights: np.ndarray, languages: int):
+    """A batch function from texts to the sums of their trigrams' weights, by language.
 
     A lookup of packed trigrams in a sorted array costs about a tenth of exploding the
     text, hashing each trigram and adding up the rows again.
     """
-    known, weights = profile.weights()
-    names = np.array([*profile.offsets, None], dtype=object)
-    offsets = np.array(list(profile.offsets.values()))
 
-    def score(points: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(offsets))
+    def score(text: str | None) -> np.ndarray:
+        total = np.zeros(languages)
+        if text is None or not len(known):
+            return total
+        points = _code_points(text)
         for at in range(0, len(points) - 2, CODE_POINTS_AT_ONCE):
             grams = _packed(points[at: at + CODE_POINTS_AT_ONCE + 2])
             place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
@@ -111,39 +131,11 @@ def _scorer(profile: Profile):
                 total += weights[found].sum(axis=0)
             else:
                 total += np.bincount(found, minlength=len(known)) @ weights
-        return total - (len(points) - 2) * offsets
+        return total
 
-    @F.pandas_udf(T.StringType())
-    def languages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def sums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            best = [-1 if t is None or len(t) < 3 or not len(known) else int(score(_code_points(t)).argmax()) for t in batch]
-            yield pd.Series(names[best])
+            yield pd.Series([score(t) for t in batch], dtype=object)
 
-    return languages
-
-
-def _detect_by_join(texts: DataFrame, keys: list[str], text: str, profile: Profile, out: str) -> DataFrame:
-    grams = (
-        texts.select(*keys, F.explode_outer(trigrams(F.col(text))).alias("gram"))
-        .groupBy(*keys, "gram")
-        .agg(F.count("gram").alias("c"))
-    )
-    sums = grams.join(profile.grams, "gram", "left").groupBy(*keys).agg(
-        F.sum("c").alias("_grams"),
-        *[
-            F.coalesce(F.sum(F.col(f"w{i}") * F.col("c")), F.lit(0.0)).alias(f"s{i}")
-            for i in range(len(profile.offsets))
-        ],
-    )
-    scores = F.array(
-        *[
-            F.struct(
-                (F.col(f"s{i}") - F.col("_grams") * offset).alias("score"),
-                F.lit(-i).alias("order"),
-                F.lit(name).alias("language"),
-            )
-            for i, (name, offset) in enumerate(profile.offsets.items())
-        ]
-    )
-    best = F.array_max(scores)["language"]
-    return sums.select(*keys, F.when(F.col("_grams") > 0, best).alias(out))
+    return sums

@@ -6,17 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaleaf.functions import keys
-from glossaleaf.session import materialize
 
 SEARCH_KEYS = ["language_annotation_text", "language_diary_text", "model_id_embedding"]
 RULE_KEYS = ["language_annotation_text", "language_diary_text", "error_rule", "category"]
 
-MAX_BROADCAST_QUERIES = 20_000
-MAX_BROADCAST_NUMBERS = 8_000_000  # 64 MB of doubles
 MAX_BROADCAST_GROUPS = 100_000
 QUERY_BLOCK = 1_024
 MEMORY_BLOCK = 8_192
@@ -63,65 +60,37 @@ def similar_errors(
     k: int = 10,
     group: list[str] | None = None,
     exclude_same_id: bool = False,
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
 ) -> DataFrame:
     """(query_id, rank, error_id, distance): the k nearest stored errors of each query
     with equal ``group`` columns, by squared Euclidean distance, ties by error_id. Exact.
 
     ``queries`` has query_id and ``memory`` has error_id (longs); both have ``embedding``
-    and the group columns. Up to ``max_broadcast`` query vectors go to every task and the
-    memory is read once, in place. Beyond that both sides are cut into blocks of bounded
-    size and every pair of blocks is one small task, so a group that holds a large share
-    of all vectors becomes many tasks. Each task returns at most k rows per query; vector
-    pairs never become rows.
+    and the group columns. Both sides are cut into blocks of bounded size and every pair of
+    blocks is one small task, so a group that holds a large share of all vectors becomes many
+    tasks. Each task returns at most k rows per query; vector pairs never become rows. Every
+    query meets every stored vector of its group: the cost is the product of the two, and a
+    block is sent once for each block of the other side.
     """
     group = group or SEARCH_KEYS
-    # a record without a vector, left by a failed embedding call, is near to nothing
-    queries, memory = (df.filter(F.size("embedding") > 0) for df in (queries, memory))
-    queries = queries.select("query_id", "embedding", *group)
+    queries = _with_vector(queries).select("query_id", "embedding", *group)
     # both may come from one table: new column identities keep the sides apart
-    memory = memory.select("error_id", "embedding", *group).toDF("error_id", "embedding", *group)
-    first = queries.select(F.size("embedding")).first()
-    max_broadcast = min(max_broadcast, MAX_BROADCAST_NUMBERS // max(first[0], 1) if first else 0)
-    probe = queries.limit(max_broadcast + 1).toPandas()
-    if len(probe) <= max_broadcast:
-        found = _scan_memory(probe, memory, k, group, exclude_same_id)
-    else:
-        found = _block_pairs(queries, memory, k, group, exclude_same_id)
-    return _best(found, k)
+    memory = _with_vector(memory).select("error_id", "embedding", *group).toDF("error_id", "embedding", *group)
+    return _best(_block_pairs(queries, memory, k, group, exclude_same_id), k)
+
+
+def _with_vector(df: DataFrame) -> DataFrame:
+    """A record without a vector, left by a failed embedding call, is near to nothing."""
+    return df.filter(F.size("embedding") > 0)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
+    # a pair may have been found in several cells
+    found = found.groupBy("query_id", "error_id").agg(F.min("distance").alias("distance"))
     nearest = Window.partitionBy("query_id").orderBy("distance", "error_id")
     ranked = found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "error_id", "distance")
 
 
-def _scan_memory(
-    queries: pd.DataFrame, memory: DataFrame, k: int, group: list[str], exclude_same_id: bool
-) -> DataFrame:
-    by_group = {
-        tuple(values): (part["query_id"].to_numpy(), np.stack(part["embedding"].to_numpy()).astype("float64"))
-        for values, part in queries.groupby(group)
-    }
-    shared = memory.sparkSession.sparkContext.broadcast(by_group)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[tuple, pd.DataFrame] = {}
-        for batch in batches:
-            for values, part in batch.groupby(group):
-                if tuple(values) not in shared.value:
-                    continue
-                ids, vectors = shared.value[tuple(values)]
-                here = nearest(ids, vectors, *_arrays(part, "error_id"), k, exclude_same_id)
-                if tuple(values) in best:
-                    here = _keep(pd.concat([best[tuple(values)], here]), k)
-                best[tuple(values)] = here
-        yield from best.values()
-
-    return memory.mapInPandas(search, FOUND)
-
-
 def _block_pairs(
     queries: DataFrame, memory: DataFrame, k: int, group: list[str], exclude_same_id: bool
 ) -> DataFrame:
@@ -207,49 +176,42 @@ def with_texts(found: DataFrame, memory: DataFrame) -> DataFrame:
 # ---- approximate variant ----
 
 
-def cell_centres(memory: DataFrame, cells: int, seed: int = 7, train_rows: int = 500_000) -> np.ndarray:
-    """K-means centres of the stored vectors: ``cells`` rows, whatever the table size.
+def cells(vectors: Column, tables: int, bits: int, seed: int) -> Column:
+    """One cell per table: the signs of ``bits`` seeded random projections. Nothing is fitted,
+    so a vector's cells depend on the vector alone."""
 
-    The centres only say where a cell is; every stored vector still belongs to one. So
-    about ``train_rows`` of them are enough to place the centres, and only those are
-    read again in each round.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    @F.pandas_udf("array<int>")
+    def signs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            if batch.empty:
+                yield pd.Series([], dtype=object)
+                continue
+            found = np.stack(batch.to_numpy()).astype("float64")
+            planes = np.random.default_rng(seed).standard_normal((found.shape[1], tables, bits))
+            above = np.einsum("nd,dtb->ntb", found, planes) > 0
+            number = (above << np.arange(bits)).sum(axis=2) + (np.arange(tables) << bits)
+            yield pd.Series(list(number.astype("int32")))
 
-    vectors = memory.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    rows = vectors.count()
-    if rows > train_rows:
-        vectors = materialize(vectors.sample(train_rows / rows, seed), "centre-training")
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(vectors)
-    return np.array([list(c) for c in model.clusterCenters()])
+    return signs(vectors)
 
 
 def similar_errors_approx(
     queries: DataFrame,
     memory: DataFrame,
     k: int = 10,
-    cells: int = 16,
-    probes: int = 6,
-    centres: np.ndarray | None = None,
+    tables: int = 12,
+    bits: int = 3,
+    seed: int = 7,
     exclude_same_id: bool = False,
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
 ) -> DataFrame:
-    """Like ``similar_errors``, but a query only looks into the ``probes`` nearest of
-    ``cells`` cells. The cell is one more group column, so large cells are cut into
-    blocks in the same way. Distances are exact; a near error in another cell is missed.
+    """Like ``similar_errors``, but a query only meets vectors that share one of its cells: one
+    of 2 ** ``bits`` in each of ``tables`` hash tables. The cell is one more group column, so large
+    cells are cut into blocks in the same way. Distances are exact; a near error that shares no
+    cell is missed. More bits cost less and miss more, more tables the reverse; raise the bits
+    with the table so that a cell keeps its size. Without bits all is one cell, and exact.
     """
-    centres = cell_centres(memory, cells) if centres is None else centres
-
-    def nearest_cells(count: int):
-        @F.pandas_udf("array<int>")
-        def cells_of(vectors: pd.Series) -> pd.Series:
-            found = np.stack(vectors.to_numpy()).astype("float64")
-            away = (centres**2).sum(axis=1)[None, :] - 2.0 * (found @ centres.T)
-            return pd.Series(list(np.argsort(away, axis=1, kind="stable")[:, :count].astype("int32")))
 
-        return cells_of(F.col("embedding"))
+    def in_cells(df: DataFrame) -> DataFrame:
+        return _with_vector(df).withColumn("cell", F.explode(cells(F.col("embedding"), tables, bits, seed)))
 
-    asked = queries.withColumn("cell", F.explode(nearest_cells(probes)))
-    stored = memory.withColumn("cell", F.explode(nearest_cells(1)))
-    return similar_errors(asked, stored, k, [*SEARCH_KEYS, "cell"], exclude_same_id, max_broadcast)
+    return similar_errors(in_cells(queries), in_cells(memory), k, [*SEARCH_KEYS, "cell"], exclude_same_id)

@@ -17,6 +17,8 @@ GENERATED = [
     T.StructField("error", T.StringType()),
 ]
 
+EMBEDDING = T.StructField("embedding", T.ArrayType(T.FloatType()))
+
 
 def generate(
     requests: DataFrame,
@@ -36,7 +38,10 @@ def generate(
 
     def ask(chats: list[str]) -> list[dict]:
         try:
-            return list(model(chats))
+            answers = list(model(chats))
+            if len(answers) != len(chats):
+                raise ValueError(f"{len(answers)} answers to {len(chats)} chats")
+            return answers
         except Exception as problem:  # noqa: BLE001 - any model failure becomes data
             if len(chats) == 1:
                 return [{"error": str(problem)}]
@@ -71,22 +76,29 @@ def embed(
 ) -> DataFrame:
     """Adds ``embedding``: the model's vector of each text.
 
-    A failing model fails the job, or with ``empty_on_error`` gives the texts of that call
-    an empty vector.
+    A failing model fails the job, or with ``empty_on_error`` a call that fails is repeated
+    text by text and only a text that still fails gets an empty vector. The rows pass through
+    one Python step, so the model sees a text once however many filters and readers follow in
+    the same job.
     """
+    schema = T.StructType([*[f for f in texts.schema.fields if f.name != "embedding"], EMBEDDING])
+    names = schema.fieldNames()
+
+    def ask(part: list[str]) -> list[list[float]]:
+        try:
+            found = list(model(part))
+            if len(found) != len(part):
+                raise ValueError(f"{len(found)} vectors for {len(part)} texts")
+            return found
+        except Exception:  # noqa: BLE001 - the caller chose what a failure means
+            if not empty_on_error:
+                raise
+            return [[]] if len(part) == 1 else [vector for one in part for vector in ask([one])]
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            asked, found = batch.tolist(), []
-            for i in range(0, len(asked), texts_per_call):
-                part = asked[i: i + texts_per_call]
-                try:
-                    found += model(part)
-                except Exception:  # noqa: BLE001 - the caller chose what a failure means
-                    if not empty_on_error:
-                        raise
-                    found += [[] for _ in part]
-            yield pd.Series(found, dtype=object)
-
-    return texts.withColumn("embedding", vectors(F.col(text)))
+            asked = batch[text].tolist()
+            found = [v for i in range(0, len(asked), texts_per_call) for v in ask(asked[i: i + texts_per_call])]
+            yield batch.assign(embedding=pd.Series(found, index=batch.index, dtype=object))[names]
+
+    return texts.mapInPandas(run, schema)

@@ -1,9 +1,9 @@
 """Row number and previous value per key, when one key may hold a large share of all rows.
 
-A window over a key puts that key's rows into one task. That is fine for keys of a
-known moderate size. Past the limit the rows are range-partitioned on (key, order), so
-a large key spreads over many partitions; each partition numbers its own rows and only
-one summary row per (partition, key) is needed to join the parts up.
+A window over a key puts that key's rows into one task. The rows are therefore
+range-partitioned on (key, order), so a large key spreads over many partitions; each partition
+numbers its own rows and only one summary row per (partition, key) is needed to join the
+parts up. ``spread=False`` asks for the plain window, for keys known to be small.
 """
 
 from __future__ import annotations
@@ -13,14 +13,6 @@ from pyspark.sql import functions as F
 
 from glossaleaf.session import materialize
 
-MAX_ROWS_PER_KEY = 200_000
-
-
-def has_large_key(df: DataFrame, key: str, limit: int = MAX_ROWS_PER_KEY) -> bool:
-    """One look at the key column; combines before the shuffle."""
-    counts = df.groupBy(key).count()
-    return not counts.filter(F.col("count") > limit).isEmpty()
-
 
 def with_previous(
     df: DataFrame,
@@ -28,16 +20,14 @@ def with_previous(
     order: list[str],
     number: str,
     previous: dict[str, str] | None = None,
-    spread: bool | None = None,
+    spread: bool = True,
     total: str | None = None,
 ) -> DataFrame:
     """Adds ``number`` (1, 2, ... per key in order), for each ``{column: name}`` in
     ``previous`` the column's value in the row before, and under the name ``total`` the
-    key's row count. ``order`` must be unique per key.
-
-    ``spread`` forces or forbids the spread form; by default the key counts decide."""
+    key's row count. ``order`` must be unique per key."""
     previous = previous or {}
-    if has_large_key(df, key) if spread is None else spread:
+    if spread:
         return _with_previous_spread(df, key, order, number, previous, total)
     window = Window.partitionBy(key).orderBy(*order)
     out = {number: F.row_number().over(window)}

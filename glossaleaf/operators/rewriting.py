@@ -11,13 +11,16 @@ from glossaleaf.operators import langid
 MAX_TRIES = 5
 
 
-def with_detected_language(attempts: DataFrame, entry: str, profile: langid.Profile) -> DataFrame:
+def with_detected_language(
+    attempts: DataFrame, entry: str, profile: langid.Profile, max_tries: int = MAX_TRIES
+) -> DataFrame:
     """Adds detected_language of each attempt's rewritten text; null without one.
 
-    ``entry`` and ``attempt`` together must be unique. Attempts past the last try are not looked at.
+    ``entry`` and ``attempt`` together must be unique. Attempts past the last try are not looked
+    at; ``max_tries`` must be that of ``chosen_attempts``.
     """
     texts = attempts.select(entry, "attempt", responses.last_rewriting(F.col("response")).alias("_text"))
-    looked_at = texts.filter(F.col("attempt") <= MAX_TRIES)
+    looked_at = texts.filter(F.col("attempt") <= max_tries)
     found = langid.detect(looked_at, [entry, "attempt"], "_text", profile)
     return attempts.join(found, [entry, "attempt"], "left")
 

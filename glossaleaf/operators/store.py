@@ -6,9 +6,11 @@ DataFrame; write it to a new folder, never over the one it was read from.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossaleaf.session import materialize
+
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key; combines before the shuffle."""
@@ -19,18 +21,26 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def append_new(new: DataFrame, existing: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(accepted, refused): a row is refused if its key is stored already or came earlier
-    in ``new``. ``order`` must be unique per key and not null.
+    """(accepted, refused): a row is refused if its key is stored already, came earlier in
+    ``new``, or is null. Of rows with one key and equal ``order`` the one whose other columns
+    hash lowest counts as the earlier, so one row of a key is accepted at most.
 
-    Only keys and order columns are compared. The rows themselves are then matched on
-    key and order together, which spreads the rows of a hot key.
+    Only keys, order columns and that hash are compared. The rows themselves are then
+    matched on all of them, which spreads the rows of a hot key. The outcome is written
+    once and read by both results.
     """
-    first = new.groupBy(key).agg(F.min(F.struct(*order)).alias("_first")).select(key, "_first.*")
-    winners = first.join(existing.select(key), key, "left_anti")
-    match = [key, *order]
-    accepted = new.join(winners, match, "left_semi").select(*new.columns)
-    refused = new.join(winners, match, "left_anti").select(*new.columns)
-    return accepted, refused
+    rest = [c for c in new.columns if c != key and c not in order]
+    tie = F.xxhash64(*rest) if rest else F.lit(0).cast("long")
+    place = [*order, "_tie"]
+    rows = new.withColumn("_tie", tie)
+    first = rows.groupBy(key).agg(F.min(F.struct(*place)).alias("_first")).select(key, "_first.*")
+    winners = first.join(existing.select(key), key, "left_anti").withColumn("_won", F.lit(True))
+    # rows alike in every column are told apart by number
+    alike = Window.partitionBy(key, *place).orderBy(F.lit(1))
+    numbered = rows.withColumn("_nth", F.row_number().over(alike))
+    outcome = materialize(numbered.join(winners, [key, *place], "left"), "append-outcome")
+    is_new = F.coalesce(F.col("_won") & (F.col("_nth") == 1), F.lit(False))
+    return outcome.filter(is_new).select(*new.columns), outcome.filter(~is_new).select(*new.columns)
 
 
 def apply_updates(base: DataFrame, changes: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:

@@ -11,31 +11,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossaleaf.functions import keys
+from glossaleaf.functions.rows import settled
 from glossaleaf.operators import ordered, store
+from glossaleaf.session import materialize
 
 
 def version_numbers(
-    changes: DataFrame, entry: str, order: list[str], spread: bool | None = None
+    changes: DataFrame, entry: str, order: list[str], spread: bool = True, stored: str | None = None
 ) -> DataFrame:
-    """Adds version_from and version_to: each change raises the version by one."""
+    """Adds version_from and version_to: each change raises the version by one.
+
+    ``stored`` names a column with the version that the entry has already, null as 0."""
     numbered = ordered.with_previous(changes, entry, order, "version_to", spread=spread)
+    if stored:
+        numbered = numbered.withColumn("version_to", F.col("version_to") + F.coalesce(F.col(stored), F.lit(0)))
     return numbered.withColumn("version_from", F.col("version_to") - 1)
 
 
+def with_stored_version(changes: DataFrame, entry: str, entries: DataFrame) -> DataFrame:
+    """Adds ``_stored``, the current version of each change's entry; null if it is unknown."""
+    known = entries.select(F.col("primary_id").alias("_id"), F.col("current_version").alias("_stored"))
+    return changes.join(known, changes[entry] == known["_id"], "left").drop("_id")
+
+
 def version_pairs(
-    versions: DataFrame, entry: str, order: list[str], text: str, spread: bool | None = None
+    versions: DataFrame, entry: str, order: list[str], text: str, spread: bool = True, stored: str | None = None
 ) -> DataFrame:
     """(entry, order..., version_from, version_to, old_text, new_text) of every real edit.
 
-    The first text of an entry is version 0; an edit that changes nothing is no edit and
-    raises no version.
+    The first text of an entry is version 0, or the version in the column ``stored``; an edit
+    that changes nothing is no edit and raises no version.
     """
-    cols = versions.select(entry, *order, text)
-    spread = ordered.has_large_key(cols, entry) if spread is None else spread
+    cols = versions.select(entry, *order, text, *([stored] if stored else []))
     paired = ordered.with_previous(cols, entry, order, "_n", {text: "old_text"}, spread)
     paired = paired.withColumnRenamed(text, "new_text")
     edits = paired.filter((F.col("_n") > 1) & (F.col("old_text") != F.col("new_text"))).drop("_n")
-    return version_numbers(edits, entry, order, spread)
+    numbered = version_numbers(edits, entry, order, spread, stored)
+    return numbered.drop(stored) if stored else numbered
 
 
 @F.pandas_udf(T.StringType())
@@ -56,10 +68,10 @@ def unified_diff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 
 def text_changes(pairs: DataFrame, field: str) -> DataFrame:
     """Adds ``changes``: JSON of the changed field and its diff."""
-    diff = unified_diff(F.col("old_text"), F.col("new_text"))
-    return pairs.withColumn("_diff", diff).withColumn(
-        "changes", F.to_json(F.create_map(F.lit(field), F.col("_diff")))
-    ).filter(F.length("_diff") > 0).drop("_diff")
+    made = settled(pairs, _diff=unified_diff(F.col("old_text"), F.col("new_text")))
+    return made.withColumn("changes", F.to_json(F.create_map(F.lit(field), F.col("_diff")))).filter(
+        F.length("_diff") > 0
+    ).drop("_diff")
 
 
 def expression_change(operation: str, primary_id: Column, original: Column, translation: Column) -> Column:
@@ -77,10 +89,17 @@ def expression_change(operation: str, primary_id: Column, original: Column, tran
     )
 
 
-def history_rows(changes: DataFrame, order: list[str], spread: bool | None = None) -> DataFrame:
-    """Version records from (primary_id_DiaryEntry, created_at, changes, order...)."""
+def history_rows(
+    changes: DataFrame, order: list[str], spread: bool = True, entries: DataFrame | None = None
+) -> DataFrame:
+    """Version records from (primary_id_DiaryEntry, created_at, changes, order...).
+
+    With ``entries`` the versions go on from each entry's current one, else from 0."""
     entry = "primary_id_DiaryEntry"
-    numbered = version_numbers(changes, entry, order, spread)
+    if entries is None:
+        numbered = version_numbers(changes, entry, order, spread)
+    else:
+        numbered = version_numbers(with_stored_version(changes, entry, entries), entry, order, spread, "_stored")
     return numbered.select(
         keys.history_key(F.col(entry), F.col("version_to")).alias("history_id"),
         entry,
@@ -100,18 +119,21 @@ def apply_versions(entries: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def edit_texts(
-    entries: DataFrame, edits: DataFrame, field: str, spread: bool | None = None
+    entries: DataFrame, edits: DataFrame, field: str, spread: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(entries after the edits, version records) for edits of one text column.
 
-    ``edits`` has primary_id, at and text; ``at`` is unique per entry. A null text is no
+    Versions go on from the entry's current one. ``edits`` has primary_id, at and text; ``at`` is unique per entry. A null text is no
     edit, nor is one that repeats the text before it. Edits of unknown entries are left out.
     """
-    start = entries.select("primary_id", F.lit(None).cast(edits.schema["at"].dataType).alias("at"), F.col(field).alias("text"))
-    known = edits.filter("text is not null").join(entries.select("primary_id"), "primary_id", "left_semi")
+    start = entries.select("primary_id", F.lit(None).cast(edits.schema["at"].dataType).alias("at"), F.col(field).alias("text"), F.col("current_version").alias("_stored"))
+    known = edits.filter("text is not null").join(
+        entries.select("primary_id", F.col("current_version").alias("_stored")), "primary_id"
+    )
     # the stored text sorts first: null comes before every time
-    texts = start.unionByName(known.select("primary_id", "at", "text"))
-    pairs = version_pairs(texts, "primary_id", ["at"], "text", spread)
+    texts = start.unionByName(known.select("primary_id", "at", "text", "_stored"))
+    # the records and the entries both come from the pairs
+    pairs = materialize(version_pairs(texts, "primary_id", ["at"], "text", spread, "_stored"), "edit-pairs")
     records = text_changes(pairs, field).select(
         keys.history_key(F.col("primary_id"), F.col("version_to")).alias("history_id"),
         F.col("primary_id").alias("primary_id_DiaryEntry"),
@@ -128,7 +150,7 @@ def edit_texts(
 
 
 def line_changes(
-    versions: DataFrame, entry: str, order: list[str], text: str, spread: bool | None = None
+    versions: DataFrame, entry: str, order: list[str], text: str, spread: bool = True
 ) -> DataFrame:
     """Lines added to and removed from each version, with their number.
 

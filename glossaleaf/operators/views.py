@@ -118,7 +118,8 @@ def diary_list(table: DataFrame, events: DataFrame) -> DataFrame:
 
 def diary_detail(table: DataFrame, expression_table: DataFrame, errors: DataFrame) -> DataFrame:
     """The detail page for all visible entries, as rows: the entry itself, then one row per
-    expression and one per error.
+    expression and one per error, each with all its columns. ``kind`` says which; an
+    expression's own key is ``item_id``, and columns that a kind does not have are null.
 
     Rows and not nested lists, so that an entry with any number of expressions stays
     spread over tasks; each item table is only checked for existence of its entry.
@@ -129,28 +130,13 @@ def diary_detail(table: DataFrame, expression_table: DataFrame, errors: DataFram
     def of_shown(items: DataFrame) -> DataFrame:
         return items.join(ids, items["primary_id_DiaryEntry"] == ids["_id"], "left_semi")
 
-    entry_rows = shown.select(
-        "primary_id",
-        F.lit("entry").alias("kind"),
-        F.lit("").alias("item_id"),
-        F.col("diary_original").alias("first_text"),
-        F.col("diary_rewritten").alias("second_text"),
-        F.col("level_rewriting").alias("note"),
-    )
-    expression_rows = of_shown(expression_table).select(
-        F.col("primary_id_DiaryEntry").alias("primary_id"),
-        F.lit("expression").alias("kind"),
-        F.col("primary_id").alias("item_id"),
-        F.col("expression").alias("first_text"),
-        F.col("expression_translation").alias("second_text"),
-        F.lit("").alias("note"),
-    )
-    error_rows = of_shown(errors).select(
-        F.col("primary_id_DiaryEntry").alias("primary_id"),
-        F.lit("error").alias("kind"),
-        F.col("error_rule").alias("item_id"),
-        F.col("example_phrase").alias("first_text"),
-        F.col("correction").alias("second_text"),
-        F.col("category").alias("note"),
+    def rows(items: DataFrame, kind: str, entry: str, **renamed: str) -> DataFrame:
+        """All columns of the items; those of other kinds are added as null by the union."""
+        named = items.withColumnsRenamed({old: new for old, new in renamed.items()})
+        return named.withColumnsRenamed({entry: "primary_id"}).withColumn("kind", F.lit(kind))
+
+    return (
+        rows(as_records(shown), "entry", "primary_id")
+        .unionByName(rows(of_shown(expression_table), "expression", "primary_id_DiaryEntry", primary_id="item_id"), True)
+        .unionByName(rows(of_shown(errors), "error", "primary_id_DiaryEntry"), True)
     )
-    return entry_rows.unionByName(expression_rows).unionByName(error_rows)

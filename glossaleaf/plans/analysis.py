@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaleaf.functions import responses, text
@@ -13,6 +13,8 @@ from glossaleaf.operators import errors as error_ops
 from glossaleaf.operators import intake, langid, memory, rewriting, store, translation
 from glossaleaf.session import materialize
 
+KEY_TAKEN = "entry key already stored"
+
 
 @dataclass
 class Analysis:
@@ -23,6 +25,7 @@ class Analysis:
     reviews: DataFrame
     status: DataFrame
     rejected: DataFrame
+    refused: DataFrame
 
 
 def with_languages(submissions: DataFrame, profile: langid.Profile | None) -> DataFrame:
@@ -60,15 +63,21 @@ def analyse(
     embedding_model: str,
     profile: langid.Profile | None = None,
     strict: bool = True,
+    stored: DataFrame | None = None,
 ) -> Analysis:
     """Submissions and the models' answers (each keyed by primary_id) to the stored tables.
 
     ``attempts`` also has attempt, finish_reason and detected_language (see
-    ``rewriting.with_detected_language``). All joins are on primary_id.
+    ``rewriting.with_detected_language``). All joins are on primary_id; a submission whose
+    key is in ``stored`` or came earlier is refused before the first of them, so that no join
+    multiplies rows. Every job ends with a state: a rejected or refused one as ``error``. An
+    empty draft makes no job.
     """
-    checked = intake.checked(submissions, languages)
-    keyed = intake.with_keys(intake.valid(checked))
-    entries = intake.with_settings(with_languages(keyed, profile))
+    checked = intake.with_keys(intake.checked(submissions, languages))
+    valid = intake.valid(checked)
+    known = (valid.limit(0) if stored is None else stored).select("primary_id")
+    accepted, refused = store.append_new(valid, known, "primary_id", ["created_at", "job_id"])
+    entries = intake.with_settings(with_languages(accepted, profile))
 
     answered = entries.join(translator.select("primary_id", "response"), "primary_id", "left")
     answered = answered.withColumn("response", F.coalesce("response", F.lit("")))
@@ -113,8 +122,17 @@ def analyse(
             F.col("primary_id").alias("diary_id"),
             F.when(F.col("translate_status") == "span_mismatch", "error").otherwise("completed").alias("status"),
             F.when(F.col("translate_status") == "span_mismatch", "Invalid extraction").otherwise("").alias("message"),
-        ),
+        )
+        .unionByName(_failed(intake.jobs(intake.rejected(checked)), F.col("reject_reason")))
+        .unionByName(_failed(refused, F.lit(KEY_TAKEN))),
         rejected=intake.rejected(checked),
+        refused=refused,
+    )
+
+
+def _failed(jobs: DataFrame, message: Column) -> DataFrame:
+    return jobs.select(
+        "job_id", F.col("primary_id").alias("diary_id"), F.lit("error").alias("status"), message.alias("message")
     )
 
 

@@ -257,10 +257,31 @@ CTE = {
     "real_edits": f"""
         SELECT * FROM (SELECT primary_id, turn, text, lag(text) OVER (PARTITION BY primary_id ORDER BY turn) AS old FROM (
             SELECT primary_id, -1 AS turn, diary_rewritten AS text FROM entries
-            UNION ALL SELECT k, turn, t FROM (SELECT {diary_key(created_at('conv_id'))} AS k, turn,
-                CASE turn % 4 WHEN 0 THEN text WHEN 3 THEN NULL ELSE 'same' END AS t FROM conversations)
-            WHERE t IS NOT NULL AND k IN (SELECT primary_id FROM entries)))
+            UNION ALL SELECT k, turn, text FROM (SELECT {diary_key(created_at('conv_id'))} AS k, turn, text FROM conversations)
+            WHERE k IN (SELECT primary_id FROM entries)))
         WHERE turn >= 0 AND old <> text""",
+    "repeated": """
+        SELECT s.* EXCLUDE (job_id), job_id FROM submissions s
+        UNION ALL BY NAME SELECT * REPLACE (job_id || '-again' AS job_id) FROM submissions WHERE n_chars % 10 = 1""",
+    "stored_versions": """
+        SELECT e.primary_id, CASE WHEN n_chars % 4 <> 0 THEN length(b.text) % 6 END AS stored FROM entries e JOIN base b USING (doc_id)""",
+    "chain": f"""
+        SELECT s.doc_id, s.primary_id, s.created_at, s.title_diary, s.level_rewriting, s.n_chars, s.draft_text,
+            CASE WHEN lang_diary_body <> '' AND lang_annotation <> '' THEN {strip('lang_diary_body')} END AS code,
+            CASE WHEN lang_diary_body <> '' AND lang_annotation <> '' THEN {strip('lang_annotation')} END AS note_code,
+            t.translate_status, t.draft_replaced
+        FROM submissions_checked s JOIN translated t USING (doc_id) WHERE reject_reason IS NULL""",
+    "chain_chosen": f"""
+        SELECT doc_id, CASE WHEN status = 'success' THEN {word('found[-1]')} ELSE response END AS rewriting FROM (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN status IN ('success', 'insufficient_length') THEN 0 ELSE 1 END,
+                CASE WHEN status IN ('success', 'insufficient_length') THEN attempt ELSE -attempt END) AS r
+            FROM (SELECT *, CASE WHEN len(found) = 0 THEN 'xml_error' WHEN finish_reason = 'length' THEN 'insufficient_length'
+                    WHEN detected_language IS DISTINCT FROM code THEN 'incorrect_language' ELSE 'success' END AS status
+                FROM (SELECT a.*, c.code, regexp_extract_all(response, '<rewriting>(.*?)</rewriting>', 1, 's') AS found
+                    FROM attempts a JOIN chain c USING (doc_id) WHERE translate_status = 'ok'))
+            WHERE attempt <= 5) WHERE r = 1""",
+    "review_answers": """
+        SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE '<review>first</review>' || chr(10) || '<review>' || text || '</review> end' END AS answer FROM drafts""",
     "grams": """
         SELECT doc_id, language_source, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
         FROM (SELECT doc_id, language_source, string_split(text, '') AS c FROM base)""",
@@ -394,11 +415,66 @@ BODY = {
             GROUP BY diary_id) j ON j.diary_id = e.primary_id
         WHERE e.is_show""",
     "diary_detail": """
-        SELECT primary_id, 'entry' AS kind, '' AS item_id, diary_original AS first_text, diary_rewritten AS second_text, level_rewriting AS note FROM entries WHERE is_show
-        UNION ALL SELECT "primary_id_DiaryEntry", 'expression', primary_id, expression, expression_translation, '' FROM expressions
+        SELECT 'entry' AS kind, * EXCLUDE (doc_id) REPLACE (coalesce(current_version, 0) AS current_version) FROM entries WHERE is_show
+        UNION ALL BY NAME SELECT 'expression' AS kind, * EXCLUDE (original_start, original_end, primary_id, "primary_id_DiaryEntry"),
+            "primary_id_DiaryEntry" AS primary_id, primary_id AS item_id FROM expressions
             WHERE "primary_id_DiaryEntry" IN (SELECT primary_id FROM entries WHERE is_show)
-        UNION ALL SELECT "primary_id_DiaryEntry", 'error', error_rule, example_phrase, correction, category FROM memory
-            WHERE "primary_id_DiaryEntry" IN (SELECT primary_id FROM entries WHERE is_show)""",
+        UNION ALL BY NAME SELECT 'error' AS kind, * EXCLUDE (error_id, embedding, "primary_id_DiaryEntry"), "primary_id_DiaryEntry" AS primary_id
+            FROM memory WHERE "primary_id_DiaryEntry" IN (SELECT primary_id FROM entries WHERE is_show)""",
+    "append_duplicate_keys": """
+        SELECT job_id, primary_id, CASE WHEN primary_id NOT IN (SELECT primary_id FROM entries WHERE NOT is_show)
+            AND row_number() OVER (PARTITION BY primary_id ORDER BY created_at, job_id) = 1 THEN 'accepted' ELSE 'refused' END AS outcome
+        FROM repeated""",
+    "append_expressions": "SELECT * EXCLUDE (original_start, original_end) FROM expressions",
+    "append_error_memory": 'SELECT "primary_id_DiaryEntry", example_phrase, page_content, ' + ", ".join(
+        f"CAST(length(page_content) - length(replace(page_content, '{v}', '')) AS FLOAT) AS v{i}" for i, v in enumerate("aeiou")) + " FROM memory",
+    "edit_from_stored_version": """
+        SELECT e.primary_id, CAST(CASE WHEN v.n IS NULL THEN stored ELSE coalesce(stored, 0) + v.n END AS INTEGER) AS current_version,
+            CAST(CASE WHEN v.n IS NOT NULL THEN coalesce(stored, 0) END AS INTEGER) AS first_from,
+            CAST(coalesce(stored, 0) + v.n AS INTEGER) AS last_to
+        FROM stored_versions e LEFT JOIN (SELECT primary_id, count(*) AS n FROM real_edits GROUP BY 1) v USING (primary_id)""",
+    "history_from_stored_version": """
+        SELECT sha256(id || '_' || version_to) AS history_id, id AS "primary_id_DiaryEntry",
+            CAST(version_to - 1 AS INTEGER) AS version_from, CAST(version_to AS INTEGER) AS version_to FROM (
+            SELECT "primary_id_DiaryEntry" AS id, coalesce(stored, 0)
+                + row_number() OVER (PARTITION BY "primary_id_DiaryEntry" ORDER BY created_at, e.primary_id) AS version_to
+            FROM expressions e LEFT JOIN stored_versions s ON s.primary_id = "primary_id_DiaryEntry")""",
+    "edit_records": f"""
+        SELECT sha256(primary_id || '_' || n) AS history_id, primary_id AS "primary_id_DiaryEntry", CAST(n - 1 AS INTEGER) AS version_from,
+            CAST(n AS INTEGER) AS version_to, {created_at('turn')} AS created_at
+        FROM (SELECT *, row_number() OVER (PARTITION BY primary_id ORDER BY turn) AS n FROM real_edits)""",
+    "similar_errors_one_cell": "SELECT query_id, CAST(rank AS INTEGER) AS rank, error_id, round(distance, 5) AS distance FROM ranked WHERE rank <= 10",
+    "job_failures": """
+        SELECT job_id, primary_id AS diary_id, created_at AS ts, 'error' AS status, reject_reason AS message FROM submissions_checked
+        WHERE reject_reason IS NOT NULL AND reject_reason <> 'Please enter some text.'""",
+    "chain_entries": """
+        SELECT c.primary_id, c.created_at, strftime(c.created_at, '%Y-%m-%d') AS date_diary, coalesce(code, 'Unknown') AS language_source,
+            coalesce(note_code, 'Unknown') AS language_annotation, draft_text AS diary_original, draft_replaced AS diary_replaced,
+            CASE WHEN translate_status = 'ok' AND n_chars % 4 = 1 THEN coalesce(w.rewriting, '') ELSE '' END AS diary_rewritten,
+            level_rewriting, 'tutor' AS model_id_tutor, title_diary, CAST(0 AS INTEGER) AS current_version, true AS is_show
+        FROM chain c LEFT JOIN chain_chosen w USING (doc_id)""",
+    "chain_expressions": """
+        SELECT e.* EXCLUDE (original_start, original_end) REPLACE (coalesce(code, 'Unknown') AS language_source, coalesce(note_code, 'Unknown') AS language_annotation)
+        FROM expressions e JOIN chain c ON c.primary_id = e."primary_id_DiaryEntry" """,
+    "chain_errors": """
+        SELECT e."primary_id_DiaryEntry", 'embedder' AS model_id_embedding, code AS language_diary_text, note_code AS language_annotation_text,
+            error_rule, example_phrase, correction, category,
+            category || ' Error: ' || error_rule || '. Example: ''' || example_phrase || ''' -> ''' || correction || '''' AS page_content
+        FROM errors e JOIN chain c ON c.primary_id = e."primary_id_DiaryEntry"
+        WHERE translate_status = 'ok' AND code IS NOT NULL AND category IN ('Grammar', 'Vocabulary', 'Spelling', 'None')
+            AND example_phrase <> correction""",
+    "chain_reviews": """
+        SELECT primary_id, CASE WHEN translate_status = 'ok' AND n_chars % 3 = 1
+            THEN coalesce(regexp_extract_all(answer, '<review>(.*?)</review>', 1, 's')[-1], answer) ELSE '' END AS total_review
+        FROM chain JOIN review_answers USING (doc_id)""",
+    "chain_status": """
+        SELECT 'job-' || doc_id AS job_id, primary_id AS diary_id,
+            CASE WHEN translate_status = 'span_mismatch' THEN 'error' ELSE 'completed' END AS status,
+            CASE WHEN translate_status = 'span_mismatch' THEN 'Invalid extraction' ELSE '' END AS message FROM chain
+        UNION ALL SELECT r.job_id, r.primary_id, 'error', coalesce(s.reject_reason, 'entry key already stored')
+        FROM repeated r JOIN submissions_checked s USING (doc_id)
+        WHERE (s.reject_reason IS NOT NULL AND s.reject_reason <> 'Please enter some text.')
+            OR (s.reject_reason IS NULL AND r.job_id LIKE '%-again')""",
     "diary_error_join": 'SELECT e.primary_id, m.error_id, m.error_rule, m.category, e.diary_original, e.date_diary, m.language_diary_text FROM memory m JOIN entries e ON e.primary_id = m."primary_id_DiaryEntry" WHERE e.is_show',
     "soft_delete": "SELECT primary_id, is_show AND primary_id NOT IN (SELECT diary_id FROM status_events WHERE status = 'error') AS is_show, title_diary FROM entries",
     "apply_results": "SELECT e.primary_id, e.diary_original, t.draft_replaced AS diary_replaced, e.is_show FROM entries e JOIN translated t USING (primary_id)",
@@ -436,6 +512,7 @@ BODY = {
     "stream_unique_jobs": "SELECT DISTINCT job_id, diary_id FROM status_events",
 }
 BODY["stream_job_status"] = BODY["job_status_latest"]
+BODY["append_history"] = BODY["version_history"]
 
 
 def _needed(sql: str) -> list[str]:

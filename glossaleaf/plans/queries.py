@@ -14,6 +14,7 @@ from glossaleaf.languages import Languages
 from glossaleaf.operators import (
     errors, intake, langid, memory, models, rewriting, store, translation, versions, views,
 )
+from glossaleaf.plans import analysis
 from glossaleaf.sources import given
 from glossaleaf.sources.tables import spread
 from glossaleaf.streaming import jobs
@@ -275,6 +276,16 @@ def similar_errors_approx(spark, sf):
     return found
 
 
+@query
+def similar_errors_one_cell(spark, sf):
+    """The hashed search with all vectors in one cell, which makes it exact."""
+    def search(asked, stored, **options):
+        return memory.similar_errors_approx(asked, stored, tables=1, bits=0, **options)
+
+    _, found = _similar(spark, sf, search)
+    return found.select("query_id", "rank", "error_id", F.round("distance", 5).alias("distance"))
+
+
 @query
 def recurring_by_distance(spark, sf):
     asked, found = _similar(spark, sf, k=1)
@@ -305,11 +316,8 @@ def rewrite_attempts(spark, sf):
 
 @query
 def review_text(spark, sf):
-    d = given.drafts(spark, sf)
-    answer = F.when(given.case("doc_id", 3, 0), F.col("text")).otherwise(
-        F.concat(F.lit("<review>first</review>\n<review>"), "text", F.lit("</review> end"))
-    )
-    return d.select("doc_id", responses.review_text(answer).alias("review"))
+    answers = given.review_answers(spark, sf)
+    return answers.select("doc_id", responses.review_text(F.col("response")).alias("review"))
 
 
 # ---- prompts, settings, generation logs ----
@@ -499,6 +507,13 @@ def initial_status(spark, sf):
     return intake.initial_status(intake.with_keys(intake.valid(_checked_submissions(spark, sf))))
 
 
+@query
+def job_failures(spark, sf):
+    """The state in which rejected jobs end, with its message."""
+    checked = intake.checked(given.submissions(spark, sf), Languages(spark))
+    return intake.failure_status(intake.with_keys(intake.rejected(checked)))
+
+
 @query
 def lang_code_invalid(spark, sf):
     code = text.strip(F.col("lang_diary_body"))
@@ -545,6 +560,54 @@ def append_diary(spark, sf):
     return views.as_records(tables.read_table(spark, path, DIARY_ENTRIES))
 
 
+@query
+def append_duplicate_keys(spark, sf):
+    """Submissions of which some come twice with one key and time, against some stored ones."""
+    keyed = intake.with_keys(given.submissions_with_repeats(spark, sf)).select("job_id", "primary_id", "created_at", "title_diary")
+    stored = given.diary_entries(spark, sf).filter("not is_show").select("primary_id")
+    accepted, refused = store.append_new(keyed, stored, "primary_id", ["created_at", "job_id"])
+    outcome = accepted.withColumn("outcome", F.lit("accepted")).unionByName(refused.withColumn("outcome", F.lit("refused")))
+    return outcome.select("job_id", "primary_id", "outcome")
+
+
+@query
+def append_expressions(spark, sf):
+    """Expression rows appended to their stored table and read back."""
+    from glossaleaf.schemas import UNKNOWN_EXPRESSIONS
+
+    return _flat_spans(_appended(spark, given.unknown_expressions(spark, sf), "expressions", UNKNOWN_EXPRESSIONS, ["created_at"]))
+
+
+@query
+def append_history(spark, sf):
+    """Version records appended to their stored table and read back."""
+    from glossaleaf.schemas import VERSION_HISTORY
+
+    return _appended(spark, version_history(spark, sf), "history", VERSION_HISTORY, ["created_at"], "history_id")
+
+
+@query
+def append_error_memory(spark, sf):
+    """Errors embedded, appended to the memory, read back and searched: each finds its like."""
+    from glossaleaf.schemas import ERROR_MEMORY
+
+    stored = memory.to_memory(given.error_memory(spark, sf).drop("embedding"))
+    made = models.embed(stored, "page_content", letter_counts).withColumn("category", F.col("category"))
+    back = _appended(spark, made, "memory", ERROR_MEMORY, ["error_rule"], "example_phrase")
+    cells = [F.get("embedding", i).alias(f"v{i}") for i in range(5)]
+    return back.select("primary_id_DiaryEntry", "example_phrase", "page_content", *cells)
+
+
+def _appended(spark, rows, name, schema, order, key="primary_id"):
+    from glossaleaf.session import fresh_path
+    from glossaleaf.sources import tables
+
+    path = fresh_path(spark, name)
+    accepted, _ = store.append_new(rows, tables.read_table(spark, path, schema), key, order)
+    tables.append_table(accepted, path, schema)
+    return tables.read_table(spark, path, schema)
+
+
 @query
 def append_new_only(spark, sf):
     events = given.status_events(spark, sf)
@@ -574,9 +637,9 @@ def diary_list(spark, sf):
 
 @query
 def diary_detail(spark, sf):
-    return views.diary_detail(
-        given.diary_entries(spark, sf), given.unknown_expressions(spark, sf), given.error_memory(spark, sf)
-    )
+    errors_table = memory.to_memory(given.error_memory(spark, sf)).drop("embedding", "error_id")
+    expression_table = _flat_spans(given.unknown_expressions(spark, sf))
+    return views.diary_detail(given.diary_entries(spark, sf), expression_table, errors_table)
 
 
 @query
@@ -687,6 +750,72 @@ def edit_history(spark, sf):
     return records
 
 
+@query
+def edit_records(spark, sf):
+    """The records of the edits without their diffs."""
+    return edit_history(spark, sf).drop("changes")
+
+
+@query
+def edit_from_stored_version(spark, sf):
+    """Edits and added expressions of entries that have versions already."""
+    entries = given.stored_entries(spark, sf)
+    updated, records = versions.edit_texts(entries, given.text_edits(spark, sf), "diary_rewritten")
+    seen = records.groupBy(F.col("primary_id_DiaryEntry").alias("primary_id")).agg(
+        F.min("version_from").alias("first_from"), F.max("version_to").alias("last_to")
+    )
+    return updated.join(seen, "primary_id", "left").select("primary_id", "current_version", "first_from", "last_to")
+
+
+@query
+def history_from_stored_version(spark, sf):
+    table = given.unknown_expressions(spark, sf)
+    changes = table.select("primary_id_DiaryEntry", "created_at", F.col("primary_id").alias("change_id"), F.lit("{}").alias("changes"))
+    rows = versions.history_rows(changes, ["created_at", "change_id"], entries=given.stored_entries(spark, sf))
+    return rows.select("history_id", "primary_id_DiaryEntry", "version_from", "version_to")
+
+
+# ---- the whole chain ----
+
+
+def _chain(spark, sf):
+    answers = [given.translator_responses(spark, sf), given.archivist_responses(spark, sf)]
+    return analysis.analyse(
+        given.submissions_with_repeats(spark, sf),
+        *[a.select("primary_id", "response") for a in answers],
+        given.rewriter_attempts(spark, sf).select("primary_id", "attempt", "response", "finish_reason", "detected_language"),
+        given.review_answers(spark, sf).select("primary_id", "response"),
+        Languages(spark),
+        "tutor",
+        "embedder",
+    )
+
+
+@query
+def chain_entries(spark, sf):
+    return views.as_records(_chain(spark, sf).entries)
+
+
+@query
+def chain_expressions(spark, sf):
+    return _flat_spans(_chain(spark, sf).expressions)
+
+
+@query
+def chain_errors(spark, sf):
+    return _chain(spark, sf).errors.drop("error_no")
+
+
+@query
+def chain_reviews(spark, sf):
+    return _chain(spark, sf).reviews
+
+
+@query
+def chain_status(spark, sf):
+    return _chain(spark, sf).status
+
+
 # ---- streams ----
 
 

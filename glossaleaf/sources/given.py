@@ -100,7 +100,23 @@ def submissions_of(documents: DataFrame) -> DataFrame:
         F.when(case("n_chars", 4, 1), F.lit(True)).when(case("n_chars", 4, 2), F.lit(False)).alias("rewriter_is_execute"),
         F.when(case("n_chars", 3, 1), F.lit(True)).alias("reviewer_is_execute"),
         F.when(case("n_chars", 2, 1), F.lit(True)).alias("translator_enable_thinking"),
+        "n_chars",
+    )
+
+
+def submissions_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions, some of which come a second time as another job with the same key."""
+    rows = submissions(spark, sf_dir)
+    jobs = F.array(F.col("job_id"), F.when(case("n_chars", 10, 1), F.concat("job_id", F.lit("-again"))))
+    return rows.withColumn("job_id", F.explode(F.array_compact(jobs)))
+
+
+def review_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reviewer's answer per draft; every third has no tag."""
+    answer = F.when(case("doc_id", 3, 0), F.col("text")).otherwise(
+        F.concat(F.lit("<review>first</review>\n<review>"), "text", F.lit("</review> end"))
     )
+    return drafts(spark, sf_dir).withColumn("response", answer)
 
 
 def translator_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +219,13 @@ def diary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diary entries that have been edited before: stored versions 0 to 5, some null."""
+    return diary_entries(spark, sf_dir).withColumn(
+        "current_version", F.when(F.col("current_version").isNotNull(), (F.length("diary_original") % 6).cast("int"))
+    )
+
+
 def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translation.with_substitution(translation.with_pairs(translator_responses(spark, sf_dir)))
 
@@ -234,14 +257,17 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation turn as an edit of one entry; every fourth repeats the one before."""
+    """Each conversation turn, whole, as an edit of one entry. After some turns the same text
+    or no text is submitted once more, a minute later."""
     turns = table(spark, sf_dir, "conversations")
-    return turns.select(
-        diary_key(F.col("conv_id")).alias("primary_id"),
-        created_at(F.col("turn")).alias("at"),
-        F.when(F.col("turn") % 4 == 3, F.lit(None)).when(F.col("turn") % 4 == 2, "same").when(F.col("turn") % 4 == 1, "same")
-        .otherwise(F.col("text")).alias("text"),
+    at, later = created_at(F.col("turn")), created_at(F.col("turn")) + F.expr("INTERVAL 1 MINUTE")
+    again = F.when(case("turn", 4, 2), F.col("text"))
+    edits = F.array(
+        F.struct(at.alias("at"), F.col("text").alias("text")),
+        F.when(F.col("turn") % 4 >= 2, F.struct(later.alias("at"), again.alias("text"))),
     )
+    rows = turns.select(diary_key(F.col("conv_id")).alias("primary_id"), F.explode(F.array_compact(edits)).alias("e"))
+    return rows.select("primary_id", "e.at", "e.text")
 
 
 def error_memory(spark: SparkSession, sf_dir: str) -> DataFrame:

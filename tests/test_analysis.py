@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from glossaleaf.languages import Languages
 from glossaleaf.operators import langid
 from glossaleaf.plans import analysis
@@ -8,8 +10,8 @@ from glossaleaf.sources import given
 
 ECHO_PAIR = "<bracket>[text]</bracket><translation>corresponding translation</translation>"
 ECHO_ERROR = "<error><rule>r</rule><correction>c</correction></error>"
-FRENCH = "Je me appelle Jessica. Je suis une [girl], je suis française et je avoir [13 years old]."
-CHINESE = "我在[diary]里写中文。我是一名[language learner]。"
+FRENCH = "Hier je allé au marché avec ma [aunt]. Il y avait beaucoup de [fresh vegetables] partout."
+CHINESE = "昨天我去了[market]买东西。我喜欢[fresh vegetables]。"
 
 
 def key(second):
@@ -34,14 +36,14 @@ def chain_inputs(spark):
 
     translator = spark.createDataFrame(
         [
-            (key(0), pairs(("[girl]", "fille"), ("[13 years old]", "13 ans"))),
-            (key(1), pairs(("[diary]", "日记"), ("[language learner]", "学生"))),
+            (key(0), pairs(("[aunt]", "tante"), ("[fresh vegetables]", "légumes frais"))),
+            (key(1), pairs(("[market]", "市场"), ("[fresh vegetables]", "新鲜蔬菜"))),
             (key(3), "<bracket>[aa]</bracket><translation>x</translation>"),
         ],
         "primary_id string, response string",
     )
     found = (
-        "<error><rule>verb</rule><phrase>je avoir</phrase><correction>j'ai</correction><category>Grammar</category></error>"
+        "<error><rule>verb</rule><phrase>je allé</phrase><correction>je suis allé</correction><category>Grammar</category></error>"
         "<error><rule>none</rule><phrase>a</phrase><correction>a</correction><category>Grammar</category></error>"
         "<error><rule>style</rule><phrase>a</phrase><correction>b</correction><category>Style</category></error>"
     )
@@ -49,7 +51,7 @@ def chain_inputs(spark):
     attempts = spark.createDataFrame(
         [
             (key(0), 1, "no tag", "stop", "fra"),
-            (key(0), 2, "<rewriting>Je m'appelle [Jessica].</rewriting>", "stop", "fra"),
+            (key(0), 2, "<rewriting>Hier je suis allé au [marché].</rewriting>", "stop", "fra"),
             (key(1), 1, "<rewriting>中文</rewriting>", "stop", "jpn"),
         ],
         "primary_id string, attempt int, response string, finish_reason string, detected_language string",
@@ -67,22 +69,48 @@ def test_whole_chain(spark):
     entries = {r.primary_id: r for r in done.entries.collect()}
     assert set(entries) == {key(0), key(1), key(3)}
     first = entries[key(0)]
-    assert first.diary_replaced == "Je me appelle Jessica. Je suis une fille, je suis française et je avoir 13 ans."
-    assert first.diary_rewritten == "Je m'appelle Jessica."
+    assert first.diary_replaced == "Hier je allé au marché avec ma tante. Il y avait beaucoup de légumes frais partout."
+    assert first.diary_rewritten == "Hier je suis allé au marché."
     assert (first.language_source, first.is_show, first.current_version) == ("fra", True, 0)
     assert entries[key(1)].diary_rewritten == "<rewriting>中文</rewriting>"
     assert (entries[key(3)].diary_replaced, entries[key(3)].diary_rewritten) == ("", "")
     assert done.entries.columns == DIARY_ENTRIES.fieldNames()
 
-    assert sorted(r.expression for r in done.expressions.collect()) == ["[13 years old]", "[diary]", "[girl]", "[language learner]"]
+    assert sorted(r.expression for r in done.expressions.collect()) == ["[aunt]", "[fresh vegetables]", "[fresh vegetables]", "[market]"]
     errors = done.errors.collect()
-    assert [r.page_content for r in errors] == ["Grammar Error: verb. Example: 'je avoir' -> 'j'ai'"]
+    assert [r.page_content for r in errors] == ["Grammar Error: verb. Example: 'je allé' -> 'je suis allé'"]
     assert [r.reject_reason for r in done.errors_rejected.collect()] == ["category"]
     assert {r.primary_id: r.total_review for r in done.reviews.collect()} == {key(0): "", key(1): "r1", key(3): ""}
-    assert {r.job_id: r.status for r in done.status.collect()} == {"j0": "completed", "j1": "completed", "j3": "completed"}
+    states = {r.job_id: (r.status, r.message) for r in done.status.collect()}
+    assert states == {"j0": ("completed", ""), "j1": ("completed", ""), "j2": ("error", "invalid level"), "j3": ("completed", "")}
     assert [(r.job_id, r.reject_reason) for r in done.rejected.collect()] == [("j2", "invalid level")]
 
 
+def test_a_second_job_with_one_key_is_refused_before_any_join(spark):
+    inputs = chain_inputs(spark)
+    twice = inputs[0].unionByName(inputs[0].filter("job_id in ('j0', 'j1')").withColumn("job_id", F.concat("job_id", F.lit("b"))))
+    stored = spark.createDataFrame([(key(3),)], "primary_id string")
+    done = analysis.analyse(twice, *inputs[1:], Languages(spark), "tutor", "embedder", stored=stored)
+    assert sorted(r.primary_id for r in done.entries.collect()) == [key(0), key(1)]
+    assert done.expressions.count() == 4 and done.reviews.count() == 2
+    states = {r.job_id: r.status for r in done.status.collect()}
+    assert states == {"j0": "completed", "j1": "completed", "j2": "error", "j3": "error", "j0b": "error", "j1b": "error"}
+
+
+def test_all_iso_codes(spark, tmp_path):
+    import json
+
+    from glossaleaf import languages
+    from glossaleaf.operators import intake
+
+    listed = [{"alpha_3": "fra", "alpha_2": "fr", "name": "French", "scope": "I"}, {"alpha_3": "yue", "name": "Yue Chinese"}, {"alpha_3": "eng", "alpha_2": "en", "name": "English"}]
+    (tmp_path / "iso.json").write_text(json.dumps({"639-3": listed}))
+    known = Languages(spark, languages.from_iso_codes(spark, str(tmp_path / "iso.json")))
+    sent = chain_inputs(spark)[0].filter("job_id = 'j0'").withColumn("lang_diary_body", F.lit("yue"))
+    assert intake.valid(intake.checked(sent, known)).count() == 1
+    assert intake.valid(intake.checked(sent, Languages(spark))).count() == 0
+
+
 def test_stored_keys_are_refused(spark):
     done = run(spark)
     accepted, refused = analysis.save_new(done.entries.filter(f"primary_id = '{key(0)}'"), done)

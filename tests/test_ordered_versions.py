@@ -39,11 +39,6 @@ def test_spread_form_splits_the_large_key(skewed):
     assert parts.filter("entry = 'hot'").select("_part").distinct().count() > 1
 
 
-def test_large_key_is_noticed(skewed):
-    assert ordered.has_large_key(skewed, "entry", 1000)
-    assert not ordered.has_large_key(skewed, "entry", 1500)
-
-
 @pytest.mark.parametrize("spread", [False, True])
 def test_pairs_and_line_changes_against_plain_python(skewed, spread):
     texts = {}
@@ -98,3 +93,17 @@ def test_edits_become_versions(spark, spread):
     assert got == [("a", 0, 1, 1), ("a", 1, 2, 4)]
     raised = versions.apply_versions(entries, records)
     assert {r.primary_id: r.current_version for r in raised.collect()} == {"a": 2, "b": 0}
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_versions_go_on_from_the_stored_one(spark, spread):
+    schema = "primary_id string, diary_rewritten string, current_version int"
+    entries = spark.createDataFrame([("a", "t0", 3), ("b", "u0", None), ("c", "w0", 5)], schema)
+    edits = spark.createDataFrame([("a", 1, "t1"), ("a", 2, "t2"), ("b", 1, "u1")], "primary_id string, at int, text string")
+    updated, records = versions.edit_texts(entries, edits, "diary_rewritten", spread)
+    assert sorted(tuple(r) for r in updated.collect()) == [("a", "t2", 5), ("b", "u1", 1), ("c", "w0", 5)]
+    got = sorted((r.primary_id_DiaryEntry, r.version_from, r.version_to) for r in records.collect())
+    assert got == [("a", 3, 4), ("a", 4, 5), ("b", 0, 1)]
+    changes = spark.createDataFrame([("a", 1, "x"), ("zz", 1, "y")], "primary_id_DiaryEntry string, created_at int, changes string")
+    rows = versions.history_rows(changes, ["created_at"], spread, entries).collect()
+    assert sorted((r.primary_id_DiaryEntry, r.version_from, r.version_to) for r in rows) == [("a", 3, 4), ("zz", 0, 1)]
