@@ -1,10 +1,9 @@
-"""What the operators share: tables, words, row keys and Arrow batches."""
+"""What the operators share: tables, words and row keys."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +46,6 @@ def packed(docs: DataFrame) -> Column:
     return F.struct(*[docs[f"`{c}`"] for c in docs.columns])
 
 
-def map_texts(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def id_key(doc_id: str = "doc_id") -> Column:
+    """The id as a text, null as empty: a key that joins, windows and shuffles treat alike."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossaleaf.llm.common import ascii_lower, packed, whole
+from glossaleaf.llm.common import ascii_lower, id_key, packed, whole
 
 SALTS = 16
 
@@ -66,11 +66,10 @@ def mark(docs: DataFrame, text: str = "text", salts: int = SALTS) -> DataFrame:
 
 def kept_rows(docs: DataFrame, text: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see :func:`mark`."""
-    rows = docs.select(packed(docs).alias("row"), "doc_id", F.sha2(ascii_lower(whole(text)), 256).alias("digest"))
-    best = _groups(_texts(docs, text), salts).select(
-        F.col("digest").alias("best_digest"), F.col("keep_id").alias("best_id")
-    )
-    same = (rows["digest"] == best["best_digest"]) & rows["doc_id"].eqNullSafe(best["best_id"])
-    again = Window.partitionBy("digest", "doc_id").orderBy(F.lit(1))
-    stay = rows.join(best, same, "left_semi").withColumn("nth", F.row_number().over(again))
+    digest = F.sha2(ascii_lower(whole(text)), 256)
+    rows = docs.select(packed(docs).alias("row"), digest.alias("digest"), id_key().alias("id_key"))
+    best = _groups(_texts(docs, text), salts).select("digest", id_key("keep_id").alias("id_key"))
+    # join and window have the same key, so the rows are dealt out once
+    again = Window.partitionBy("digest", "id_key").orderBy(F.lit(1))
+    stay = rows.join(best, ["digest", "id_key"], "left_semi").withColumn("nth", F.row_number().over(again))
     return stay.filter("nth = 1").select("row.*")
