@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossaleaf.llm.common import packed, whole
+from glossaleaf.llm.common import id_key, packed, whole
 from glossaleaf.llm.components import components
 from glossaleaf.session import materialize
 
@@ -176,11 +176,10 @@ def kept_rows(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, max_b
     rows, roots = _members(docs, text, shingle, max_bits)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     firsts = rows.groupBy("fp").agg(F.min(order).alias("first")).join(roots, "fp")
-    best = firsts.groupBy("root").agg(F.min("first").alias("first")).select(
-        F.col("first.doc_id").alias("best_id"), F.col("first.text_key").alias("best_key")
-    )
-    all_rows = docs.select(packed(docs).alias("row"), "doc_id", F.xxhash64(whole(text)).alias("text_key"))
-    same = (all_rows["text_key"] == best["best_key"]) & all_rows["doc_id"].eqNullSafe(best["best_id"])
-    again = Window.partitionBy("text_key", "doc_id").orderBy(F.lit(1))
-    stay = all_rows.join(best, same, "left_semi").withColumn("nth", F.row_number().over(again))
+    best = firsts.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
+    best = best.select("text_key", id_key().alias("id_key"))
+    all_rows = docs.select(packed(docs).alias("row"), F.xxhash64(whole(text)).alias("text_key"), id_key().alias("id_key"))
+    # join and window have the same key, so the rows are dealt out once
+    again = Window.partitionBy("text_key", "id_key").orderBy(F.lit(1))
+    stay = all_rows.join(best, ["text_key", "id_key"], "left_semi").withColumn("nth", F.row_number().over(again))
     return stay.filter("nth = 1").select("row.*")
