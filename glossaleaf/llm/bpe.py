@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from glossaleaf.llm.common import whole
 
-# a worker keeps so many encoded pre-tokens, none longer than this
-CACHE_PIECES = 1_000_000
+# a worker keeps two generations of so many encoded pre-tokens, none longer than this
+CACHE_PIECES = 250_000
 CACHE_CHARS = 40
+# rows in Python at once
+ROWS = 500
 
 BIT = [1 << k for k in range(256)]
 
@@ -108,21 +111,33 @@ class Vocabulary:
 
 
 class _Pieces(dict):
-    """Encoded pre-tokens of this worker; starts anew when it is full."""
+    """Encoded pre-tokens of this worker. When it is full it becomes the elder generation, from
+    which pieces that come again are taken over."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.elder: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.vocabulary.merged(piece.encode()), "<u4").tobytes()
+        ids = self.elder.get(piece)
+        if ids is None:
+            merged = self.vocabulary.merged(piece.encode())
+            ids = struct.pack(f"<{len(merged)}I", *merged)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
+                self.elder = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+def _some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(rank_file: bytes, pattern: str) -> Vocabulary:
     return Vocabulary(rank_file, pattern)
@@ -152,7 +167,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(ranks.value, pattern)
-        for batch in batches:
+        for batch in _some_rows(batches):
             ids = [known.encode(x) for x in batch.column(0).to_pylist()]
             decoded = [known.decode(x) for x in ids]
             columns = {f.name: batch.column(i + 1) for i, f in enumerate(carried)}
@@ -175,7 +190,7 @@ def lengths(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(ranks.value, pattern)
-        for batch in batches:
+        for batch in _some_rows(batches):
             counts = [len(known.encode(x)) >> 2 for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], names=["n_tokens"])
 
