@@ -137,7 +137,7 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.add(hash((key, at, text_key, start)), at, text_key, start, n, None)  # spread evenly
 
     for batch in batches:
-        for at, text_key, text, starts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for at, text_key, text, starts in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
             words = text.split()
             key, first, count, _ = stretches(words)
             for i in np.flatnonzero(np.isin(first, starts)).tolist():
@@ -272,10 +272,10 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     beside = F.lag("deal").over(by_key).isNotNull() | F.lead("deal").over(by_key).isNotNull()
     repeated = seen.withColumn("beside", beside).filter("many or beside")
     starts = repeated.groupBy("at", "text_key").agg(F.collect_set("start").alias("starts"))
-    texts = rows.select("at", "text_key", "text")
+    # with doc_id, so that this join and the last one read the texts as dealt out once
     fetched = (
-        texts.join(starts, _same(texts, starts))
-        .select(texts["at"], texts["text_key"], "text", "starts")
+        rows.join(starts, _same(rows, starts))
+        .select("doc_id", rows["at"], rows["text_key"], "text", "starts")
         .mapInArrow(_fetched, "deal long, at long, text_key long, start int, n int, words binary")
     )
     sorted_rows = fetched.repartition("deal").sortWithinPartitions("deal", "at", "text_key", "start")
