@@ -196,9 +196,11 @@ def chat_request(
     max_length: Column | None = None,
     temperature: Column | None = None,
     top_p: Column | None = None,
+    stop: Column | None = None,
 ) -> Column:
     """Request body of a server that takes messages and options; max_tokens goes before
-    max_length."""
+    max_length. ``stop`` is an array of texts at which the server ends its answer; a null or
+    empty one is left out."""
     limits = [c for c in (max_tokens, max_length) if c is not None]
     messages = [
         F.struct(F.lit(role).alias("role"), prompt[role].alias("content")) for role in ("system", "user")
@@ -212,6 +214,7 @@ def chat_request(
                 with_default(temperature, 0.7).alias("temperature"),
                 F.coalesce(*limits, F.lit(512)).alias("num_predict"),
                 with_default(top_p, 0.9).alias("top_p"),
+                *([] if stop is None else [F.when(F.size(stop) > 0, stop).alias("stop")]),
             ).alias("options"),
         )
     )

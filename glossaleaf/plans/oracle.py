@@ -361,6 +361,12 @@ BODY = {
             CAST(to_json({{'model': 'tutor', 'messages': [{{'role': 'system', 'content': system}}, {{'role': 'user', 'content': "user"}}],
                 'stream': false, 'options': {{'temperature': CAST(0.7 AS DOUBLE), 'num_predict': CASE WHEN doc_id % 2 = 0 THEN 900 ELSE 512 END,
                 'top_p': CAST(0.9 AS DOUBLE)}}}}) AS VARCHAR) AS chat_body FROM translator_prompts""",
+    "request_bodies_with_stop": f"""
+        SELECT doc_id, CASE WHEN doc_id % 3 <> 0
+            THEN replace(body, '"top_p":0.9}}', '"top_p":0.9,"stop":["</answer>","\\n\\n"]}}') ELSE body END AS chat_body FROM (
+            SELECT doc_id, CAST(to_json({{'model': 'tutor', 'messages': [{{'role': 'system', 'content': system}}, {{'role': 'user', 'content': "user"}}],
+                'stream': false, 'options': {{'temperature': CAST(0.7 AS DOUBLE), 'num_predict': 512, 'top_p': CAST(0.9 AS DOUBLE)}}}}) AS VARCHAR) AS body
+            FROM translator_prompts)""",
     "chat_messages": f"SELECT conv_id, turn, {message('role', 'text')} AS message FROM conversations",
     "generated_translations": f"""
         SELECT doc_id, array_to_string(list_transform(expressions, lambda x: '<bracket>' || x || '</bracket><translation>t_' || {word('x')} || '</translation>'), '') AS response,
@@ -509,6 +515,7 @@ BODY = {
             CASE WHEN lang_diary_body <> '' AND lang_annotation <> '' THEN {strip('lang_diary_body')} END AS language_source
         FROM submissions_checked""",
     "stream_first_submissions": "SELECT job_id, arg_min(diary_id, ts) AS diary_id, min(ts) AS ts FROM status_events GROUP BY job_id",
+    "stream_key_refusal": "SELECT job_id, arg_min(diary_id, ts) AS diary_id, min(ts) AS ts FROM status_events GROUP BY job_id",
     "stream_unique_jobs": "SELECT DISTINCT job_id, diary_id FROM status_events",
 }
 BODY["stream_job_status"] = BODY["job_status_latest"]

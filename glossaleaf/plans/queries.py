@@ -399,6 +399,14 @@ def request_bodies(spark, sf):
     )
 
 
+@query
+def request_bodies_with_stop(spark, sf):
+    """Chat requests that end at a closing tag; every third asks for no stop."""
+    d = _named_drafts(spark, sf).withColumn("p", _translator_prompts(spark, sf))
+    stop = F.when(~given.case("doc_id", 3, 0), F.array(F.lit("</answer>"), F.lit("\n\n")))
+    return d.select("doc_id", prompts.chat_request(F.lit("tutor"), F.col("p"), stop=stop).alias("chat_body"))
+
+
 @query
 def chat_messages(spark, sf):
     turns = given.table(spark, sf, "conversations")
@@ -837,3 +845,8 @@ def stream_unique_jobs(spark, sf):
 @query
 def stream_first_submissions(spark, sf):
     return jobs.first_by_stream(spark, sf)
+
+
+@query
+def stream_key_refusal(spark, sf):
+    return jobs.first_in_many_batches(spark, sf)

@@ -59,4 +59,20 @@ def first_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, state = fresh_path(spark, "first"), fresh_path(spark, "first-state")
     events = given.status_of(_stream(spark, sf_dir, "events")).select("job_id", "diary_id", "ts")
     _run(submissions.accept_batches(events, "job_id", ["ts"], out, state))
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(out).drop("batch", "bucket")
+
+
+def first_in_many_batches(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
+    """The same over events that arrive file by file in the order of time, so that keys repeat in
+    several micro-batches."""
+    arrivals, out, state = (fresh_path(spark, name) for name in ("arrivals", "refusal", "refusal-state"))
+    events = given.status_of(given.table(spark, sf_dir, "events")).select("job_id", "diary_id", "ts")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.floor((seconds - first) * files / max(last - first, 1.0))
+    for number in range(files):
+        arrived = events.filter(F.least(part, F.lit(files - 1)) == number)
+        arrived.coalesce(1).write.parquet(f"{arrivals}/{number}")
+    reader = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
+    _run(submissions.accept_batches(reader.parquet(arrivals), "job_id", ["ts"], out, state))
+    return spark.read.parquet(out).drop("batch", "bucket")

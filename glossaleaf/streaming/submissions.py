@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -43,21 +43,30 @@ def read_status(batches: DataFrame) -> DataFrame:
     return store.latest_per_key(batches.drop("batch"), "job_id", ["ts"])
 
 
+def stored_before(spark: SparkSession, out: str, schema: T.StructType, number: int, buckets: list[int]) -> DataFrame:
+    """What batches before ``number`` stored in the given buckets; other folders are not read."""
+    kept = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.LongType())])
+    return read_table(spark, out, kept).filter((F.col("batch") < number) & F.col("bucket").isin(buckets))
+
+
 def accept_batches(
-    stream: DataFrame, key: str, order: list[str], out: str, checkpoint: str
+    stream: DataFrame, key: str, order: list[str], out: str, checkpoint: str, buckets: int = 64
 ) -> StreamingQuery:
     """Keeps the first row of each key, whenever a repeat arrives.
 
-    A micro-batch is reduced to one row per key before the shuffle and then held against
-    what earlier batches stored, so neither a hot key nor old state has to fit anywhere.
+    The accepted rows are stored by a hash of their key. A micro-batch is reduced to one row per
+    key before the shuffle and held against the keys of the buckets it touches only: of these,
+    the key column alone is read. Give ``buckets`` so many that a bucket's keys are a small read, and
+    merge the folders of old batches from time to time.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("long"))
+        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
         # a repeated batch must not read the folder it is about to replace
-        before = read_table(batch.sparkSession, out, schema).filter(F.col("batch") < number)
-        accepted, _ = store.append_new(batch, before, key, order)
-        accepted.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        before = stored_before(batch.sparkSession, out, batch.schema, number, touched).select(key)
+        accepted, _ = store.append_new(dealt, before, key, order)
+        accepted.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -59,3 +59,23 @@ def test_first_row_of_a_key_wins_across_batches_and_restarts(spark, tmp_path):
     once = run(0)
     assert once == Counter(first.items())
     assert run(1) == once  # all batches repeated from the start: the same rows again
+
+
+def test_a_batch_reads_only_the_buckets_it_touches(spark, tmp_path):
+    schema = "job_id string, seq int"
+    out = f"{tmp_path}/out"
+    for i in range(2):
+        rows_in = [(f"k{n}", n) for n in range(i * 50, i * 50 + 50)]
+        spark.createDataFrame(rows_in, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    spark.createDataFrame([("k7", 900), ("k7", 901)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/2")
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    stream = (
+        spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    )
+    submissions.accept_batches(stream, "job_id", ["seq"], out, f"{tmp_path}/state", buckets=8).awaitTermination()
+    assert spark.read.parquet(out).count() == 100
+    bucket = spark.read.parquet(out).filter("job_id = 'k7'").first().bucket
+    before = submissions.stored_before(spark, out, df.schema, 3, [bucket])
+    assert before.filter("job_id = 'k7'").count() == 1
+    assert all(f"/bucket={bucket}/" in r[0] for r in before.selectExpr("input_file_name()").distinct().collect())
+    assert "PartitionFilters: [" in before._jdf.queryExecution().executedPlan().toString()
