@@ -168,6 +168,20 @@ def nearest(
     return _keep(pd.concat(found), k)
 
 
+def past_errors(errors: DataFrame, memory: DataFrame, entry: str, k: int = 10) -> DataFrame:
+    """(entry, past): the texts of the stored errors that are among the ``k`` nearest of any of
+    the entry's errors, each once, nearest first. Entries without any are left out.
+
+    ``errors`` has query_id, embedding, the entry and the group columns; ``memory`` also has
+    page_content. An entry's list holds k texts for each of its errors at most.
+    """
+    found = with_texts(similar_errors(errors, memory, k), memory)
+    owned = found.join(errors.select("query_id", entry), "query_id")
+    texts = owned.groupBy(entry, "page_content").agg(F.min("distance").alias("distance"))
+    ordered = F.sort_array(F.collect_list(F.struct("distance", "page_content")))
+    return texts.groupBy(entry).agg(ordered.alias("_past")).select(entry, F.col("_past.page_content").alias("past"))
+
+
 def with_texts(found: DataFrame, memory: DataFrame) -> DataFrame:
     """Adds the stored text of each hit."""
     return found.join(memory.select("error_id", "page_content"), "error_id")

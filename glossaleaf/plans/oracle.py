@@ -49,6 +49,10 @@ def json_string(sql: str) -> str:
     return f"array_to_string(list_transform(string_split({body}, ''), lambda c: {escape}), '')"
 
 
+def vowels(column: str, vowel: str) -> str:
+    return f"(length({column}) - length(replace({column}, '{vowel}', '')))"
+
+
 def json_list(sql: str) -> str:
     return f"('[' || array_to_string(list_transform({sql}, lambda e: {json_string('e')}), ', ') || ']')"
 
@@ -260,6 +264,18 @@ CTE = {
             UNION ALL SELECT k, turn, text FROM (SELECT {diary_key(created_at('conv_id'))} AS k, turn, text FROM conversations)
             WHERE k IN (SELECT primary_id FROM entries)))
         WHERE turn >= 0 AND old <> text""",
+    "error_vectors": """
+        SELECT primary_id_DiaryEntry AS primary_id, error_no, language_annotation_text, language_diary_text, model_id_embedding,
+            category || ' Error: ' || error_rule || '. Example: ''' || example_phrase || ''' -> ''' || correction || '''' AS asked
+        FROM good_errors WHERE example_phrase <> correction""",
+    "past": f"""
+        SELECT primary_id, list(page_content ORDER BY distance, page_content) AS past FROM (
+            SELECT primary_id, page_content, min(distance) AS distance FROM (
+                SELECT *, row_number() OVER (PARTITION BY primary_id, error_no ORDER BY distance, error_id) AS r FROM (
+                    SELECT q.primary_id, q.error_no, m.error_id, m.page_content, {' + '.join(
+                        f"power({vowels('asked', v)} - {vowels('page_content', v)}, 2)" for v in 'aeiou')} AS distance
+                    FROM error_vectors q JOIN memory m USING (language_annotation_text, language_diary_text, model_id_embedding)))
+            WHERE r <= 10 GROUP BY ALL) GROUP BY primary_id""",
     "repeated": """
         SELECT s.* EXCLUDE (job_id), job_id FROM submissions s
         UNION ALL BY NAME SELECT * REPLACE (job_id || '-again' AS job_id) FROM submissions WHERE n_chars % 10 = 1""",
@@ -351,6 +367,7 @@ BODY = {
     "prompt_archivist": f"SELECT doc_id, {render(P.ARCHIVIST_SYSTEM, diary_code='language_source')} AS system, {render(P.ARCHIVIST_USER, draft='draft_replaced')} AS \"user\" FROM translated WHERE translate_status = 'ok'",
     "prompt_rewriter": f"SELECT doc_id, {render(P.REWRITER_SYSTEM, diary_name='name')} AS system, {render(P.REWRITER_USER, level='level_rewriting', diary_name='name', draft='draft_replaced')} AS \"user\" FROM translated JOIN langs ON alpha_3 = language_source WHERE translate_status = 'ok'",
     "prompt_reviewer": f"SELECT doc_id, {lit(P.REVIEWER_SYSTEM)} AS system, {render(P.REVIEWER_USER, level='level_rewriting', mistakes="CAST(to_json(list_transform(errors, lambda x: {'error_rule': x.rule, 'example_phrase': x.phrase, 'correction': x.correction, 'category': x.category})) AS VARCHAR)", history=lit('[]'), expressions=json_list('expressions'))} AS \"user\" FROM blocks",
+    "prompt_reviewer_history": f"SELECT doc_id, {lit(P.REVIEWER_SYSTEM)} AS system, {render(P.REVIEWER_USER, level='level_rewriting', mistakes="CAST(to_json(list_transform(errors, lambda x: {'error_rule': x.rule, 'example_phrase': x.phrase, 'correction': x.correction, 'category': x.category})) AS VARCHAR)", history=json_list('coalesce(past, [])'), expressions=json_list('expressions'))} AS \"user\" FROM blocks LEFT JOIN past USING (primary_id)",
     "chat_payload": f"""
         SELECT doc_id, '[' || {message("'system'", 'system')} || ', ' || {message("'user'", '"user"')} || ']' AS prompt,
             CASE WHEN doc_id % 2 = 0 THEN 900 ELSE 512 END AS max_length, CAST(0.7 AS DOUBLE) AS temperature,

@@ -15,6 +15,7 @@ from glossaleaf.operators import (
     errors, intake, langid, memory, models, rewriting, store, translation, versions, views,
 )
 from glossaleaf.plans import analysis
+from glossaleaf.session import materialize
 from glossaleaf.sources import given
 from glossaleaf.sources.tables import spread
 from glossaleaf.streaming import jobs
@@ -375,6 +376,22 @@ def prompt_reviewer(spark, sf):
     )
 
 
+@query
+def prompt_reviewer_history(spark, sf):
+    """Reviewer prompts with the past errors that resemble the draft's own."""
+    own = errors.without_noops(errors.valid(_checked_errors(spark, sf)))
+    own = own.withColumn("query_id", F.xxhash64("primary_id_DiaryEntry", "error_no"))
+    asked = models.embed(memory.to_memory(own), "page_content", letter_counts)
+    stored = models.embed(memory.to_memory(given.error_memory(spark, sf).drop("embedding")), "page_content", letter_counts)
+    # vectors have several readers; the model is asked once
+    asked, stored = materialize(asked, "asked"), materialize(stored, "stored")
+    past = memory.past_errors(asked, stored, "primary_id_DiaryEntry").withColumnRenamed("primary_id_DiaryEntry", "primary_id")
+    d = given.archivist_responses(spark, sf).join(past, "primary_id", "left")
+    history = prompts.json_list(F.coalesce("past", F.array().cast("array<string>")))
+    mistakes = F.to_json(responses.error_blocks(F.col("response")))
+    return _prompt(d, prompts.reviewer_prompt(F.col("level_rewriting"), mistakes, history, prompts.json_list(F.col("expressions"))))
+
+
 @query
 def chat_payload(spark, sf):
     d = _named_drafts(spark, sf).withColumn("p", _translator_prompts(spark, sf))
