@@ -162,19 +162,26 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out.batch()
 
 
-def _repeated(rows: pa.Table) -> pa.RecordBatch:
-    """(at, text_key, start, n) of the windows of one shard that occur earlier; rows in order."""
-    split = [x.split(b" ") for x in rows.column("words").to_pylist()]
+def _repeated(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(at, text_key, start, n) of the windows of one shard that occur earlier; rows in order.
+
+    Of equal stretches the first is indexed; the windows of the others all occur there."""
+    first_of: dict[bytes, int] = {}
+    source = np.array([first_of.setdefault(x, i) for i, x in enumerate(rows.column("words").to_pylist())])
+    columns = [rows.column(c).to_numpy() for c in ("at", "text_key", "start", "n")]
+    copy = np.flatnonzero(np.logical_or.reduce([c != c[source] for c in columns[:3]]))
+    if len(copy):
+        yield _intervals(*(c[copy] for c in columns))
+    kept = np.flatnonzero(source == np.arange(len(source)))
+    at, text_key, start, n = (c[kept].astype(np.int64) for c in columns)
     number: dict[bytes, int] = {}
+    split = [x.split(b" ") for x in first_of]
     words = np.array([number.setdefault(w, len(number)) for part in split for w in part], np.int64)
     index = FmIndex(words, np.array([len(part) for part in split], np.int64))
-    n = rows.column("n").to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    place = index.begins[row] + offset
-    times, first = index.search(place)
+    times, first = index.search(index.begins[row] + offset)
     first_row = np.searchsorted(index.begins, first, "right") - 1
-    at, text_key, start = (rows.column(c).to_numpy() for c in ("at", "text_key", "start"))
     begin = start[row] + offset
     same_place = (
         (at[first_row] == at[row])
@@ -182,19 +189,17 @@ def _repeated(rows: pa.Table) -> pa.RecordBatch:
         & (start[first_row] + first - index.begins[first_row] == begin)
     )
     found = np.flatnonzero((times > 1) & ~same_place)
-    # neighbouring windows of a stretch are one interval
-    head = np.flatnonzero(np.r_[True, (row[found][1:] != row[found][:-1]) | (found[1:] != found[:-1] + 1)][: len(found)])
-    length = np.diff(np.r_[head, len(found)])
-    found = found[head]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(at[row[found]]),
-            pa.array(text_key[row[found]]),
-            pa.array(begin[found].astype(np.int32)),
-            pa.array(length.astype(np.int32)),
-        ],
-        names=["at", "text_key", "start", "n"],
-    )
+    if len(found):
+        # neighbouring windows of a stretch are one interval
+        head = np.flatnonzero(np.r_[True, (row[found][1:] != row[found][:-1]) | (np.diff(found) != 1)])
+        length = np.diff(np.r_[head, len(found)])
+        found = found[head]
+        yield _intervals(at[row[found]], text_key[row[found]], begin[found], length)
+
+
+def _intervals(at: np.ndarray, text_key: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(at), pa.array(text_key), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["at", "text_key", "start", "n"])
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,12 +221,12 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = rows.column(0).to_numpy()
         cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
         if cut:
-            yield _repeated(rows.slice(0, cut))
+            yield from _repeated(rows.slice(0, cut))
             held = rows.slice(cut).combine_chunks().to_batches()
             rest = pa.Table.from_batches(held)
             size = int(np.sum(rest.column(4).to_numpy())) + (WINDOW - 1) * rest.num_rows
     if held:
-        yield _repeated(pa.Table.from_batches(held))
+        yield from _repeated(pa.Table.from_batches(held))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
