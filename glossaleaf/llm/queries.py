@@ -152,7 +152,32 @@ MIXING_SQL = f"""
     FROM spans s LEFT JOIN took k USING (doc_id)
 """
 
+# every window of every text is a row here
+SUBSTRING_SQL = """
+    WITH docs AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ),
+    windows AS (
+        SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s
+        FROM docs, unnest(range(1, greatest(len(w) - 18, 1))) AS u(i)
+    ),
+    firsts AS (SELECT s, min({'doc': doc_id, 'i': i}) AS f FROM windows GROUP BY s),
+    gone AS (
+        SELECT DISTINCT doc_id, k
+        FROM (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE f <> {'doc': doc_id, 'i': i}),
+             unnest(range(i, i + 20)) AS v(k)
+    ),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM docs),
+    kept AS (
+        SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t
+        FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op3_substring_dedup": SUBSTRING_SQL,
     "op6_mixing": MIXING_SQL,
     "op4_exact_dedup": """
         WITH t AS (
