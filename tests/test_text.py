@@ -16,7 +16,7 @@ def value(spark, column, **inputs):
 @pytest.mark.parametrize(
     "draft, expected",
     [
-        ("Je suis [a girl]. J'ai [13 years old].", ["[a girl]", "[13 years old]"]),
+        ("Voilà [a river]. C'est [quite deep].", ["[a river]", "[quite deep]"]),
         ("empty [] is none, [[x] is one", ["[[x]"]),
         ("two\n[lines\nlong]", ["[lines\nlong]"]),
         ("none", []),

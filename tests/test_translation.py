@@ -18,10 +18,10 @@ def run(spark, draft, response, **options):
 
 
 def test_french_draft(spark):
-    draft = "Je me appelle Jessica. Je suis une [girl], je suis française et je avoir [13 years old]."
-    got = run(spark, draft, "<|assistant|>" + ECHO + pair(" [girl]", "fille") + pair("[13 years old]", "13 ans", "\n"))
+    draft = "Hier je allé au marché avec ma [aunt]. Il y avait beaucoup de [fresh vegetables] partout."
+    got = run(spark, draft, "<|assistant|>" + ECHO + pair(" [aunt]", "tante") + pair("[fresh vegetables]", "légumes frais", "\n"))
     assert got.translate_status == "ok"
-    assert got.draft_replaced == "Je me appelle Jessica. Je suis une fille, je suis française et je avoir 13 ans."
+    assert got.draft_replaced == "Hier je allé au marché avec ma tante. Il y avait beaucoup de légumes frais partout."
     for s in got.spans:
         inner = s.expression_original.strip("[]")
         assert draft[s.span_original.start: s.span_original.end] == inner
@@ -29,11 +29,11 @@ def test_french_draft(spark):
 
 
 def test_chinese_draft_with_emoji_counts_code_points(spark):
-    draft = "😀我在[diary]里写中文。我是一名[language learner]。"
-    got = run(spark, draft, pair("[diary]", "日记") + pair("[language learner]", "学生"))
-    assert got.draft_replaced == "😀我在日记里写中文。我是一名学生。"
-    assert [tuple(s.span_original) for s in got.spans] == [(4, 9), (20, 36)]
-    assert [tuple(s.span_translation) for s in got.spans] == [(3, 5), (14, 16)]
+    draft = "😀昨天我去了[market]买东西。我喜欢[fresh vegetables]。"
+    got = run(spark, draft, pair("[market]", "市场") + pair("[fresh vegetables]", "新鲜蔬菜"))
+    assert got.draft_replaced == "😀昨天我去了市场买东西。我喜欢新鲜蔬菜。"
+    assert [tuple(s.span_original) for s in got.spans] == [(7, 13), (22, 38)]
+    assert [tuple(s.span_translation) for s in got.spans] == [(6, 8), (15, 19)]
 
 
 @pytest.mark.parametrize(
