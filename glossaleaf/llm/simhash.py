@@ -126,8 +126,9 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
 
         def out(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a, b in _links(keys, fps, max_bits) if len(keys) > 1 else ():
-                pairs = [pa.array(x.view(np.int64)) for x in (np.ascontiguousarray(a), np.ascontiguousarray(b))]
+            found = list(_links(keys, fps, max_bits)) if len(keys) > 1 else []
+            if found:
+                pairs = [pa.array(np.concatenate([x[i] for x in found]).view(np.int64)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(pairs, names=["u", "v"])
 
         for batch in batches:
