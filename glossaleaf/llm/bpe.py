@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from glossaleaf.llm.common import whole
 
 # a worker keeps two generations of so many encoded pre-tokens, none longer than this
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 CACHE_CHARS = 40
 # rows in Python at once
 ROWS = 500
@@ -44,62 +44,71 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.buckets: dict[int, list[int]] = {}
-        self.words = [0] * (self.size + 255 >> 8)
+        # 256 ranks each; the last is the summary of the others
+        self.words = [0] * ((self.size + 255 >> 8) + 1)
+        self.two = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.cut = regex.compile(pattern).findall
         self.known = _Pieces(self)
 
+    def _add(self, rank: int, position: int) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket:
+            heappush(bucket, position)
+        else:
+            self.buckets[rank] = [position]
+            self.words[rank >> 8] |= BIT[rank & 255]
+            self.words[-1] |= 1 << (rank >> 8)
+
     def merged(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: of all pairs the lowest rank, leftmost, is merged next."""
-        ranks, buckets, words, n = self.ranks, self.buckets, self.words, len(piece)
+        ranks, buckets, words, add, n = self.ranks, self.buckets, self.words, self._add, len(piece)
         if piece in ranks:
             return [ranks[piece]]
+        known = ranks.get
+        two = self.two
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        pair = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)]
+        pair = [two[a << 8 | b] for a, b in zip(piece, piece[1:])]
         pair.append(-1)
-        new = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
-        summary = 0
-        while True:
-            for rank, i in new:
-                if rank in buckets:
-                    heappush(buckets[rank], i)
-                else:
-                    buckets[rank] = [i]
-                    words[rank >> 8] |= BIT[rank & 255]
-                    summary |= 1 << (rank >> 8)
-            if not summary:
-                break
+        for i, rank in enumerate(pair):
+            if rank >= 0:
+                add(rank, i)
+        while summary := words[-1]:
             word = (summary & -summary).bit_length() - 1
             bits = words[word]
             low = bits & -bits
             rank = word << 8 | low.bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[rank]
-                words[word] = bits ^ low
-                if bits == low:
-                    summary ^= 1 << word
-            new = []
+                words[word] = bits = bits ^ low
+                if not bits:
+                    words[-1] = summary ^ 1 << word
             if pair[i] != rank:
                 continue  # stale: its pair has changed since
             gone = after[i]
             end = after[i] = after[gone]
-            pair[gone] = pair[i] = -1
+            pair[gone] = -1
             if end < n:
                 before[end] = i
-                rank = pair[i] = ranks.get(piece[i : after[end]], -1)
+                rank = pair[i] = known(piece[i : after[end]], -1)
                 if rank >= 0:
-                    new.append((rank, i))
+                    add(rank, i)
+            else:
+                pair[i] = -1
             i = before[i]
             if i >= 0:
-                rank = pair[i] = ranks.get(piece[i:end], -1)
+                rank = pair[i] = known(piece[i:end], -1)
                 if rank >= 0:
-                    new.append((rank, i))
+                    add(rank, i)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            ids.append(ranks[piece[i:end]])
+            i = end
         return ids
 
     def encode(self, text: str) -> bytes:
