@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from glossaleaf.llm.common import whole
 from glossaleaf.session import materialize
 
-SIZES = (3, 4, 5)
-BITS = 18
+# lengths of the n-grams, ascending
+SIZES = (4, 5, 6, 7)
+BITS = 20
 BUCKETS = 1 << BITS
 SMOOTHING = 1.0
-LEAST_RATIO = 1.0
+LEAST_RATIO = 2.0
 LEAST_DOCUMENTS = 3
 # bound of the fitting sample, in the order of a hash of the id
 MOST_LABELLED = 20_000
@@ -42,18 +43,19 @@ def _characters(text: str) -> np.ndarray:
     return np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def _hashed(codes: np.ndarray, size: int) -> np.ndarray:
-    n = len(codes) - size + 1
-    h = np.full(max(n, 0), size, np.uint64)
-    if n > 0:
-        for k in range(size):
-            h *= np.uint64(0x100000001B3)
-            h ^= codes[k : k + n]
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h >>= np.uint64(64 - BITS)
-    return h.astype(np.int64)
+def _hashed(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, buckets) of the n-grams that start at each character; one length goes on from
+    the one before."""
+    h = np.zeros(len(codes) + 1, np.uint64)
+    for n in range(1, min(max(SIZES), len(codes)) + 1):
+        h = h[:-1] * np.uint64(0x100000001B3)
+        h ^= codes[n - 1 :]
+        if n in SIZES:
+            mixed = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            mixed >>= np.uint64(64 - BITS)
+            yield n, mixed.view(np.int64)
 
 
 def present(texts: list[str], wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -72,13 +74,12 @@ def present(texts: list[str], wanted: np.ndarray) -> Iterator[tuple[np.ndarray,
         codes, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
         found = []
         for at in range(0, len(codes), BLOCK):
-            for n in SIZES:
-                buckets = _hashed(codes[at : at + BLOCK + n - 1], n)
-                hits = np.flatnonzero(wanted[buckets])
+            for n, buckets in _hashed(codes[at : at + BLOCK + max(SIZES) - 1]):
+                hits = np.flatnonzero(wanted[buckets[:BLOCK]])
                 owner = np.searchsorted(ends, hits + at, "right")
                 inside = owner == np.searchsorted(ends, hits + at + n - 1, "right")
                 found.append(np.unique(owner[inside] << BITS | buckets[hits[inside]]))
-        pairs = np.unique(np.concatenate(found))
+        pairs = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
         yield i + (pairs >> BITS), pairs & (BUCKETS - 1)
         i += len(parts)
 
