@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    # "local-cluster" has executors of its own
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glossaleaf-"))
     return spark.sparkContext.getCheckpointDir()
