@@ -27,6 +27,7 @@ LEAST_RATIO = 2.0
 LEAST_DOCUMENTS = 3
 # bound of the fitting sample, in the order of a hash of the id
 MOST_LABELLED = 20_000
+PIECES = 16
 STEPS = 300
 RATE = 0.3
 DECAY = 1e-3
@@ -78,7 +79,8 @@ def present(texts: list[str], wanted: np.ndarray) -> Iterator[tuple[np.ndarray,
                 hits = np.flatnonzero(wanted[buckets[:BLOCK]])
                 owner = np.searchsorted(ends, hits + at, "right")
                 inside = owner == np.searchsorted(ends, hits + at + n - 1, "right")
-                found.append(np.unique(owner[inside] << BITS | buckets[hits[inside]]))
+                pairs = owner[inside] << BITS | buckets[hits[inside]]
+                found.append(np.unique(pairs) if len(codes) > BLOCK else pairs)
         pairs = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
         yield i + (pairs >> BITS), pairs & (BUCKETS - 1)
         i += len(parts)
@@ -91,11 +93,12 @@ def _labelled(docs: DataFrame, labels: DataFrame, text: str, most: int) -> DataF
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "labelled_id")
     texts = docs.select("doc_id", whole(text).alias("text"))
     joined = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id"))
-    return materialize(joined.select("doc_id", "toxic", "text"), "labelled")
+    # a bounded table in few pieces: each piece sends one row per bucket when counted
+    return materialize(joined.select("doc_id", "toxic", "text").repartition(PIECES, "doc_id"), "labelled")
 
 
-def _counts(rows: DataFrame) -> np.ndarray:
-    """Documents that have each bucket, by label; the last column counts all documents."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """(b, n, p): documents that have each bucket, by label; the last bucket counts all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, BUCKETS + 1), np.int64)
@@ -111,10 +114,20 @@ def _counts(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[0, used]), pa.array(seen[1, used])], names=["b", "n", "p"])
 
     summed = rows.mapInArrow(run, "b long, n long, p long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    out = np.zeros((2, BUCKETS + 1), np.int64)
-    found = summed.toPandas()  # a row per bucket at most
-    out[0, found["b"]], out[1, found["b"]] = found["n"], found["p"]
-    return out
+    return materialize(summed, "ngram-counts")
+
+
+def _chosen(counts: DataFrame, negatives: int, positives: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets with a marked ratio, ascending, and their ratios; only these leave the cluster."""
+
+    def share(count: str, documents: int) -> Column:
+        return F.log((F.col(count) + SMOOTHING) / (documents + 2 * SMOOTHING))
+
+    ratios = counts.filter((F.col("b") < BUCKETS) & (F.col("n") + F.col("p") >= LEAST_DOCUMENTS)).select(
+        "b", (share("p", positives) - share("n", negatives)).alias("ratio")
+    )
+    marked = sorted(tuple(r) for r in ratios.filter(F.abs("ratio") >= LEAST_RATIO).collect())
+    return np.array([b for b, _ in marked], np.int64), np.array([r for _, r in marked])
 
 
 def _features(rows: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -138,21 +151,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = MOST
     """(bias, weight of each bucket). Without labels of both kinds only the bias counts."""
     rows = _labelled(docs, labels, text, most)
     counts = _counts(rows)
-    negatives, positives = counts[:, -1]
-    share = [np.log((counts[k, :-1] + SMOOTHING) / (counts[k, -1] + 2 * SMOOTHING)) for k in (0, 1)]
-    ratio = share[1] - share[0]
-    documents = counts[:, :-1].sum(axis=0)
+    every = counts.filter(F.col("b") == BUCKETS).first()
+    negatives, positives = (every.n, every.p) if every else (0, 0)
     bias = float(np.log((positives + 0.5) / (negatives + 1)))
     weights = np.zeros(BUCKETS)
     if not positives or not negatives:
         return bias, weights
-    chosen = np.flatnonzero((np.abs(ratio) >= LEAST_RATIO) & (documents >= LEAST_DOCUMENTS))
+    chosen, scale = _chosen(counts, negatives, positives)
     wanted = np.zeros(BUCKETS, bool)
     wanted[chosen] = True
     toxic, lists = _features(rows, wanted)
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     column = np.searchsorted(chosen, np.concatenate(lists))
-    scale = ratio[chosen]
     w, w_seen, b_seen = np.zeros(len(chosen)), np.full(len(chosen), 1e-8), 1e-8
     for _ in range(STEPS):
         z = bias + np.bincount(row, weights=(w * scale)[column], minlength=len(toxic))
