@@ -3,8 +3,12 @@
 The n-grams are taken across word boundaries: the last three characters of a word, a space
 and the first character of the next, hashed to ``buckets``. Two multinomials are
 counted, one over trusted documents and one over the whole corpus. A document's score is the
-mean over its n-grams of log p(trusted) - log p(corpus); it is kept if no base rule fails and
-the score is not below ``threshold``, which holds for every document alike.
+mean over its n-grams of log p(trusted) - log p(corpus).
+
+The verdict comes from the same ratio with equal texts weighed once in both multinomials, so
+that copies of a text, which swell its n-grams in the corpus, cannot reject it: a document is
+kept if no base rule fails and that ratio, ``score_once``, is not below ``threshold``, which
+holds for every document alike.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossaleaf.functions.rows import settled
+from glossaleaf.functions.rows import explode_rows, settled
 from glossaleaf.llm.common import WHITE, let, packed, whole, words_of
 
 # fixed values of the base rules
@@ -72,30 +76,39 @@ def _worded_lines(text: Column) -> Column:
 
 
 def weights(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """One row with ``weights``, the log ratio of every bucket; all 0 without trusted text.
+    """One row with the log ratio of every bucket, all 0 without trusted text: ``weights``
+    counts every row, ``once`` counts equal texts once.
 
-    Counts run over all rows of ``docs`` and combine before the shuffle: a task sends one
-    row per bucket at most. ``trusted_ids`` must be bounded, see :func:`trusted`.
+    All rows of ``docs`` count. Equal texts, those with one SHA-256 and one row of n-grams,
+    combine before the first shuffle, so a task sends each of its texts once, as n-grams, however
+    many copies it has; then a task sends one row per bucket at most. A text is trusted if one
+    of its rows is. ``trusted_ids`` must be bounded, see :func:`trusted`.
     """
     mark = trusted_ids.select(F.col("doc_id").alias("trusted_id"))
-    rows = docs.select("doc_id", words_of(whole(text)).alias("words"))
+    rows = docs.select("doc_id", F.unhex(F.sha2(whole(text), 256)).alias("digest"), words_of(whole(text)).alias("words"))
     flagged = rows.join(F.broadcast(mark), F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = flagged.select(
-        F.col("trusted_id").isNotNull().cast("long").alias("is_trusted"), F.explode(_grams(F.col("words"), buckets)).alias("bucket")
+    grams = _grams(F.col("words"), buckets).cast("array<short>" if buckets <= 1 << 15 else "array<int>")
+    texts = flagged.select("digest", grams.alias("grams"), F.col("trusted_id").isNotNull().cast("long").alias("is_trusted"))
+    texts = texts.groupBy("digest", "grams").agg(F.count("*").alias("n"), F.sum("is_trusted").alias("n_trusted"))
+    each = explode_rows(texts, ["n", "n_trusted"], "grams", "place", "bucket")
+    counts = each.groupBy("bucket").agg(
+        F.sum("n").alias("c"),
+        F.sum("n_trusted").alias("t"),
+        F.count("*").alias("c_once"),
+        F.count_if(F.col("n_trusted") > 0).alias("t_once"),
     )
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.sum("is_trusted").alias("trusted"))
     every = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(counts, "bucket", "left")
-    pairs = F.sort_array(
-        F.collect_list(
-            F.struct("bucket", F.coalesce("trusted", F.lit(0)).alias("t"), F.coalesce("corpus", F.lit(0)).alias("c"))
-        )
-    )
+    sums = ("c", "t", "c_once", "t_once")
+    pairs = F.sort_array(F.collect_list(F.struct("bucket", *[F.coalesce(x, F.lit(0)).alias(x) for x in sums])))
     rest = SMOOTHING * buckets
-    model = every.agg(pairs.alias("p"), F.sum("trusted").alias("t"), F.sum("corpus").alias("c"))
-    level = F.log((F.col("c") + rest) / (F.col("t") + rest))
-    ratio = F.transform("p", lambda x: (F.log((x["t"] + SMOOTHING) / (x["c"] + SMOOTHING)) + level).cast("float"))
-    nothing = F.array_repeat(F.lit(0.0).cast("float"), buckets)
-    return model.select(F.when(F.col("t") > 0, ratio).otherwise(nothing).alias("weights"))
+    model = every.agg(pairs.alias("p"), *[F.sum(x).alias(x) for x in sums])
+
+    def ratio(t: str, c: str) -> Column:
+        level = F.log((F.col(c) + rest) / (F.col(t) + rest))
+        found = F.transform("p", lambda x: (F.log((x[t] + SMOOTHING) / (x[c] + SMOOTHING)) + level).cast("float"))
+        return F.when(F.col(t) > 0, found).otherwise(F.array_repeat(F.lit(0.0).cast("float"), buckets))
+
+    return model.select(ratio("t", "c").alias("weights"), ratio("t_once", "c_once").alias("once"))
 
 
 def trusted(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
@@ -104,12 +117,22 @@ def trusted(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def _judged(docs: DataFrame, model: DataFrame, text: str, carried: list[Column], threshold: float, buckets: int) -> DataFrame:
+def _judged(
+    docs: DataFrame, model: DataFrame, text: str, carried: list[Column], threshold: float, buckets: int, scores: dict[str, str]
+) -> DataFrame:
+    """``scores`` names the column of ``model`` that each score takes; ``score_once`` is one of them."""
     content, words = F.col("text"), F.col("words")
-    # the model is one value of fixed size
-    rows = docs.select(*carried, whole(text).alias("text"), model.select("weights").scalar().alias("weights"))
+    # the model is one value of fixed size, its columns end to end
+    rows = docs.select(*carried, whole(text).alias("text"), model.select(F.concat(*scores.values())).scalar().alias("weights"))
     rows = settled(rows, words=words_of(content))
-    total = F.aggregate(_grams(words, buckets), F.lit(0.0), lambda acc, g: acc + F.get("weights", g.cast("int")))
+
+    def mean(grams: Column, skip: int) -> Column:
+        total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get("weights", (g + skip).cast("int")))
+        return total / F.greatest(F.size(words) - 1, F.lit(1))
+
+    def means(grams: Column) -> Column:
+        return F.struct(*[mean(grams, k * buckets).alias(name) for k, name in enumerate(scores)])
+
     counted = settled(
         rows,
         n_words=F.size(words).cast("long"),
@@ -117,11 +140,11 @@ def _judged(docs: DataFrame, model: DataFrame, text: str, carried: list[Column],
         n_symbols=F.regexp_count(content, F.lit(SYMBOLS)).cast("long"),
         n_dup_lines=let(_worded_lines(content), _line_count),
         n_repeat_words=_repeat_words(words),
-        score=total / F.greatest(F.size(words) - 1, F.lit(1)),
+        scores=let(_grams(words, buckets), means),
     ).drop("text", "words", "weights")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     judged = counted.withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("scores.score_once") >= threshold))
 
 
 def judge(
@@ -129,14 +152,21 @@ def judge(
     buckets: int = BUCKETS, most_trusted: int = MOST_TRUSTED,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, score, base_failed, kept.
+    n_repeat_words, score, base_failed, kept, score_once. ``score`` counts all rows, ``kept``
+    follows from ``score_once``, see above.
 
     A null text counts as empty and fails for want of words. Repeated rows count and are
     returned each. Without any trusted text the base rules alone decide. Other columns of
     ``docs`` are left out.
     """
     model = weights(docs, trusted(labels, most_trusted), text, buckets)
-    return _judged(docs, model, text, [F.col("doc_id")], threshold, buckets)
+    judged = _judged(
+        docs, model, text, [F.col("doc_id")], threshold, buckets, {"score": "weights", "score_once": "once"}
+    )
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "scores.score",
+        "base_failed", "kept", "scores.score_once",
+    )
 
 
 def kept_rows(
@@ -145,5 +175,5 @@ def kept_rows(
 ) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; see :func:`judge`."""
     model = weights(docs, trusted(labels, most_trusted), text, buckets)
-    judged = _judged(docs, model, text, [packed(docs).alias("row")], threshold, buckets)
+    judged = _judged(docs, model, text, [packed(docs).alias("row")], threshold, buckets, {"score_once": "once"})
     return judged.filter("kept").select("row.*")

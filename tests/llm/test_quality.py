@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from glossaleaf.llm import quality
 from glossaleaf.llm.queries import op10_quality_rules
@@ -101,3 +102,23 @@ def test_without_labels_or_documents(messy, empty, labels):
 
 def test_native(messy, labels):
     assert python_nodes(quality.judge(messy, labels)) == [] and python_nodes(quality.kept_rows(messy, labels)) == []
+
+
+@pytest.mark.parametrize("is_labelled", [True, False])
+def test_copies_of_a_clean_document_do_not_reject_it(spark, is_labelled):
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    first = quality.judge(docs, labels).filter("kept and n_words > 100")
+    clean = first.join(labels.filter("quality = 1"), "doc_id").orderBy("doc_id").first()
+    text = docs.filter(docs.doc_id == clean.doc_id).first().text
+    if not is_labelled:
+        docs, labels = docs.filter(docs.text != text), labels.filter(labels.doc_id != clean.doc_id)
+    n = docs.count() // 2  # a third of all rows
+    copies = spark.createDataFrame([(text,)], "text string").crossJoin(spark.range(10**9, 10**9 + n)).select(F.col("id").alias("doc_id"), "text")
+    rows = quality.judge(docs.unionByName(copies), labels).collect()
+    assert sum(r.kept for r in rows if r.doc_id >= 10**9) == n
+    # and they move no other verdict
+    without = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
+    assert {r.doc_id: r.kept for r in rows if r.doc_id < 10**9} == without
+    assert quality.kept_rows(docs.unionByName(copies), labels).filter("doc_id >= 1000000000").count() == n
