@@ -11,12 +11,17 @@ they come from, and a document is searched only in shards that can hold one of i
 3. The others are sorted by key and cut into shards of bounded size, never within a key. Each
    shard gets a compressed FM-index, its stretches are streamed through backward search, and
    the windows that have an earlier occurrence are reported as intervals.
+4. A key with more different stretches than a shard holds, such as a frequent line between
+   different neighbours, is not indexed: its windows are dealt out once more, each by a hash of
+   all its words, and searched in the same way. A task that meets much of a key spreads its
+   stretches at once and sends one mark under the key, so that all others follow.
 
 Hashes only choose the shard; whether windows are equal is decided on the words.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +39,8 @@ RUNS = WINDOW - RUN + 1
 # words per shard and stretches held back per task
 SHARD_WORDS = 1 << 19
 HELD = 50_000
+# a key with more than this part of a shard among the stretches held back is dealt out by windows
+PARTS = 64
 CACHED_WORDS = 500_000
 # a null id counts as the smallest
 NO_ID = -(2**63)
@@ -127,15 +134,46 @@ class _Rows:
         return out
 
 
+class _Earliest:
+    """The earliest place of each content; the others are sent on as repeated, without words."""
+
+    def __init__(self, out: _Rows):
+        self.out = out
+        self.of: dict[bytes, tuple] = {}
+
+    def add(self, content: bytes, mine: tuple) -> None:
+        other = self.of.setdefault(content, mine)
+        if other[1:4] > mine[1:4]:
+            self.of[content] = mine
+            self._settle(other)
+        elif other[1:4] < mine[1:4]:
+            self._settle(mine)
+
+    def _settle(self, stretch: tuple) -> None:
+        self.out.add(hash(stretch[:4]), *stretch[1:], None)  # spread evenly
+
+    def flush(self, split: bool) -> None:
+        """Sends the contents on. With ``split`` the stretches of a large key go spread evenly and
+        with a negative n, and a row without a place marks the key."""
+        size: Counter[int] = Counter()
+        if split:
+            for stretch in self.of.values():
+                size[stretch[0]] += stretch[4] + WINDOW - 1
+        large = {key for key, words in size.items() if words > SHARD_WORDS // PARTS}
+        for content, stretch in self.of.items():
+            if stretch[0] in large:
+                self.out.add(hash(stretch), *stretch[1:4], -stretch[4], content)
+            else:
+                self.out.add(*stretch, content)
+        for key in large:
+            self.out.add(key, None, 0, 0, 0, b"")
+        self.of.clear()
+
+
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of repeated stretches. Without words: a stretch known to be repeated as a whole."""
     out = _Rows()
-    earliest: dict[bytes, tuple] = {}
-
-    def settled(stretch: tuple) -> None:
-        key, at, text_key, start, n = stretch
-        out.add(hash((key, at, text_key, start)), at, text_key, start, n, None)  # spread evenly
-
+    earliest = _Earliest(out)
     for batch in batches:
         for at, text_key, text, starts in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
             words = text.split()
@@ -143,39 +181,35 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in np.flatnonzero(np.isin(first, starts)).tolist():
                 start, n = int(first[i]), int(count[i])
                 content = b" ".join(words[start : start + n + WINDOW - 1])
-                mine = (int(key[i].view(np.int64)), at, text_key, start, n)
-                other = earliest.setdefault(content, mine)
-                if other[1:4] > mine[1:4]:
-                    earliest[content] = mine
-                    settled(other)
-                elif other[1:4] < mine[1:4]:
-                    settled(mine)
-            if len(earliest) >= HELD:
-                for content, stretch in earliest.items():
-                    out.add(*stretch, content)
-                earliest.clear()
+                earliest.add(content, (int(key[i].view(np.int64)), at, text_key, start, n))
+            if len(earliest.of) >= HELD:
+                earliest.flush(split=True)
             if len(out.columns[0]) >= HELD:
                 yield out.batch()
         yield out.batch()
-    for content, stretch in earliest.items():
-        out.add(*stretch, content)
+    earliest.flush(split=True)
     yield out.batch()
 
 
-def _repeated(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(at, text_key, start, n) of the windows of one shard that occur earlier; rows in order.
-
-    Of equal stretches the first is indexed; the windows of the others all occur there."""
+def _without_copies(rows: pa.Table) -> tuple[list[pa.RecordBatch], pa.Table]:
+    """The intervals of stretches that equal an earlier one, and the rows without them."""
     first_of: dict[bytes, int] = {}
     source = np.array([first_of.setdefault(x, i) for i, x in enumerate(rows.column("words").to_pylist())])
     columns = [rows.column(c).to_numpy() for c in ("at", "text_key", "start", "n")]
     copy = np.flatnonzero(np.logical_or.reduce([c != c[source] for c in columns[:3]]))
-    if len(copy):
-        yield _intervals(*(c[copy] for c in columns))
-    kept = np.flatnonzero(source == np.arange(len(source)))
-    at, text_key, start, n = (c[kept].astype(np.int64) for c in columns)
+    found = [_intervals(*(c[copy] for c in columns))] if len(copy) else []
+    return found, rows.take(pa.array(np.flatnonzero(source == np.arange(len(source)))))
+
+
+def _repeated(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The windows of one shard that occur earlier, as intervals; rows in order.
+
+    Of equal stretches the first is indexed; the windows of the others all occur there."""
+    copies, rows = _without_copies(rows)
+    yield from copies
+    at, text_key, start, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("at", "text_key", "start", "n"))
     number: dict[bytes, int] = {}
-    split = [x.split(b" ") for x in first_of]
+    split = [x.split(b" ") for x in rows.column("words").to_pylist()]
     words = np.array([number.setdefault(w, len(number)) for part in split for w in part], np.int64)
     index = FmIndex(words, np.array([len(part) for part in split], np.int64))
     row = np.repeat(np.arange(len(n)), n)
@@ -198,23 +232,63 @@ def _repeated(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _intervals(at: np.ndarray, text_key: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(at), pa.array(text_key), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["at", "text_key", "start", "n"])
+    """Repeated as a whole: rows without words, spread evenly."""
+    deal = (at.astype(np.int64) ^ text_key) * np.int64(-0x61C8864680B583EB) + start
+    columns = [deal, at, text_key, start.astype(np.int32), n.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.binary())], names=_Rows.NAMES)
+
+
+def _size(rows: pa.RecordBatch | pa.Table) -> int:
+    return int(np.sum(rows.column(4).to_numpy())) + (WINDOW - 1) * rows.num_rows
+
+
+def _windows(rows: pa.RecordBatch | pa.Table, out: _Rows, earliest: _Earliest) -> Iterator[pa.RecordBatch]:
+    """Deals the windows of stretches by a hash of all their words."""
+    for at, text_key, start, n, text in zip(*(rows.column(i).to_pylist() for i in range(1, 6))):
+        words = text.split(b" ")
+        for i in range(abs(n)):
+            window = b" ".join(words[i : i + WINDOW])
+            earliest.add(window, (xxhash.xxh64_intdigest(window) - (1 << 63), at, text_key, start + i, 1))
+        if len(earliest.of) >= HELD:
+            earliest.flush(split=False)
+        if len(out.columns[0]) >= HELD:
+            yield out.batch()
+
 
+def _searched(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cuts sorted stretches into shards between keys and searches each.
 
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts sorted stretches into shards between keys and searches each."""
+    Gives rows as :class:`_Rows` has them: intervals without words and, unless ``last``, the
+    windows of the keys that are too large for a shard."""
     held: list[pa.RecordBatch] = []
     size = 0
+    large = None  # the key that is being dealt out by windows
+    out = _Rows()
+    earliest = _Earliest(out)
     for batch in batches:
         settled = batch.filter(pa.compute.is_null(batch.column(5)))
         if settled.num_rows:
-            yield settled.select(["at", "text_key", "start", "n"])
+            yield settled.select(_Rows.NAMES)
         batch = batch.filter(pa.compute.is_valid(batch.column(5)))
+        if not last:
+            spread = pa.compute.less(batch.column(4), 0)
+            yield from _windows(batch.filter(spread), out, earliest)
+            batch = batch.filter(pa.compute.invert(spread))
         if not batch.num_rows:
             continue
+        if not last:
+            keys, mark = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            split = np.isin(keys, keys[mark])
+            if large is not None:
+                split |= keys == large
+            large = keys[-1] if split[-1] else None
+            if split.any():
+                yield from _windows(batch.filter(pa.array(split & ~mark)), out, earliest)
+                batch = batch.filter(pa.array(~split))
+                if not batch.num_rows:
+                    continue
         held.append(batch)
-        size += int(np.sum(batch.column(4).to_numpy())) + (WINDOW - 1) * batch.num_rows
+        size += _size(batch)
         if size < SHARD_WORDS:
             continue
         rows = pa.Table.from_batches(held)
@@ -222,11 +296,26 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
         if cut:
             yield from _repeated(rows.slice(0, cut))
-            held = rows.slice(cut).combine_chunks().to_batches()
-            rest = pa.Table.from_batches(held)
-            size = int(np.sum(rest.column(4).to_numpy())) + (WINDOW - 1) * rest.num_rows
+            rows = rows.slice(cut)
+        if _size(rows) >= SHARD_WORDS:
+            copies, rows = _without_copies(rows)
+            yield from copies
+        if _size(rows) >= SHARD_WORDS and not last:
+            if large is None:  # else the key has ended in this batch
+                large = keys[-1]
+            yield from _windows(rows, out, earliest)
+            rows = rows.slice(0, 0)
+        held = rows.combine_chunks().to_batches()
+        size = _size(rows)
     if held:
         yield from _repeated(pa.Table.from_batches(held))
+    earliest.flush(split=False)
+    yield out.batch()
+
+
+def _searched_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _searched(batches, last=True):
+        yield batch.select(["at", "text_key", "start", "n"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +372,11 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
         .select("doc_id", rows["at"], rows["text_key"], "text", "starts")
         .mapInArrow(_fetched, "deal long, at long, text_key long, start int, n int, words binary")
     )
-    sorted_rows = fetched.repartition("deal").sortWithinPartitions("deal", "at", "text_key", "start")
-    found = sorted_rows.mapInArrow(_searched, "at long, text_key long, start int, n int")
+    order = ("deal", "at", "text_key", "start")  # a mark has no place and comes first
+    searched = fetched.repartition("deal").sortWithinPartitions(*order).mapInArrow(_searched, fetched.schema)
+    found = searched.repartition("deal").sortWithinPartitions(*order).mapInArrow(
+        _searched_last, "at long, text_key long, start int, n int"
+    )
     spans = found.groupBy("at", "text_key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     joined = rows.join(spans, _same(rows, spans), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_kept, f"doc_id {kind}, n_words long, n_removed long, kept binary")

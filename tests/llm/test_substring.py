@@ -118,6 +118,54 @@ def test_shards_are_cut_between_keys(monkeypatch):
     assert all((f["start"], f["n"]) == (0, 6) for f in found)
 
 
+@pytest.mark.parametrize("parts", [64, 0.01])
+def test_a_frequent_line_between_different_neighbours(monkeypatch, parts):
+    """Its key has more different stretches than a shard holds; none is searched in one piece."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring, "SHARD_WORDS", 1500)
+    monkeypatch.setattr(substring, "PARTS", parts, raising=False)
+    sizes = []
+
+    class Index(fm_index.FmIndex):
+        def __init__(self, words, lengths):
+            sizes.append(len(words))
+            super().__init__(words, lengths)
+
+    monkeypatch.setattr(substring, "FmIndex", Index)
+    rng = random.Random(3)
+    line = [f"line{k}" for k in range(8)]
+    texts = []
+    for i in range(400):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        if i % 9 == 5:  # one side as in an earlier document, so windows repeat but no whole stretch
+            own[15:30] = texts[i - 5].split()[15:30]
+        texts.append(" ".join(own[:30] + line + own[30:]))
+    docs = list(enumerate(texts))
+
+    def sorted_batches(batches):
+        rows = [tuple(r.values()) for r in pa.Table.from_batches(list(batches)).to_pylist()]
+        rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0, *r[2:4]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        for i in range(0, len(rows), 50):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 50]), kinds)], names=substring._Rows.NAMES)
+
+    def fetch(part):
+        starts = [substring.stretches(t.encode().split())[1].tolist() for _, t in part]
+        at = pa.array([i for i, _ in part])
+        columns = [at, at, pa.array([0] * len(part)), pa.array([t.encode() for _, t in part]), pa.array(starts)]
+        return substring._fetched(iter([pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "text_key", "text", "starts"])]))
+
+    first = sorted_batches([b for k in range(3) for b in fetch(docs[k::3])])
+    second = sorted_batches(substring._searched(first))
+    gone = {}
+    for r in pa.Table.from_batches(list(substring._searched(second, last=True))).to_pylist():
+        gone.setdefault(r["at"], set()).update(range(r["start"], r["start"] + r["n"] + 19))
+    want = {at: n for (at, _), (_, n, _) in brute(docs).items() if n}
+    assert want and {at: len(x) for at, x in gone.items()} == want
+    assert max(sizes) < 2 * 1500 + 50 * 40
+
+
 def test_query(spark, sf_dir):
     import hashlib
 
