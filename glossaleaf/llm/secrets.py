@@ -8,6 +8,10 @@ code points, and a weak candidate is reported only if the parts that would make
 credential lie within reach: a secret for an identifier, an identifier or an endpoint for a
 secret, both of them for an endpoint.
 
+An endpoint ends before the first named part inside it, such as a user name in a query. All
+candidates are joined before overlaps are resolved; parts that share text do not complement each
+other, and of linked spans that meet the leftmost and longest is reported.
+
 A document is read whole where it lies; nothing is shuffled. The join sorts the parts of a
 scope and asks by bisection, so many parts in one scope make no pairs.
 """
@@ -88,23 +92,47 @@ class Reachable:
     def __init__(self, spans: list[Span]):
         ordered = sorted((start, end) for _, start, end in spans)
         self.starts = [start for start, _ in ordered]
+        self.ends = sorted(end for _, end in ordered)
         self.furthest = list(accumulate((end for _, end in ordered), max))
 
     def meets(self, start: int, end: int) -> bool:
         before = bisect_left(self.starts, end)
         return before > 0 and self.furthest[before - 1] > start
 
+    def beside(self, start: int, end: int, reach: int) -> bool:
+        """Whether one that shares nothing with the interval lies within reach of it."""
+        before, after = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start - reach or after < len(self.starts) and self.starts[after] < end + reach
+
+
+def _endpoints(text: str, parts: list[Span]) -> list[Span]:
+    """Endpoints, cut before the first of the parts that starts inside."""
+    starts = sorted(start for _, start, _ in parts)
+    out: list[Span] = []
+    for m in ENDPOINT.finditer(text):
+        start, end = m.span()
+        first = bisect_right(starts, start)
+        if first < len(starts) and starts[first] < end:
+            end = start + len(text[start : starts[first]].rstrip("?&;#,"))
+        out.append(("endpoint", start, end))
+    return out
+
 
 def _apart(strong: list[Span], weak: list[Span]) -> list[Span]:
     """Weak spans that meet no strong one; of those that meet each other the leftmost, longest."""
-    taken = Reachable(strong)
     out: list[Span] = []
-    for span in sorted(weak, key=lambda span: (span[1], -span[2], ORDER[span[0]])):
-        if not taken.meets(span[1], span[2]) and (not out or span[1] >= out[-1][2]):
+    for span in sorted(_clear(strong, weak), key=lambda span: (span[1], -span[2], ORDER[span[0]])):
+        if not out or span[1] >= out[-1][2]:
             out.append(span)
     return out
 
 
+def _clear(strong: list[Span], weak: list[Span]) -> list[Span]:
+    """Weak spans that meet no strong one."""
+    taken = Reachable(strong)
+    return [span for span in weak if not taken.meets(span[1], span[2])]
+
+
 def _linked(strong: list[Span], weak: list[Span], text: str, reach: int) -> list[Span]:
     """The weak spans whose complementary parts lie within reach and scope."""
     cuts = [m.start() for m in SCOPE_END.finditer(text)]
@@ -119,7 +147,7 @@ def _linked(strong: list[Span], weak: list[Span], text: str, reach: int) -> list
         kind, start, end = span
         scope = joins[bisect_right(cuts, start)]
         near = {
-            role: scope.get(role, nothing).meets(start - reach, end + reach)
+            role: scope.get(role, nothing).beside(start, end, reach)
             for role in ("identifier", "secret", "endpoint")
             if role != ROLE[kind]
         }
@@ -136,11 +164,12 @@ def spans_of(text: str, reach: int = REACH) -> list[Span]:
     """All reported spans (kind, start, end) of a text by start, kind and end."""
     strong, weak = strong_and_short(text)
     weak += [("named_id", *m.span()) for m in NAMED_ID.finditer(text)]
+    named = strong + [span for span in weak if span[0] in ("short_assign", "named_id")]
     weak += [("opaque", *m.span()) for m in OPAQUE.finditer(text) if _is_opaque(m[0])]
-    weak += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
+    weak += _endpoints(text, [span for span in named if span[0] != "hex"])
     if weak:
-        weak = _apart(strong, weak)
-        weak = _linked(strong, weak, text, reach) if len(strong) + len(weak) > 1 else []
+        weak = _clear(strong, weak)
+        weak = _apart(strong, _linked(strong, weak, text, reach)) if len(strong) + len(weak) > 1 else []
     return sorted(strong + weak, key=lambda span: (span[1], ORDER[span[0]], span[2]))
 
 

@@ -64,6 +64,23 @@ def test_weak_candidates_need_their_complement(text, found):
     assert kinds(text) == found
 
 
+OPAQUE = "Ab3" + "x" * 20
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        (f"{HOST}?user=jdoe&password=hunter2", ["endpoint", "named_id", "short_assign"]),
+        (f"{HOST}?user=jdoe&password=abcdefghijkl", ["endpoint", "named_id", "assign"]),
+        (f"login: {OPAQUE} {HOST}", ["opaque", "endpoint"]),
+        (f"login: {OPAQUE}", []),  # one value is not both parts
+        (f"https://db.example.org/{OPAQUE}", []),
+    ],
+)
+def test_a_part_that_is_not_reported_hides_no_other(text, found):
+    assert kinds(text) == found
+
+
 def test_against_all_pairs():
     rng = random.Random(4)
     pieces = [ID, HOST, "password = hunter2", "deadbeef99", "AKIA1234567", "token=abcdefghijkl", "10.0.0.1:80", "\n\n", "\n", "word " * 20, "Zz9" + "k" * 22]
