@@ -5,11 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from glossaleaf.llm import bpe, exact_dedup, mixing, quality, secrets, sharding, simhash, substring, token_counts, toxicity
+from glossaleaf.llm import alignment, bpe, exact_dedup, mixing, quality, secrets, sharding, simhash, substring, token_counts, toxicity
 from glossaleaf.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def documents(spark, sf_dir):
@@ -70,7 +72,11 @@ def op10_quality_rules(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_substring_dedup, op4_exact_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules)}
+def op11_alignment(spark, sf_dir):
+    return alignment.align(documents(spark, sf_dir), BYTE_LEVEL, PIECES)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_substring_dedup, op4_exact_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules, op11_alignment)}
 
 # every quotient of every source and shard is ranked here; the operator ranks a few of them
 MIXING_SQL = f"""
