@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from glossaleaf.llm import alignment, bpe, exact_dedup, mixing, quality, secrets, sharding, simhash, substring, token_counts, toxicity
+from glossaleaf.llm import alignment, bpe, collocations, exact_dedup, mixing, quality, secrets, sharding, simhash, substring, token_counts, toxicity
 from glossaleaf.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -76,7 +76,11 @@ def op11_alignment(spark, sf_dir):
     return alignment.align(documents(spark, sf_dir), BYTE_LEVEL, PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_substring_dedup, op4_exact_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules, op11_alignment)}
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_substring_dedup, op4_exact_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules, op11_alignment, op13_collocations)}
 
 # every quotient of every source and shard is ranked here; the operator ranks a few of them
 MIXING_SQL = f"""
@@ -182,7 +186,43 @@ SUBSTRING_SQL = """
     FROM docs LEFT JOIN kept USING (doc_id)
 """
 
+# every phrase of one to three words is a row here
+COLLOCATION_SQL = """
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p
+        FROM documents
+    ),
+    split AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+    grams AS (
+        SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f
+        FROM split, unnest([1, 2, 3]) AS s(k), unnest(range(1, len(w) - k + 2)) AS u(i)
+        GROUP BY lang, k, g
+    ),
+    candidates AS (SELECT lang, k, g AS phrase, f AS a, string_split(g, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
+    cuts AS (
+        SELECT c.*, l.f AS l, r.f AS r, cut,
+               (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+        JOIN grams l ON l.lang = c.lang AND l.g = array_to_string(c.w[1:cut], ' ')
+        JOIN grams r ON r.lang = c.lang AND r.g = array_to_string(c.w[cut + 1:], ' ')
+    ),
+    lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    inside AS (
+        SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer
+        FROM candidates, unnest([1, 2]) AS u(i) WHERE k = 3 GROUP BY ALL
+    ),
+    kept AS (
+        SELECT c.* FROM lowest c LEFT JOIN inside i ON k = 2 AND i.lang = c.lang AND i.phrase = c.phrase
+        WHERE 100 * coalesce(longer, 0) < 50 * a
+    ),
+    sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE_SQL = {
+    "op13_collocations": COLLOCATION_SQL,
     "op3_substring_dedup": SUBSTRING_SQL,
     "op6_mixing": MIXING_SQL,
     "op4_exact_dedup": """
