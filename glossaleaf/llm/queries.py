@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from glossaleaf.llm import alignment, bpe, collocations, exact_dedup, mixing, quality, secrets, sharding, simhash, substring, token_counts, toxicity
+from glossaleaf.llm import alignment, bpe, collocations, exact_dedup, html_text, mixing, quality, secrets, sharding, simhash, substring, token_counts, toxicity
 from glossaleaf.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -76,11 +76,15 @@ def op11_alignment(spark, sf_dir):
     return alignment.align(documents(spark, sf_dir), BYTE_LEVEL, PIECES)
 
 
+def op12_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_collocations(spark, sf_dir):
     return collocations.collocations(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_substring_dedup, op4_exact_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules, op11_alignment, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_substring_dedup, op4_exact_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_simhash, op10_quality_rules, op11_alignment, op12_html_text, op13_collocations)}
 
 # every quotient of every source and shard is ranked here; the operator ranks a few of them
 MIXING_SQL = f"""
