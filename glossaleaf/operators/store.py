@@ -22,8 +22,9 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def append_new(new: DataFrame, existing: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused): a row is refused if its key is stored already, came earlier in
-    ``new``, or is null. Of rows with one key and equal ``order`` the one whose other columns
-    hash lowest counts as the earlier, so one row of a key is accepted at most.
+    ``new``, or is null. A null in an ``order`` column comes before all values. Of rows with one key
+    and equal ``order`` the one whose other columns hash lowest counts as the earlier, so one row of
+    a key is accepted at most.
 
     Only keys, order columns and that hash are compared. The rows themselves are then
     matched on all of them, which spreads the rows of a hot key. The outcome is written
@@ -34,11 +35,16 @@ def append_new(new: DataFrame, existing: DataFrame, key: str, order: list[str])
     place = [*order, "_tie"]
     rows = new.withColumn("_tie", tie)
     first = rows.groupBy(key).agg(F.min(F.struct(*place)).alias("_first")).select(key, "_first.*")
-    winners = first.join(existing.select(key), key, "left_anti").withColumn("_won", F.lit(True))
+    free = first.join(existing.select(key), key, "left_anti")
+    names = [key, *place]
+    winners = free.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(names)], F.lit(True).alias("_won"))
     # rows alike in every column are told apart by number
     alike = Window.partitionBy(key, *place).orderBy(F.lit(1))
     numbered = rows.withColumn("_nth", F.row_number().over(alike))
-    outcome = materialize(numbered.join(winners, [key, *place], "left"), "append-outcome")
+    # equal or both null, but for the key
+    same = [F.col(c).eqNullSafe(F.col(f"_w{i}")) if i else F.col(c) == F.col("_w0") for i, c in enumerate(names)]
+    matched = numbered.join(winners, same, "left").select(*new.columns, "_nth", "_won")
+    outcome = materialize(matched, "append-outcome")
     is_new = F.coalesce(F.col("_won") & (F.col("_nth") == 1), F.lit(False))
     return outcome.filter(is_new).select(*new.columns), outcome.filter(~is_new).select(*new.columns)
 
