@@ -86,17 +86,15 @@ def _status(places_ok: Column, spans_ok: Column) -> Column:
 
 
 def _strict_spans(df: DataFrame, draft: str) -> DataFrame:
+    """One Python step for each batch of drafts; a draft that failed is not substituted at all."""
     phrases = F.transform("pairs", lambda p: text.flat_space(_phrase(p)))
-    translations = F.transform("pairs", lambda p: p["expression_translation"])
-    replaced = F.when(text.all_found(F.col("_before")), _substituted(F.col(draft), F.col("pairs")))
-    # a draft that failed is not substituted at all: _replaced and _after are null then
+    old, new = (F.transform("pairs", lambda p: p[name]) for name in ("expression_original", "expression_translation"))
+    made = text.substituted(F.col(draft), text.flat_space(F.col(draft)), phrases, old, new)
     return (
-        df.withColumn("_before", text.single_spans(text.flat_space(F.col(draft)), phrases))
-        .withColumn("_replaced", replaced)
-        .withColumn("_after", F.when(F.col("_replaced").isNotNull(), text.single_spans(F.col("_replaced"), translations)))
-        .withColumn(
-            "translate_status", _status(text.all_found(F.col("_before")), text.all_found(F.col("_after")))
-        )
+        df.withColumn("_made", made)
+        .withColumns({"_before": F.col("_made.before"), "_replaced": F.col("_made.replaced"), "_after": F.col("_made.after")})
+        .withColumn("translate_status", _status(text.all_found(F.col("_before")), text.all_found(F.col("_after"))))
+        .drop("_made")
     )
 
 
