@@ -85,10 +85,20 @@ def _with_vector(df: DataFrame) -> DataFrame:
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     # a pair may have been found in several cells
-    found = found.groupBy("query_id", "error_id").agg(F.min("distance").alias("distance"))
-    nearest = Window.partitionBy("query_id").orderBy("distance", "error_id")
+    return best_rows(found.groupBy("query_id", "error_id").agg(F.min("distance").alias("distance")), k, "distance")
+
+
+def best_rows(found: DataFrame, k: int, distance: str) -> DataFrame:
+    """The k rows of least distance of each query, ranked, ties by error_id."""
+    nearest = Window.partitionBy("query_id").orderBy(distance, "error_id")
     ranked = found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "error_id", "distance")
+    return ranked.select("query_id", "rank", "error_id", distance, *[c for c in found.columns if c not in ("query_id", "error_id", distance)])
+
+
+def squared_distance(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance of two arrays of numbers."""
+    gaps = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    return F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap)
 
 
 def _block_pairs(
@@ -117,12 +127,12 @@ def _block_pairs(
     def search(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or stored.empty:
             return pd.DataFrame({"query_id": [], "error_id": [], "distance": []})
-        return nearest(*_arrays(asked, "query_id"), *_arrays(stored, "error_id"), k, exclude_same_id)
+        return nearest(*arrays(asked, "query_id"), *arrays(stored, "error_id"), k, exclude_same_id)
 
     return left.cogroup(right).applyInPandas(search, FOUND)
 
 
-def _arrays(part: pd.DataFrame, row_id: str) -> tuple[np.ndarray, np.ndarray]:
+def arrays(part: pd.DataFrame, row_id: str) -> tuple[np.ndarray, np.ndarray]:
     return part[row_id].to_numpy(), np.stack(part["embedding"].to_numpy()).astype("float64")
 
 
