@@ -427,6 +427,16 @@ BODY = {
             SELECT ts, CASE WHEN job_id NOT IN (SELECT job_id FROM status_events WHERE message LIKE '%7')
                 AND row_number() OVER (PARTITION BY job_id ORDER BY ts) = 1 THEN 'accepted' ELSE 'refused' END AS outcome
             FROM status_events) GROUP BY outcome""",
+    "append_null_order": """
+        SELECT job_id, t AS ts, message, CASE WHEN job_id NOT IN (SELECT job_id FROM status_events WHERE message LIKE '%7')
+            AND row_number() OVER (PARTITION BY job_id ORDER BY t NULLS FIRST, message) = 1 THEN 'accepted' ELSE 'refused' END AS outcome
+        FROM (SELECT *, CASE WHEN status <> 'error' THEN ts END AS t FROM status_events)""",
+    "keyed_table_rounds": """
+        SELECT e.primary_id, t.draft_replaced AS diary_replaced,
+            e.is_show AND e.primary_id NOT IN (SELECT diary_id FROM status_events WHERE status = 'error') AS is_show
+        FROM entries e JOIN translated t USING (primary_id)
+        WHERE e.primary_id NOT IN (SELECT diary_id FROM status_events WHERE status = 'completed' AND minute(ts) = 7)""",
+    "stored_index_recall": "SELECT count(*) AS n_exact, true AS reached FROM ranked WHERE rank <= 10",
     "filter_diary_lang": "SELECT primary_id, language_source, language_annotation, title_diary FROM entries WHERE is_show AND language_source = 'fra' AND language_annotation = 'eng'",
     "filter_diary_visible": "SELECT primary_id, is_show, diary_original FROM entries WHERE is_show",
     "diary_list": """
@@ -536,7 +546,9 @@ BODY = {
     "stream_unique_jobs": "SELECT DISTINCT job_id, diary_id FROM status_events",
 }
 BODY["stream_job_status"] = BODY["job_status_latest"]
+BODY |= {f"stream_chain_{name}": BODY[f"chain_{name}"] for name in ("entries", "status")}
 BODY["append_history"] = BODY["version_history"]
+BODY["similar_errors_pruned"] = BODY["stored_index_search"] = BODY["similar_errors_one_cell"]
 
 
 def _needed(sql: str) -> list[str]:

@@ -12,11 +12,11 @@ from glossaleaf.functions import keys, prompts, responses, text
 from glossaleaf.functions.rows import explode_rows
 from glossaleaf.languages import Languages
 from glossaleaf.operators import (
-    errors, intake, langid, memory, models, rewriting, store, translation, versions, views,
+    errors, intake, langid, memory, models, pivot_search, rewriting, store, translation, vector_index, versions, views,
 )
 from glossaleaf.plans import analysis
-from glossaleaf.session import materialize
-from glossaleaf.sources import given
+from glossaleaf.session import fresh_path, materialize
+from glossaleaf.sources import given, keyed_table
 from glossaleaf.sources.tables import spread
 from glossaleaf.streaming import jobs
 
@@ -26,6 +26,8 @@ QUERIES: dict[str, Query] = {}
 # the entry whose expressions the lookup query shows
 LOOKUP_DOC = 7
 RECURRING_WITHIN = 0.5
+# the given vectors hardly cluster, so most lists must be asked for nine of ten hits
+INDEX_LISTS, INDEX_PROBES = 16, 13
 
 
 def query(function: Query) -> Query:
@@ -287,6 +289,48 @@ def similar_errors_one_cell(spark, sf):
     return found.select("query_id", "rank", "error_id", F.round("distance", 5).alias("distance"))
 
 
+@query
+def similar_errors_pruned(spark, sf):
+    """The exact search that leaves out blocks by pivots."""
+    _, found = _similar(spark, sf, pivot_search.similar_errors)
+    return found.select("query_id", "rank", "error_id", F.round("distance", 5).alias("distance"))
+
+
+def _stored_index(spark, sf):
+    """The error memory as a stored index, appended in two rounds."""
+    stored = given.error_memory(spark, sf)
+    path = fresh_path(spark, "error-index")
+    vector_index.create(stored, path, INDEX_LISTS)
+    for odd in (0, 1):
+        vector_index.append(path, stored.filter(F.col("error_id") % 2 == odd))
+    return path
+
+
+@query
+def stored_index_search(spark, sf):
+    """All lists asked and hundreds of codes re-ranked for each hit."""
+    path = _stored_index(spark, sf)
+
+    def search(asked, stored, **options):
+        return vector_index.search(path, asked, probes=INDEX_LISTS, again=100, **options)
+
+    _, found = _similar(spark, sf, search)
+    return found.select("query_id", "rank", "error_id", F.round("distance", 5).alias("distance"))
+
+
+@query
+def stored_index_recall(spark, sf):
+    """Some of the lists asked: whether nine of ten of the exact hits are found."""
+    path = _stored_index(spark, sf)
+
+    def search(asked, stored, **options):
+        return vector_index.search(path, asked, probes=INDEX_PROBES, **options)
+
+    _, exact = _similar(spark, sf)
+    _, found = _similar(spark, sf, search)
+    return vector_index.recall(found, exact).select("n_exact", (F.col("n_found") >= 0.9 * F.col("n_exact")).alias("reached"))
+
+
 @query
 def recurring_by_distance(spark, sf):
     asked, found = _similar(spark, sf, k=1)
@@ -574,7 +618,6 @@ def scan_diary(spark, sf):
 @query
 def append_diary(spark, sf):
     from glossaleaf.schemas import DIARY_ENTRIES
-    from glossaleaf.session import fresh_path
     from glossaleaf.sources import tables
 
     path = fresh_path(spark, "diary")
@@ -624,7 +667,6 @@ def append_error_memory(spark, sf):
 
 
 def _appended(spark, rows, name, schema, order, key="primary_id"):
-    from glossaleaf.session import fresh_path
     from glossaleaf.sources import tables
 
     path = fresh_path(spark, name)
@@ -644,6 +686,17 @@ def append_new_only(spark, sf):
     return both.groupBy("outcome").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+@query
+def append_null_order(spark, sf):
+    """Rows without a time come first of their key, and are accepted like others."""
+    events = given.status_events(spark, sf)
+    stored = events.filter(F.col("message").endswith("7")).select("job_id").distinct()
+    timed = events.withColumn("ts", F.when(F.col("status") != "error", F.col("ts")))
+    accepted, refused = store.append_new(timed, stored, "job_id", ["ts", "message"])
+    both = accepted.withColumn("outcome", F.lit("accepted")).unionByName(refused.withColumn("outcome", F.lit("refused")))
+    return both.select("job_id", "ts", "message", "outcome")
+
+
 @query
 def filter_diary_lang(spark, sf):
     found = views.entries(given.diary_entries(spark, sf), "fra", "eng")
@@ -706,6 +759,22 @@ def merge_latest_wins(spark, sf):
     )
 
 
+@query
+def keyed_table_rounds(spark, sf):
+    """A stored table after an update, a soft delete and a delete, each of which writes only the buckets it
+    touches."""
+    path = fresh_path(spark, "keyed-entries")
+    keyed_table.create(given.diary_entries(spark, sf).select("primary_id", "diary_replaced", "is_show"), path, "primary_id")
+    done = given.translated(spark, sf).select("primary_id", "created_at", F.col("draft_replaced").alias("diary_replaced"))
+    keyed_table.change(path, done, order=["created_at"])
+    events = given.status_events(spark, sf)
+    hidden = events.filter("status = 'error'").select(F.col("diary_id").alias("primary_id"), F.lit(False).alias("is_show"))
+    keyed_table.change(path, hidden)
+    gone = events.filter((F.col("status") == "completed") & (F.minute("ts") == 7)).select(F.col("diary_id").alias("primary_id"))
+    keyed_table.change(path, deletes=gone)
+    return keyed_table.read(spark, path)
+
+
 @query
 def dup_keys(spark, sf):
     return store.repeated_keys(given.status_events(spark, sf), "job_id")
@@ -803,19 +872,43 @@ def history_from_stored_version(spark, sf):
 # ---- the whole chain ----
 
 
-def _chain(spark, sf):
+def _chain(spark, sf, submissions=None, stored=None):
     answers = [given.translator_responses(spark, sf), given.archivist_responses(spark, sf)]
     return analysis.analyse(
-        given.submissions_with_repeats(spark, sf),
+        given.submissions_with_repeats(spark, sf) if submissions is None else submissions,
         *[a.select("primary_id", "response") for a in answers],
         given.rewriter_attempts(spark, sf).select("primary_id", "attempt", "response", "finish_reason", "detected_language"),
         given.review_answers(spark, sf).select("primary_id", "response"),
         Languages(spark),
         "tutor",
         "embedder",
+        stored=stored,
     )
 
 
+def _stream_chain(spark, sf, name):
+    """The chain over submissions that arrive in two parts, with a restart between; those that come
+    again are in the second. The tests hold all eight tables against the batch chain."""
+    rows = given.submissions_with_repeats(spark, sf)
+    late = F.col("job_id").endswith("-again") | (F.pmod(F.xxhash64("job_id"), F.lit(3)) == 0)
+    parts = [rows.filter(~late), rows.filter(late)]
+
+    def analyse(submissions, stored):
+        return _chain(spark, sf, submissions, stored)
+
+    return jobs.chain_by_stream(spark, parts, analyse, name)
+
+
+@query
+def stream_chain_entries(spark, sf):
+    return views.as_records(_stream_chain(spark, sf, "entries"))
+
+
+@query
+def stream_chain_status(spark, sf):
+    return _stream_chain(spark, sf, "status")
+
+
 @query
 def chain_entries(spark, sf):
     return views.as_records(_chain(spark, sf).entries)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from glossaleaf.languages import Languages
 from glossaleaf.operators import intake
 from glossaleaf.session import fresh_path
 from glossaleaf.sources import given
-from glossaleaf.streaming import submissions
+from glossaleaf.streaming import chain, submissions
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,16 +65,28 @@ def first_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_in_many_batches(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
-    """The same over events that arrive file by file in the order of time, so that keys repeat in
-    several micro-batches."""
+    """The same over events that arrive span by span of time, so that keys repeat in several
+    micro-batches."""
     arrivals, out, state = (fresh_path(spark, name) for name in ("arrivals", "refusal", "refusal-state"))
     events = given.status_of(given.table(spark, sf_dir, "events")).select("job_id", "diary_id", "ts")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     first, last = events.agg(F.min(seconds), F.max(seconds)).first()
     part = F.floor((seconds - first) * files / max(last - first, 1.0))
+    most = 1
     for number in range(files):
         arrived = events.filter(F.least(part, F.lit(files - 1)) == number)
-        arrived.coalesce(1).write.parquet(f"{arrivals}/{number}")
-    reader = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
+        arrived.write.parquet(f"{arrivals}/{number}")
+        most = max(most, len(spark.read.schema(events.schema).parquet(f"{arrivals}/{number}").inputFiles()))
+    reader = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", most)
     _run(submissions.accept_batches(reader.parquet(arrivals), "job_id", ["ts"], out, state))
     return spark.read.parquet(out).drop("batch", "bucket")
+
+
+def chain_by_stream(spark: SparkSession, parts: list[DataFrame], analyse: Callable, name: str) -> DataFrame:
+    """The chain over submissions that arrive part by part; the stream starts anew after each. Gives
+    the committed rows of one of its tables."""
+    arrivals, out, state = (fresh_path(spark, x) for x in ("submitted", "chain", "chain-state"))
+    for part in parts:
+        part.write.mode("append").parquet(arrivals)
+        _run(chain.run(spark.readStream.schema(part.schema).parquet(arrivals), analyse, out, state))
+    return chain.committed(spark, out, name)
