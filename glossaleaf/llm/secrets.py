@@ -3,10 +3,10 @@
 Strong spans stand alone: assigned values, access identifiers, long hex strings. Weak
 candidates are parts that mean little alone: short identifiers, user names, short or opaque
 values, endpoints. Parts have a role (identifier, secret, endpoint). Within a scope, a run of
-lines without a blank one, the parts of each role are joined as intervals widened by ``reach``
-code points, and a weak candidate is reported only if the parts that would make it a usable
-credential lie within reach: a secret for an identifier, an identifier or an endpoint for a
-secret, both of them for an endpoint.
+lines without a blank one, the parts of each role are joined as intervals, and a weak candidate is
+reported only if the parts that would make it a usable credential lie in the same scope: a secret
+for an identifier, an identifier or an endpoint for a secret, both of them for an endpoint. With
+``reach`` they must also lie within so many code points.
 
 An endpoint ends before the first named part inside it, such as a user name in a query. All
 candidates are joined before overlaps are resolved; parts that share text do not complement each
@@ -18,6 +18,7 @@ scope and asks by bisection, so many parts in one scope make no pairs.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from glossaleaf.llm.common import whole
 
-REACH = 200
+# no bound but the scope
+REACH = math.inf
 
 # fixed values: the strong kinds in order, their patterns, lengths and roles
 BASE = ("assign", "access", "hex")
@@ -99,7 +101,7 @@ class Reachable:
         before = bisect_left(self.starts, end)
         return before > 0 and self.furthest[before - 1] > start
 
-    def beside(self, start: int, end: int, reach: int) -> bool:
+    def beside(self, start: int, end: int, reach: float) -> bool:
         """Whether one that shares nothing with the interval lies within reach of it."""
         before, after = bisect_right(self.ends, start), bisect_left(self.starts, end)
         return before > 0 and self.ends[before - 1] > start - reach or after < len(self.starts) and self.starts[after] < end + reach
@@ -133,8 +135,8 @@ def _clear(strong: list[Span], weak: list[Span]) -> list[Span]:
     return [span for span in weak if not taken.meets(span[1], span[2])]
 
 
-def _linked(strong: list[Span], weak: list[Span], text: str, reach: int) -> list[Span]:
-    """The weak spans whose complementary parts lie within reach and scope."""
+def _linked(strong: list[Span], weak: list[Span], text: str, reach: float) -> list[Span]:
+    """The weak spans whose complementary parts lie in their scope, within reach."""
     cuts = [m.start() for m in SCOPE_END.finditer(text)]
     scopes: dict[int, dict[str, list[Span]]] = {}
     for span in strong + weak:
@@ -160,7 +162,7 @@ def _linked(strong: list[Span], weak: list[Span], text: str, reach: int) -> list
     return found
 
 
-def spans_of(text: str, reach: int = REACH) -> list[Span]:
+def spans_of(text: str, reach: float = REACH) -> list[Span]:
     """All reported spans (kind, start, end) of a text by start, kind and end."""
     strong, weak = strong_and_short(text)
     weak += [("named_id", *m.span()) for m in NAMED_ID.finditer(text)]
@@ -173,11 +175,12 @@ def spans_of(text: str, reach: int = REACH) -> list[Span]:
     return sorted(strong + weak, key=lambda span: (span[1], ORDER[span[0]], span[2]))
 
 
-def scan(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", reach: float = REACH) -> DataFrame:
     """One row per document: doc_id, spans (array of kind, start, end).
 
-    Positions count code points, the end is exclusive. Null and empty texts have no span.
-    Repeated rows are returned each; other columns of ``docs`` are left out.
+    Positions count code points, the end is exclusive. Null and empty texts have no span, an empty
+    table gives no rows. Very long texts are read whole; ties are ordered by kind and end. Repeated rows
+    are returned each; other columns of ``docs`` are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,7 +54,9 @@ def test_positions_count_code_points():
         (f"{ID} password = hunter2 {HOST}", ["named_id", "short_assign", "endpoint"]),
         (f"{ID}\n\npassword = hunter2", []),
         (f"{ID}\npassword = hunter2", ["named_id", "short_assign"]),
-        (f"{ID}{' ' * 300}password = hunter2", []),
+        (f"{ID}{' ' * 3000}password = hunter2", ["named_id", "short_assign"]),
+        (f"{ID}\n{'word ' * 400}\npassword = hunter2", ["named_id", "short_assign"]),
+        (f"{ID}\n{'word ' * 400}\n \npassword = hunter2", []),
         ("AKIA12345678 token=abcdefghijkl", ["short_access", "assign"]),
         ("AKIA" + "A1" * 7 + " deadbeef99", ["access", "short_hex"]),
         ("AKIA" + "A1" * 7 + " Ab3" + "x" * 20, ["access", "opaque"]),
@@ -81,38 +83,61 @@ def test_a_part_that_is_not_reported_hides_no_other(text, found):
     assert kinds(text) == found
 
 
+def test_reach_is_an_option():
+    assert kinds(f"{ID}{' ' * 300}password = hunter2", reach=200) == []
+    assert kinds(f"{ID}{' ' * 150}password = hunter2", reach=200) == ["named_id", "short_assign"]
+
+
+def all_pairs(text):
+    """By the definition: every part is held against every other of its scope; overlaps come last."""
+    strong, weak = secrets.strong_and_short(text)
+    weak += [("named_id", *m.span()) for m in secrets.NAMED_ID.finditer(text)]
+    named = [a for k, a, _ in strong + weak if k in ("assign", "access", "short_assign", "named_id")]
+    weak += [("opaque", *m.span()) for m in secrets.OPAQUE.finditer(text) if secrets._is_opaque(m[0])]
+    for m in secrets.ENDPOINT.finditer(text):
+        inside = [a for a in named if m.start() < a < m.end()]
+        end = m.end() if not inside else m.start() + len(text[m.start() : min(inside)].rstrip("?&;#,"))
+        weak.append(("endpoint", m.start(), end))
+    weak = [w for w in weak if not any(a < w[2] and b > w[1] for _, a, b in strong)]
+    breaks = [m.start() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
+
+    def near(part, role):
+        scope = sum(b <= part[1] for b in breaks)
+        return any(
+            secrets.ROLE[k] == role and sum(x <= a for x in breaks) == scope and (b <= part[1] or a >= part[2]) for k, a, b in strong + weak
+        )
+
+    needs = {"identifier": ["secret"], "secret": [], "endpoint": ["identifier", "secret"]}
+    linked = [
+        w for w in weak
+        if all(near(w, r) for r in needs[secrets.ROLE[w[0]]]) and (secrets.ROLE[w[0]] != "secret" or near(w, "identifier") or near(w, "endpoint"))
+    ]
+    out = []
+    for w in sorted(linked, key=lambda w: (w[1], -w[2], secrets.ORDER[w[0]])):
+        if all(v[2] <= w[1] for v in out):
+            out.append(w)
+    return sorted(strong + out, key=lambda w: (w[1], secrets.ORDER[w[0]], w[2]))
+
+
 def test_against_all_pairs():
     rng = random.Random(4)
     pieces = [ID, HOST, "password = hunter2", "deadbeef99", "AKIA1234567", "token=abcdefghijkl", "10.0.0.1:80", "\n\n", "\n", "word " * 20, "Zz9" + "k" * 22]
-    for _ in range(200):
-        text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
-        strong, weak = secrets.strong_and_short(text)
-        weak += [("named_id", *m.span()) for m in secrets.NAMED_ID.finditer(text)]
-        weak += [("opaque", *m.span()) for m in secrets.OPAQUE.finditer(text) if secrets._is_opaque(m[0])]
-        weak += [("endpoint", *m.span()) for m in secrets.ENDPOINT.finditer(text)]
-        weak = [w for w in weak if not any(a < w[2] and b > w[1] for _, a, b in strong)]
-        weak.sort(key=lambda w: (w[1], -w[2], secrets.ORDER[w[0]]))
-        weak = [w for i, w in enumerate(weak) if all(v[2] <= w[1] for v in weak[:i])]
-        breaks = [m.start() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
-
-        def scope(start):
-            return sum(b <= start for b in breaks)
-
-        def near(part, role):
-            return any(
-                secrets.ROLE[k] == role and scope(a) == scope(part[1]) and a < part[2] + secrets.REACH and b > part[1] - secrets.REACH
-                for k, a, b in strong + weak
-            )
-
-        def usable(w):
-            role = secrets.ROLE[w[0]]
-            if role == "identifier":
-                return near(w, "secret")
-            if role == "secret":
-                return near(w, "identifier") or near(w, "endpoint")
-            return near(w, "identifier") and near(w, "secret")
-
-        assert sorted(secrets.spans_of(text)) == sorted(strong + [w for w in weak if usable(w)])
+    pieces += [f"{HOST}?user=jdoe&password=hunter2", f"{HOST}/Zz9{'k' * 22}", "https://10.0.0.1/?token=abcdefghijklm", "redis://h/#login=bob;x"]
+    reported = 0
+    for _ in range(600):
+        text = rng.choice(["", " "]).join(rng.choice(pieces) + rng.choice([" ", "", "\n"]) for _ in range(rng.randrange(1, 20)))
+        assert secrets.spans_of(text) == all_pairs(text), text
+        reported += len(secrets.spans_of(text)) - len(secrets.strong_and_short(text)[0])
+    assert reported > 1000
+
+
+def test_split_credentials_in_a_table(spark):
+    """Parts that mean nothing alone, spread over a block of settings; nothing of it is a base span."""
+    filler = "\n".join(f"setting_{i}: some plain words" for i in range(40))
+    split = f"host: db.internal.example\nurl: postgres://db.example.org/main\n{filler}\nuser: reporting\n{filler}\npassword: hunter2x"
+    rows = [(1, split), (2, split.replace("password: hunter2x", "nothing here")), (3, split.replace(filler, "\n\n")), (4, None)]
+    got = {r.doc_id: [s["kind"] for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["endpoint", "named_id", "short_assign"], 2: [], 3: [], 4: []}
 
 
 def test_many_parts_in_one_scope():
@@ -132,5 +157,7 @@ def test_query(spark, sf_dir):
 
 
 def test_messy_and_empty(messy, messy_rows, empty):
-    assert secrets.scan(messy).count() == len(messy_rows)
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = [(r.doc_id, [tuple(s) for s in r.spans]) for r in secrets.scan(messy).collect()]
+    assert sorted(got, key=key) == sorted([(r[0], all_pairs(r[1] or "")) for r in messy_rows], key=key)
     assert secrets.scan(empty).count() == 0
