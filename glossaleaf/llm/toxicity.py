@@ -2,8 +2,10 @@
 
 Features are the n-grams present in a text, hashed to ``BUCKETS``. For each, the ratio
 r = log p(feature | toxic) - log p(feature | not toxic) is taken from smoothed document
-counts; the features with a marked ratio, times r, feed a logistic regression. It is fitted
-on at most ``MOST_LABELLED`` labelled rows; every document is scored, whole.
+counts; the features times r feed a logistic regression, in which a toxic document weighs
+``TOXIC_WEIGHT`` others. Features whose |r| is below ``LEAST_RATIO``, or that fewer than
+``LEAST_DOCUMENTS`` documents have, would get a weight near zero and are left out of the fit. It is
+fitted on at most ``MOST_LABELLED`` labelled ids, one row each; every document is scored, whole.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ SIZES = (4, 5, 6, 7)
 BITS = 20
 BUCKETS = 1 << BITS
 SMOOTHING = 1.0
-LEAST_RATIO = 2.0
+LEAST_RATIO = 1.0
 LEAST_DOCUMENTS = 3
 # bound of the fitting sample, in the order of a hash of the id
 MOST_LABELLED = 20_000
 PIECES = 16
-STEPS = 300
-RATE = 0.3
-DECAY = 1e-3
+STEPS = 150
+RATE = 0.1
+DECAY = 1e-2
+TOXIC_WEIGHT = 20.0
 # characters hashed at once
 BLOCK = 1 << 18
 FOLDS = 5
@@ -93,8 +96,10 @@ def _labelled(docs: DataFrame, labels: DataFrame, text: str, most: int) -> DataF
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "labelled_id")
     texts = docs.select("doc_id", whole(text).alias("text"))
     joined = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id"))
+    # of rows with one id the text that hashes lowest: the sample has as many rows as ids
+    first = joined.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("_t"))
     # a bounded table in few pieces: each piece sends one row per bucket when counted
-    return materialize(joined.select("doc_id", "toxic", "text").repartition(PIECES, "doc_id"), "labelled")
+    return materialize(first.select("doc_id", "toxic", F.col("_t.text").alias("text")).repartition(PIECES, "doc_id"), "labelled")
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -137,14 +142,15 @@ def _features(rows: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, list[np.
         for batch in batches:
             parts = list(present(batch.column(2).to_pylist(), wanted))
             owner, buckets = (np.concatenate([np.empty(0, np.int64), *(p[k] for p in parts)]) for k in (0, 1))
-            cuts = np.searchsorted(owner, np.arange(len(batch) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(buckets.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "toxic", "f"])
+            cuts = np.searchsorted(owner, np.arange(len(batch) + 1))
+            lists = [buckets[x:y].astype("<i4").tobytes() for x, y in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.binary())], names=["doc_id", "toxic", "f"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sample = rows.mapInArrow(run, f"doc_id {kind}, toxic int, f array<int>").collect()  # at most MOST_LABELLED rows
-    sample.sort(key=lambda r: (str(r["doc_id"]), r["toxic"], r["f"]))
-    return np.array([r["toxic"] for r in sample], np.int64), [np.array(r["f"], np.int64) for r in sample]
+    # at most MOST_LABELLED rows, four bytes for each chosen feature that a document has
+    sample = rows.mapInArrow(run, f"doc_id {kind}, toxic int, f binary").collect()
+    sample.sort(key=lambda r: str(r["doc_id"]))
+    return np.array([r["toxic"] for r in sample], np.int64), [np.frombuffer(r["f"], "<i4") for r in sample]
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = MOST_LABELLED) -> tuple[float, np.ndarray]:
@@ -161,12 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = MOST
     wanted = np.zeros(BUCKETS, bool)
     wanted[chosen] = True
     toxic, lists = _features(rows, wanted)
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    column = np.searchsorted(chosen, np.concatenate(lists))
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    column = np.searchsorted(chosen, np.concatenate(lists)).astype(np.int32)
+    share = np.where(toxic == 1, TOXIC_WEIGHT, 1.0)
+    share /= share.sum()
     w, w_seen, b_seen = np.zeros(len(chosen)), np.full(len(chosen), 1e-8), 1e-8
     for _ in range(STEPS):
         z = bias + np.bincount(row, weights=(w * scale)[column], minlength=len(toxic))
-        error = (_sigmoid(z) - toxic) / len(toxic)
+        error = (_sigmoid(z) - toxic) * share
         step = scale * np.bincount(column, weights=error[row], minlength=len(w)) + DECAY * w
         w_seen += step * step
         b_seen += error.sum() ** 2
@@ -184,8 +192,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = MO
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
     Labels are learned only from rows that are not held out. Null and empty texts get the
-    score of a text without any feature. Repeated rows are scored each; other columns of
-    ``docs`` are left out.
+    score of a text without any feature, an empty table gives no rows. Repeated rows are scored
+    each; very long texts are hashed in blocks. Other columns of ``docs`` are left out.
     """
     bias, weights = fit(docs, labels, text, most)
     model = docs.sparkSession.sparkContext.broadcast((bias, weights))  # of fixed size

@@ -14,10 +14,65 @@ def test_held_out_accuracy(spark):
     toxic = [r for r in held if r.toxic]
     clean = [r for r in held if not r.toxic]
     assert right / len(held) > 0.96
-    assert sum(r.predicted for r in toxic) > 0.7 * len(toxic)
+    assert sum(r.predicted for r in toxic) >= 0.88 * len(toxic)
     assert sum(r.predicted for r in clean) < 0.01 * len(clean)
 
 
+def test_fit_against_plain_loops(spark):
+    """The same features and steps, one document and one feature at a time."""
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    words = "you are an idiot nice day the house red fool".split()
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    known = [(i, int("idiot" in t or "fool" in t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bias, weights = toxicity.fit(docs, spark.createDataFrame(known, "doc_id long, toxic int"))
+
+    used = [i for i, _ in known if zlib.crc32(str(i).encode()) % 5]
+    used.sort(key=str)
+    every = np.ones(toxicity.BUCKETS, bool)
+    have = {i: sorted({int(b) for _, part in toxicity.present([texts[i]], every) for b in part}) for i in used}
+    label = dict(known)
+    n = [sum(label[i] == k for i in used) for k in (0, 1)]
+    seen = {}
+    for i in used:
+        for b in have[i]:
+            seen.setdefault(b, [0, 0])[label[i]] += 1
+    ratio = {b: math.log((c[1] + 1) / (n[1] + 2)) - math.log((c[0] + 1) / (n[0] + 2)) for b, c in seen.items() if sum(c) >= 3}
+    ratio = {b: r for b, r in ratio.items() if abs(r) >= toxicity.LEAST_RATIO}
+    w, square = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 1e-8)
+    b0, b_square = math.log((n[1] + 0.5) / (n[0] + 1)), 1e-8
+    total = n[0] + toxicity.TOXIC_WEIGHT * n[1]
+    for _ in range(toxicity.STEPS):
+        step, b_step = {b: toxicity.DECAY * w[b] for b in w}, 0.0
+        for i in used:
+            z = b0 + sum(w[b] * ratio[b] for b in have[i] if b in ratio)
+            error = (1 / (1 + math.exp(-z)) - label[i]) * (toxicity.TOXIC_WEIGHT if label[i] else 1.0) / total
+            b_step += error
+            for b in have[i]:
+                if b in ratio:
+                    step[b] += ratio[b] * error
+        for b in w:
+            square[b] += step[b] ** 2
+            w[b] -= toxicity.RATE * step[b] / math.sqrt(square[b])
+        b_square += b_step**2
+        b0 -= toxicity.RATE * b_step / math.sqrt(b_square)
+    assert ratio and abs(bias - b0) < 1e-6
+    assert set(np.flatnonzero(weights).tolist()) == {b for b in ratio if w[b]}
+    assert all(abs(weights[b] - w[b] * ratio[b]) < 1e-6 for b in ratio)
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(i % 10, f"text {i}") for i in range(200)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    assert toxicity._labelled(docs, known, "text", 4).count() == 4
+
+
 def test_features_do_not_depend_on_grouping(monkeypatch):
     import numpy as np
 
