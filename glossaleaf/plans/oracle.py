@@ -7,7 +7,7 @@ import re
 from glossaleaf.functions import prompts as P
 from glossaleaf.functions.text import PY_SPACE
 from glossaleaf.languages import LANGUAGES
-from glossaleaf.plans.queries import LOOKUP_DOC, RECURRING_WITHIN
+from glossaleaf.plans.queries import LOOKUP_DOC, RECURRING_WITHIN, STUCK_AFTER
 from glossaleaf.sources.given import CODES, START_MICROS
 
 
@@ -541,6 +541,14 @@ BODY = {
         SELECT job_id, primary_id, level_rewriting, reject_reason, CASE WHEN reject_reason IS NULL THEN 'processing' END AS status,
             CASE WHEN lang_diary_body <> '' AND lang_annotation <> '' THEN {strip('lang_diary_body')} END AS language_source
         FROM submissions_checked""",
+    "stream_kept_states": f"""
+        SELECT job_id, diary_id, CASE WHEN stuck THEN 'error' ELSE status END AS status,
+            CASE WHEN stuck THEN 'no end within {STUCK_AFTER} minutes' ELSE message END AS message
+        FROM (
+            SELECT *, status = 'processing' AND epoch_ms(ts) + {STUCK_AFTER * 60_000}
+                < (SELECT epoch_ms(max(ts)) FROM status_events) - 86400000 AS stuck
+            FROM status_events
+            QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY epoch_ms(ts) DESC, status <> 'processing' DESC, status DESC, message DESC) = 1)""",
     "stream_first_submissions": "SELECT job_id, arg_min(diary_id, ts) AS diary_id, min(ts) AS ts FROM status_events GROUP BY job_id",
     "stream_key_refusal": "SELECT job_id, arg_min(diary_id, ts) AS diary_id, min(ts) AS ts FROM status_events GROUP BY job_id",
     "stream_unique_jobs": "SELECT DISTINCT job_id, diary_id FROM status_events",

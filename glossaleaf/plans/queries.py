@@ -28,6 +28,8 @@ LOOKUP_DOC = 7
 RECURRING_WITHIN = 0.5
 # the given vectors hardly cluster, so most lists must be asked for nine of ten hits
 INDEX_LISTS, INDEX_PROBES = 16, 13
+# minutes until a job without an end counts as failed
+STUCK_AFTER = 600
 
 
 def query(function: Query) -> Query:
@@ -942,6 +944,11 @@ def stream_job_status(spark, sf):
     return jobs.status_by_stream(spark, sf)
 
 
+@query
+def stream_kept_states(spark, sf):
+    return jobs.kept_states_by_stream(spark, sf, STUCK_AFTER, "1 day")
+
+
 @query
 def stream_submissions(spark, sf):
     return jobs.intake_by_stream(spark, sf)

@@ -11,7 +11,7 @@ from glossaleaf.languages import Languages
 from glossaleaf.operators import intake
 from glossaleaf.session import fresh_path
 from glossaleaf.sources import given
-from glossaleaf.streaming import chain, submissions
+from glossaleaf.streaming import chain, job_state, submissions
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,3 +90,13 @@ def chain_by_stream(spark: SparkSession, parts: list[DataFrame], analyse: Callab
         part.write.mode("append").parquet(arrivals)
         _run(chain.run(spark.readStream.schema(part.schema).parquet(arrivals), analyse, out, state))
     return chain.committed(spark, out, name)
+
+
+def kept_states_by_stream(spark: SparkSession, sf_dir: str, minutes: int, delay: str) -> DataFrame:
+    """Job states over all events, then over older and repeated ones that arrive after a restart."""
+    arrivals, out, state = (fresh_path(spark, x) for x in ("events", "kept", "kept-state"))
+    events = given.status_of(given.table(spark, sf_dir, "events"))
+    for part in (events, events.filter(F.pmod(F.xxhash64("job_id"), F.lit(3)) == 0)):
+        part.write.mode("append").parquet(arrivals)
+        _run(job_state.run(spark.readStream.schema(events.schema).parquet(arrivals), minutes, delay, out, state))
+    return job_state.read(spark, out)
