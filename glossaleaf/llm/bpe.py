@@ -168,7 +168,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
 
     Each match of ``pattern`` is encoded separately by the ranks of the file at ``path``,
     without special tokens. Null and empty texts have no token. Repeated rows are
-    encoded each; columns of ``docs`` not named are left out. No shuffle.
+    encoded each; columns of ``docs`` not named are left out. An empty table gives no rows; a
+    very long text, or pre-token, is encoded whole. No shuffle.
     """
     ranks = _shipped(docs, path)
     rows = docs.select(whole(text).alias("text"), "doc_id", *(keep or []))

@@ -50,7 +50,7 @@ def mark(docs: DataFrame, text: str = "text", salts: int = SALTS) -> DataFrame:
 
     The largest doc_id of a group stays. Null texts count as empty. A null doc_id stays only
     if its group has no other; if rows repeat doc_id and text, one of them stays. Other
-    columns of ``docs`` are left out.
+    columns of ``docs`` are left out. An empty table gives no rows; very long texts are compared whole.
     """
     texts = _texts(docs, text)
     again = Window.partitionBy("digest", "doc_id").orderBy(F.lit(1))

@@ -168,7 +168,8 @@ def mark(
 
     ``taken`` counts the words that the mix takes of it, repeats included. A null text has no
     words; a null source is a source of its own, the last in order. Rows alike in
-    doc_id, source and size are interchangeable. Other columns of ``docs`` are left out.
+    doc_id, source and size are interchangeable. Other columns of ``docs`` are left out. An empty
+    table gives no rows; a very long text is several blocks, of which some may be taken.
     """
     sizes = _sizes(docs, text, source)
     placed = _placed(sizes, sizes, weights, share, most, block, shard_words, seed)

@@ -157,7 +157,7 @@ def judge(
 
     A null text counts as empty and fails for want of words. Repeated rows count and are
     returned each. Without any trusted text the base rules alone decide. Other columns of
-    ``docs`` are left out.
+    ``docs`` are left out. An empty table gives no rows; very long texts count whole.
     """
     model = weights(docs, trusted(labels, most_trusted), text, buckets)
     judged = _judged(

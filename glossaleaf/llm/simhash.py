@@ -160,7 +160,7 @@ def group(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, max_bits:
     Texts are lower-cased in A-Z and cut into words; fewer words than a shingle are one
     shingle; null and empty texts have fingerprint 0 and are linked like any other. Repeated
     rows are returned each. A component of null ids alone has a null id. Other columns of
-    ``docs`` are left out.
+    ``docs`` are left out. An empty table gives no rows; very long texts count all their shingles.
     """
     rows, roots = _members(docs, text, shingle, max_bits)
     firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(roots, "fp")

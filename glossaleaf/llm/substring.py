@@ -350,7 +350,8 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     ``doc_id`` is a whole number; a null one counts as the smallest. Rows that repeat
     doc_id and text are one document returned as often; rows that share a doc_id alone are
     ordered by their text's hash. Null and empty texts have no words. Other columns of
-    ``docs`` are left out. Every document with a repeated stretch is read a second time.
+    ``docs`` are left out. An empty table gives no rows; a very long text is cut into stretches.
+    Every document with a repeated stretch is read a second time.
     """
     rows = docs.select(
         "doc_id",
