@@ -944,6 +944,11 @@ def stream_job_status(spark, sf):
     return jobs.status_by_stream(spark, sf)
 
 
+@query
+def stream_key_sketch(spark, sf):
+    return jobs.first_in_many_batches(spark, sf, sketched=True)
+
+
 @query
 def stream_kept_states(spark, sf):
     return jobs.kept_states_by_stream(spark, sf, STUCK_AFTER, "1 day")

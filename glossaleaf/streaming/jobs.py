@@ -11,7 +11,7 @@ from glossaleaf.languages import Languages
 from glossaleaf.operators import intake
 from glossaleaf.session import fresh_path
 from glossaleaf.sources import given
-from glossaleaf.streaming import chain, job_state, submissions
+from glossaleaf.streaming import chain, job_state, key_sketch, submissions
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,9 +64,9 @@ def first_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).drop("batch", "bucket")
 
 
-def first_in_many_batches(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
+def first_in_many_batches(spark: SparkSession, sf_dir: str, files: int = 4, sketched: bool = False) -> DataFrame:
     """The same over events that arrive span by span of time, so that keys repeat in several
-    micro-batches."""
+    micro-batches; ``sketched`` tests the keys by sketches first."""
     arrivals, out, state = (fresh_path(spark, name) for name in ("arrivals", "refusal", "refusal-state"))
     events = given.status_of(given.table(spark, sf_dir, "events")).select("job_id", "diary_id", "ts")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
@@ -78,6 +78,9 @@ def first_in_many_batches(spark: SparkSession, sf_dir: str, files: int = 4) -> D
         arrived.write.parquet(f"{arrivals}/{number}")
         most = max(most, len(spark.read.schema(events.schema).parquet(f"{arrivals}/{number}").inputFiles()))
     reader = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", most)
+    if sketched:
+        _run(key_sketch.accept_batches(reader.parquet(arrivals), "job_id", ["ts"], out, state))
+        return key_sketch.read(spark, out)
     _run(submissions.accept_batches(reader.parquet(arrivals), "job_id", ["ts"], out, state))
     return spark.read.parquet(out).drop("batch", "bucket")
 
