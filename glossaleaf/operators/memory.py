@@ -223,7 +223,7 @@ def similar_errors_approx(
     queries: DataFrame,
     memory: DataFrame,
     k: int = 10,
-    tables: int = 12,
+    tables: int = 16,
     bits: int = 3,
     seed: int = 7,
     exclude_same_id: bool = False,

@@ -557,6 +557,7 @@ BODY["stream_job_status"] = BODY["job_status_latest"]
 BODY |= {f"stream_chain_{name}": BODY[f"chain_{name}"] for name in ("entries", "status")}
 BODY["stream_key_sketch"] = BODY["stream_key_refusal"]
 BODY["append_history"] = BODY["version_history"]
+BODY["similar_errors_approx_recall"] = BODY["stored_index_recall"]
 BODY["similar_errors_pruned"] = BODY["stored_index_search"] = BODY["similar_errors_one_cell"]
 
 

@@ -281,6 +281,14 @@ def similar_errors_approx(spark, sf):
     return found
 
 
+@query
+def similar_errors_approx_recall(spark, sf):
+    """Whether the hashed search finds nine of ten of the exact hits."""
+    _, exact = _similar(spark, sf)
+    _, found = _similar(spark, sf, memory.similar_errors_approx)
+    return vector_index.recall(found, exact).select("n_exact", (F.col("n_found") >= 0.9 * F.col("n_exact")).alias("reached"))
+
+
 @query
 def similar_errors_one_cell(spark, sf):
     """The hashed search with all vectors in one cell, which makes it exact."""
