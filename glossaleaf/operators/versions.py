@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from glossaleaf.functions import keys
 from glossaleaf.functions.rows import settled
-from glossaleaf.operators import ordered, store
+from glossaleaf.operators import line_edits, ordered, store
 from glossaleaf.session import materialize
 
 
@@ -43,11 +43,13 @@ def version_pairs(
     that changes nothing is no edit and raises no version.
     """
     cols = versions.select(entry, *order, text, *([stored] if stored else []))
-    paired = ordered.with_previous(cols, entry, order, "_n", {text: "old_text"}, spread)
+    # the texts are written once: real edits are counted where the pairs are made
+    paired = ordered.with_previous(cols, entry, order, "_n", {text: "old_text"}, spread, changes={text: "version_to"})
     paired = paired.withColumnRenamed(text, "new_text")
     edits = paired.filter((F.col("_n") > 1) & (F.col("old_text") != F.col("new_text"))).drop("_n")
-    numbered = version_numbers(edits, entry, order, spread, stored)
-    return numbered.drop(stored) if stored else numbered
+    if stored:
+        edits = edits.withColumn("version_to", F.col("version_to") + F.coalesce(F.col(stored), F.lit(0))).drop(stored)
+    return edits.withColumn("version_from", F.col("version_to") - 1)
 
 
 @F.pandas_udf(T.StringType())
@@ -119,10 +121,13 @@ def apply_versions(entries: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def edit_texts(
-    entries: DataFrame, edits: DataFrame, field: str, spread: bool = True
+    entries: DataFrame, edits: DataFrame, field: str, spread: bool = True, by_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(entries after the edits, version records) for edits of one text column.
 
+    A record holds a unified diff, or with ``by_line`` the line edits that ``line_edits.replay``
+    can make again.
+
     Versions go on from the entry's current one. ``edits`` has primary_id, at and text; ``at`` is unique per entry. A null text is no
     edit, nor is one that repeats the text before it. Edits of unknown entries are left out.
     """
@@ -134,7 +139,13 @@ def edit_texts(
     texts = start.unionByName(known.select("primary_id", "at", "text", "_stored"))
     # the records and the entries both come from the pairs
     pairs = materialize(version_pairs(texts, "primary_id", ["at"], "text", spread, "_stored"), "edit-pairs")
-    records = text_changes(pairs, field).select(
+    if by_line:
+        pair = ["primary_id", "version_to"]
+        made = line_edits.payloads(line_edits.line_edits(pairs, pair), pair, field)
+        changed = pairs.select(*pair, "version_from", "at").join(made, pair)
+    else:
+        changed = text_changes(pairs, field)
+    records = changed.select(
         keys.history_key(F.col("primary_id"), F.col("version_to")).alias("history_id"),
         F.col("primary_id").alias("primary_id_DiaryEntry"),
         "version_from",

@@ -519,6 +519,11 @@ BODY = {
     "job_status_latest": "SELECT job_id, arg_max(diary_id, ts) AS diary_id, max(ts) AS ts, arg_max(status, ts) AS status, arg_max(message, ts) AS message FROM status_events GROUP BY job_id",
     "version_numbers": "SELECT diary_id, ts, status, CAST(row_number() OVER w AS INTEGER) AS version_to, CAST(row_number() OVER w - 1 AS INTEGER) AS version_from FROM status_events WINDOW w AS (PARTITION BY diary_id ORDER BY ts)",
     "version_pairs": "SELECT conv_id, turn, new_text, old_text, CAST(version_to AS INTEGER) AS version_to, CAST(version_to - 1 AS INTEGER) AS version_from FROM edits",
+    "version_edits_replayed": """
+        SELECT conv_id, CAST(version_to AS INTEGER) AS version_to, new_text AS text,
+            CAST(len(string_split(new_text, chr(10))) - len(string_split(old_text, chr(10))) AS BIGINT) AS more_lines FROM edits""",
+    "edits_replayed": """
+        SELECT primary_id, CAST(row_number() OVER (PARTITION BY primary_id ORDER BY turn) AS INTEGER) AS version_to, text FROM real_edits""",
     "version_line_changes": """
         SELECT conv_id, CAST(version_to AS INTEGER) AS version_to, CASE WHEN net > 0 THEN 'added' ELSE 'removed' END AS change, line, abs(net)::BIGINT AS n FROM (
             SELECT conv_id, n - 1 AS version_to, line, sum(sign) AS net FROM (

@@ -12,7 +12,8 @@ from glossaleaf.functions import keys, prompts, responses, text
 from glossaleaf.functions.rows import explode_rows
 from glossaleaf.languages import Languages
 from glossaleaf.operators import (
-    errors, intake, langid, memory, models, pivot_search, rewriting, store, translation, vector_index, versions, views,
+    errors, intake, langid, line_edits, memory, models, pivot_search, rewriting, store, translation, vector_index, versions,
+    views,
 )
 from glossaleaf.plans import analysis
 from glossaleaf.session import fresh_path, materialize
@@ -820,6 +821,26 @@ def version_diff(spark, sf):
     return versions.text_changes(pairs, "diary_rewritten").select("conv_id", "version_from", "version_to", "changes")
 
 
+@query
+def version_line_edits(spark, sf):
+    """Lines deleted and inserted at each step, with their places."""
+    pairs = versions.version_pairs(given.versions(spark, sf), "conv_id", ["turn"], "text")
+    # the pairs have two readers, the texts and the lines
+    return line_edits.line_edits(materialize(pairs, "pairs"), ["conv_id", "version_to"])
+
+
+@query
+def version_edits_replayed(spark, sf):
+    """Each version's text made anew from the one before it and the line edits."""
+    pairs = materialize(versions.version_pairs(given.versions(spark, sf), "conv_id", ["turn"], "text"), "pairs")
+    pair = ["conv_id", "version_to"]
+    edits = materialize(line_edits.line_edits(pairs, pair), "edits")
+    counts = edits.groupBy(*pair).agg(
+        (F.count_if(F.col("op") == "insert") - F.count_if(F.col("op") == "delete")).alias("more_lines")
+    )
+    return line_edits.replay(pairs, edits, pair).join(counts, pair)
+
+
 @query
 def version_history(spark, sf):
     table = given.unknown_expressions(spark, sf)
@@ -860,6 +881,21 @@ def edit_records(spark, sf):
     return edit_history(spark, sf).drop("changes")
 
 
+@query
+def edits_replayed(spark, sf):
+    """The texts of an entry's versions, each made from the one before and the record's payload."""
+    entries = views.as_records(given.diary_entries(spark, sf))
+    edits = given.text_edits(spark, sf)
+    _, records = versions.edit_texts(entries, edits, "diary_rewritten", by_line=True)
+    texts = entries.select("primary_id", F.lit(None).cast("timestamp").alias("at"), F.col("diary_rewritten").alias("text"))
+    known = edits.filter("text is not null").join(entries.select("primary_id"), "primary_id", "left_semi")
+    pairs = versions.version_pairs(texts.unionByName(known), "primary_id", ["at"], "text")
+    steps = line_edits.from_payloads(
+        records.withColumnRenamed("primary_id_DiaryEntry", "primary_id"), ["primary_id", "version_to"], "diary_rewritten"
+    )
+    return line_edits.replay(pairs, steps, ["primary_id", "version_to"])
+
+
 @query
 def edit_from_stored_version(spark, sf):
     """Edits and added expressions of entries that have versions already."""

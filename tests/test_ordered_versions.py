@@ -34,6 +34,23 @@ def test_spread_form_equals_window_form(skewed):
     assert got[True] == got[False]
 
 
+def test_changes_are_counted_across_parts(skewed):
+    rows = skewed.withColumn("text", F.expr("CASE WHEN seq % 11 = 0 THEN null WHEN seq % 3 = 0 THEN 'a' ELSE 'b' END"))
+    texts = {}
+    for r in rows.sort("entry", "seq").collect():
+        texts.setdefault(r.entry, []).append((r.seq, r.text))
+    want = Counter()
+    for entry, seen in texts.items():
+        n, before = 0, None
+        for seq, text in seen:
+            n += before is not None and text is not None and before != text
+            want[(entry, seq, before, n)] += 1
+            before = text
+    for spread in (False, True):
+        df = ordered.with_previous(rows, "entry", ["seq"], "n", {"text": "before"}, spread, changes={"text": "changes"})
+        assert as_set(df, "entry", "seq", "before", "changes") == want
+
+
 def test_spread_form_splits_the_large_key(skewed):
     parts = ordered.materialize(ordered.ranged(skewed, "entry", ["seq"]), "test")
     assert parts.filter("entry = 'hot'").select("_part").distinct().count() > 1
