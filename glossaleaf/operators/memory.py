@@ -28,6 +28,14 @@ def to_memory(errors: DataFrame) -> DataFrame:
     )
 
 
+def identified(stored: DataFrame) -> DataFrame:
+    """Adds ``error_id`` where it is missing: a hash of the record without its vector, so records
+    alike in all columns share one."""
+    if "error_id" in stored.columns:
+        return stored
+    return stored.withColumn("error_id", F.xxhash64(*sorted(c for c in stored.columns if c != "embedding")))
+
+
 # ---- recurring or new ----
 
 

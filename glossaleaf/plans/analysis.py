@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from glossaleaf.functions import responses, text
 from glossaleaf.languages import Languages
 from glossaleaf.operators import errors as error_ops
-from glossaleaf.operators import intake, langid, memory, rewriting, store, translation
+from glossaleaf.operators import intake, langid, memory, models, rewriting, store, translation
 from glossaleaf.session import materialize
 
 KEY_TAKEN = "entry key already stored"
@@ -26,6 +27,7 @@ class Analysis:
     status: DataFrame
     rejected: DataFrame
     refused: DataFrame
+    past: DataFrame | None = None  # with an embedding model only
 
 
 def with_languages(submissions: DataFrame, profile: langid.Profile | None) -> DataFrame:
@@ -64,6 +66,9 @@ def analyse(
     profile: langid.Profile | None = None,
     strict: bool = True,
     stored: DataFrame | None = None,
+    embed: Callable[[list[str]], list[list[float]]] | None = None,
+    remembered: DataFrame | None = None,
+    k: int = 10,
 ) -> Analysis:
     """Submissions and the models' answers (each keyed by primary_id) to the stored tables.
 
@@ -72,6 +77,11 @@ def analyse(
     key is in ``stored`` or came earlier is refused before the first of them, so that no join
     multiplies rows. Every job ends with a state: a rejected or refused one as ``error``. An
     empty draft makes no job.
+
+    With a model ``embed`` the errors carry their vectors, ready to be appended to the memory, and
+    ``past`` has for each entry with any the texts of the ``remembered`` errors (records with
+    page_content and embedding) that are among the ``k`` nearest of one of its own, nearest first. A
+    text that the model fails on gets an empty vector, is stored and found by no search.
     """
     checked = intake.with_keys(intake.checked(submissions, languages))
     valid = intake.valid(checked)
@@ -96,6 +106,13 @@ def analyse(
         .join(archivist.select(F.col("primary_id").alias("primary_id_DiaryEntry"), "response"), "primary_id_DiaryEntry")
     )
     validity = error_ops.with_validity(found, languages)
+    learned, past = memory.to_memory(error_ops.without_noops(error_ops.valid(validity))), None
+    if embed is not None:
+        # the search and the append read the vectors: the model is asked once
+        learned = materialize(models.embed(learned, "page_content", embed, empty_on_error=True), "embedded")
+        asked = learned.withColumn("query_id", F.xxhash64("primary_id_DiaryEntry", "error_no"))
+        before = memory.identified(learned.limit(0) if remembered is None else remembered)
+        past = memory.past_errors(asked, before, "primary_id_DiaryEntry", k)
 
     tries = attempts.join(done.filter(ok).select("primary_id", "language_source"), "primary_id")
     chosen = rewriting.chosen_attempts(rewriting.classify_attempts(tries), "primary_id")
@@ -107,7 +124,7 @@ def analyse(
     return Analysis(
         entries=intake.entry_rows(rewritten, tutor_model, F.col("draft_replaced"), rewriting_text),
         expressions=translation.expression_rows(done),
-        errors=memory.to_memory(error_ops.without_noops(error_ops.valid(validity))),
+        errors=learned,
         errors_rejected=error_ops.rejected(validity),
         reviews=reviewed.select(
             "primary_id",
@@ -127,6 +144,7 @@ def analyse(
         .unionByName(_failed(refused, F.lit(KEY_TAKEN))),
         rejected=intake.rejected(checked),
         refused=refused,
+        past=past,
     )
 
 

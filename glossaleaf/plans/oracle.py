@@ -308,6 +308,35 @@ CTE = {
         SELECT g.doc_id, l.language, sum(coalesce(ln(c.n + 1), 0) - l.o) AS score
         FROM (SELECT doc_id, gram FROM grams) g CROSS JOIN lang_offsets l
         LEFT JOIN gram_counts c ON c.gram = g.gram AND c.language = l.language GROUP BY ALL""",
+    "chain_vectors": """
+        SELECT q."primary_id_DiaryEntry" AS primary_id, q.error_no, c.note_code AS language_annotation_text, c.code AS language_diary_text,
+            'model-0' AS model_id_embedding,
+            category || ' Error: ' || error_rule || '. Example: ''' || example_phrase || ''' -> ''' || correction || '''' AS asked
+        FROM errors q JOIN chain c ON c.primary_id = q."primary_id_DiaryEntry"
+        WHERE translate_status = 'ok' AND code IS NOT NULL AND category IN ('Grammar', 'Vocabulary', 'Spelling', 'None')
+            AND example_phrase <> correction""",
+    "chain_past": f"""
+        SELECT primary_id, list(page_content ORDER BY distance, page_content) AS past FROM (
+            SELECT primary_id, page_content, min(distance) AS distance FROM (
+                SELECT *, row_number() OVER (PARTITION BY primary_id, error_no ORDER BY distance, error_id) AS r FROM (
+                    SELECT q.primary_id, q.error_no, m.error_id, m.page_content, {' + '.join(
+                        f"power({vowels('asked', v)} - {vowels('page_content', v)}, 2)" for v in 'aeiou')} AS distance
+                    FROM chain_vectors q JOIN memory m USING (language_annotation_text, language_diary_text, model_id_embedding)))
+            WHERE r <= 10 GROUP BY ALL) GROUP BY primary_id""",
+    "blank_texts": """
+        SELECT doc_id, 'body' AS part, regexp_replace(draft_text, '\\[[^\\]]+\\]', '', 'g') AS t FROM chain WHERE code IS NULL
+        UNION ALL SELECT doc_id, 'notes', array_to_string(regexp_extract_all(draft_text, '\\[[^\\]]+\\]'), ' ') FROM chain WHERE code IS NULL""",
+    "blank_grams": """
+        SELECT doc_id, part, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
+        FROM (SELECT doc_id, part, string_split(t, '') AS c FROM blank_texts)""",
+    "blank_scores": """
+        SELECT g.doc_id, g.part, l.language, sum(coalesce(ln(c.n + 1), 0) - l.o) AS score
+        FROM blank_grams g CROSS JOIN lang_offsets l
+        LEFT JOIN gram_counts c ON c.gram = g.gram AND c.language = l.language GROUP BY ALL""",
+    "blank_found": """
+        SELECT doc_id, max(CASE WHEN part = 'body' THEN language END) AS body, max(CASE WHEN part = 'notes' THEN language END) AS notes
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY score DESC, language) AS r FROM blank_scores)
+        WHERE r = 1 GROUP BY doc_id""",
 }
 
 ENTRY_LOOKUP = diary_key(created_at(f"({LOOKUP_DOC}::BIGINT)"))
@@ -489,6 +518,10 @@ BODY = {
     "chain_expressions": """
         SELECT e.* EXCLUDE (original_start, original_end) REPLACE (coalesce(code, 'Unknown') AS language_source, coalesce(note_code, 'Unknown') AS language_annotation)
         FROM expressions e JOIN chain c ON c.primary_id = e."primary_id_DiaryEntry" """,
+    "chain_past_errors": f"""SELECT primary_id AS "primary_id_DiaryEntry", {json_list('past')} AS history FROM chain_past""",
+    "chain_detected": """
+        SELECT c.primary_id, coalesce(code, body, 'Unknown') AS language_source, coalesce(note_code, notes, 'Unknown') AS language_annotation
+        FROM chain c LEFT JOIN blank_found USING (doc_id)""",
     "chain_errors": """
         SELECT e."primary_id_DiaryEntry", 'embedder' AS model_id_embedding, code AS language_diary_text, note_code AS language_annotation_text,
             error_rule, example_phrase, correction, category,
@@ -560,6 +593,9 @@ BODY = {
 }
 BODY["stream_job_status"] = BODY["job_status_latest"]
 BODY |= {f"stream_chain_{name}": BODY[f"chain_{name}"] for name in ("entries", "status")}
+BODY["stream_chain_memory"] = 'SELECT "primary_id_DiaryEntry", page_content, ' + ", ".join(
+    f"CAST(length(page_content) - length(replace(page_content, '{v}', '')) AS FLOAT) AS v{i}" for i, v in enumerate("aeiou")
+) + f" FROM ({BODY['chain_errors']})"
 BODY["stream_key_sketch"] = BODY["stream_key_refusal"]
 BODY["append_history"] = BODY["version_history"]
 BODY["similar_errors_approx_recall"] = BODY["stored_index_recall"]

@@ -918,7 +918,7 @@ def history_from_stored_version(spark, sf):
 # ---- the whole chain ----
 
 
-def _chain(spark, sf, submissions=None, stored=None):
+def _chain(spark, sf, submissions=None, stored=None, embedder="embedder", **options):
     answers = [given.translator_responses(spark, sf), given.archivist_responses(spark, sf)]
     return analysis.analyse(
         given.submissions_with_repeats(spark, sf) if submissions is None else submissions,
@@ -927,22 +927,47 @@ def _chain(spark, sf, submissions=None, stored=None):
         given.review_answers(spark, sf).select("primary_id", "response"),
         Languages(spark),
         "tutor",
-        "embedder",
+        embedder,
         stored=stored,
+        **options,
     )
 
 
-def _stream_chain(spark, sf, name):
+def _stream_chain(spark, sf, name, remember=False):
     """The chain over submissions that arrive in two parts, with a restart between; those that come
     again are in the second. The tests hold all eight tables against the batch chain."""
     rows = given.submissions_with_repeats(spark, sf)
     late = F.col("job_id").endswith("-again") | (F.pmod(F.xxhash64("job_id"), F.lit(3)) == 0)
     parts = [rows.filter(~late), rows.filter(late)]
 
-    def analyse(submissions, stored):
-        return _chain(spark, sf, submissions, stored)
+    def analyse(submissions, stored, remembered=None):
+        return _chain(spark, sf, submissions, stored, embed=letter_counts if remember else None, remembered=remembered)
 
-    return jobs.chain_by_stream(spark, parts, analyse, name)
+    return jobs.chain_by_stream(spark, parts, analyse, name, remember)
+
+
+@query
+def stream_chain_memory(spark, sf):
+    """The error memory that the stream's batches leave behind."""
+    cells = [F.get("embedding", i).alias(f"v{i}") for i in range(5)]
+    return _stream_chain(spark, sf, "errors", remember=True).select("primary_id_DiaryEntry", "page_content", *cells)
+
+
+@query
+def chain_past_errors(spark, sf):
+    """The remembered errors that resemble an entry's own, as the reviewer is told them."""
+    known = memory.to_memory(given.error_memory(spark, sf).drop("embedding"))
+    known = materialize(models.embed(known, "page_content", letter_counts), "remembered")
+    done = _chain(spark, sf, embedder="model-0", embed=letter_counts, remembered=known)
+    return done.past.select("primary_id_DiaryEntry", prompts.json_list(F.col("past")).alias("history"))
+
+
+@query
+def chain_detected(spark, sf):
+    """The chain's languages where blank codes are detected."""
+    profile = langid.train(given.base(spark, sf), "text", "language_source")
+    entries = _chain(spark, sf, profile=profile).entries
+    return entries.select("primary_id", "language_source", "language_annotation")
 
 
 @query

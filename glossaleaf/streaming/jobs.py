@@ -85,13 +85,13 @@ def first_in_many_batches(spark: SparkSession, sf_dir: str, files: int = 4, sket
     return spark.read.parquet(out).drop("batch", "bucket")
 
 
-def chain_by_stream(spark: SparkSession, parts: list[DataFrame], analyse: Callable, name: str) -> DataFrame:
+def chain_by_stream(spark: SparkSession, parts: list[DataFrame], analyse: Callable, name: str, remember: bool = False) -> DataFrame:
     """The chain over submissions that arrive part by part; the stream starts anew after each. Gives
     the committed rows of one of its tables."""
     arrivals, out, state = (fresh_path(spark, x) for x in ("submitted", "chain", "chain-state"))
     for part in parts:
         part.write.mode("append").parquet(arrivals)
-        _run(chain.run(spark.readStream.schema(part.schema).parquet(arrivals), analyse, out, state))
+        _run(chain.run(spark.readStream.schema(part.schema).parquet(arrivals), analyse, out, state, remember))
     return chain.committed(spark, out, name)
 
 

@@ -97,6 +97,35 @@ def test_a_second_job_with_one_key_is_refused_before_any_join(spark):
     assert states == {"j0": "completed", "j1": "completed", "j2": "error", "j3": "error", "j0b": "error", "j1b": "error"}
 
 
+def test_past_errors_reach_the_entry_and_new_ones_are_embedded(spark):
+    # local, so that it travels to the workers by value
+    def vowels(texts):
+        if any("unreadable" in t for t in texts):
+            raise ValueError("no vector")
+        return [[float(t.count(v)) for v in "aeiou"] for t in texts]
+
+    columns = "primary_id_DiaryEntry string, model_id_embedding string, language_diary_text string, language_annotation_text string, page_content string"
+    same = ("old", "embedder", "fra", "eng")
+    stored = spark.createDataFrame(
+        [(*same, "Grammar Error: verb. Example: 'je allé' -> 'je suis allé'"), (*same, "far away"), (*same, "unreadable"),
+         ("old", "embedder", "deu", "eng", "another language"), ("old", "other model", "fra", "eng", "another model")],
+        columns,
+    )
+    from glossaleaf.operators import models
+
+    remembered = models.embed(stored, "page_content", vowels, empty_on_error=True)
+    done = analysis.analyse(
+        *chain_inputs(spark), Languages(spark), "tutor", "embedder", embed=vowels, remembered=remembered
+    )
+    assert [len(r.embedding) for r in done.errors.collect()] == [5]
+    past = {r.primary_id_DiaryEntry: r.past for r in done.past.collect()}
+    assert past == {key(0): ["Grammar Error: verb. Example: 'je allé' -> 'je suis allé'", "far away"]}
+    # without a memory nothing is found; without a model nothing is searched
+    empty = analysis.analyse(*chain_inputs(spark), Languages(spark), "tutor", "embedder", embed=vowels)
+    assert empty.past.count() == 0 and empty.errors.count() == 1
+    assert run(spark).past is None
+
+
 def test_all_iso_codes(spark, tmp_path):
     import json
 
