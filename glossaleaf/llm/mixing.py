@@ -4,7 +4,7 @@ Targets: sources in code-point order (null last) get the weights in turn and sha
 times all words; a target stops at ``most`` times its source's words, and what is over is shared
 again by weight.
 
-Each source is dealt by a seeded hash into shards of bounded size. The documents of a shard
+Each source is dealt by a seeded hash of id and text into shards of bounded size. The documents of a shard
 lie end to end in seeded order and are cut into blocks of ``block`` words. The mix holds a whole
 number of blocks: they are given to sources, and then to the shards of a source, by the
 highest quotients weight / (2 k - 1). Of a shard's blocks a seeded permutation takes as many
@@ -102,18 +102,20 @@ def apportion(parties: DataFrame, group: list[str], name: str, weight: str, seat
 
 
 def _placed(rows: DataFrame, sizes: DataFrame, weights: tuple, share: float, most: int, block: int, shard_words: int, seed: int) -> DataFrame:
-    """Rows (doc_id, source, size, ...) with their source's figures, their first word's place in
+    """Rows (doc_id, source, size, digest, ...) with their source's figures, their first word's place in
     their shard (``first_word``) and how often each block they touch is taken (``takes``).
-    ``sizes`` has the first three columns of the same rows."""
+    ``sizes`` has the first four columns of the same rows."""
     target = targets(sizes.select("source", "size"), weights, share, most)
     # empty texts count as a word here, so that they cannot crowd one shard
     shards = F.ceil((F.col("source_size") + F.col("n_rows")) / F.lit(shard_words))
     sources = target.withColumn("n_shards", F.greatest(shards, F.lit(1)))
     named = sources.withColumnRenamed("source", "its_source")
     placed = rows.join(named, rows["source"].eqNullSafe(named["its_source"])).drop("its_source")
-    placed = placed.withColumn("shard", F.pmod(_hash(["doc_id"], seed), F.col("n_shards")))
+    # by id and text: many rows may share an id, or have none
+    row = ["doc_id", "digest"]
+    placed = placed.withColumn("shard", F.pmod(_hash(row, seed), F.col("n_shards")))
     in_shard = Window.partitionBy("place", "shard")
-    before = in_shard.orderBy(_hash(["doc_id"], seed, 16), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = in_shard.orderBy(_hash(row, seed, 16), "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("first_word", F.coalesce(F.sum("size").over(before), F.lit(0)))
 
     total = Window.partitionBy(F.lit(1))
@@ -123,7 +125,7 @@ def _placed(rows: DataFrame, sizes: DataFrame, weights: tuple, share: float, mos
     by_source = apportion(shared, ["mix"], "place", "target", "seats")
     # the shards' words, by the same rule that deals out the rows
     dealt = sizes.join(named, sizes["source"].eqNullSafe(named["its_source"])).select(
-        "place", "size", F.pmod(_hash(["doc_id"], seed), F.col("n_shards")).alias("shard")
+        "place", "size", F.pmod(_hash(row, seed), F.col("n_shards")).alias("shard")
     )
     sums = dealt.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"))
     parties = sums.join(by_source.select("place", F.col("quota").alias("seats")), "place")
@@ -155,8 +157,10 @@ def _size(text: Column) -> Column:
 
 
 def _sizes(docs: DataFrame, text: str, source: str) -> DataFrame:
-    """(doc_id, source, size) of every row, counted once and written: it has three readers."""
-    rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), _size(whole(text)).alias("size"))
+    """(doc_id, source, size, digest) of every row, counted once and written: it has three readers."""
+    rows = docs.select(
+        "doc_id", F.col(source).cast("string").alias("source"), _size(whole(text)).alias("size"), F.md5(whole(text)).alias("digest")
+    )
     return materialize(rows, "sizes")
 
 
@@ -168,7 +172,7 @@ def mark(
 
     ``taken`` counts the words that the mix takes of it, repeats included. A null text has no
     words; a null source is a source of its own, the last in order. Rows alike in
-    doc_id, source and size are interchangeable. Other columns of ``docs`` are left out. An empty
+    doc_id, source and text are interchangeable and share a shard. Other columns of ``docs`` are left out. An empty
     table gives no rows; a very long text is several blocks, of which some may be taken.
     """
     sizes = _sizes(docs, text, source)
@@ -192,7 +196,8 @@ def mixed_rows(
     that blocks of it are taken, its text cut to the words of those blocks (whole if all are).
     """
     rows = docs.select(
-        packed(docs).alias("row"), "doc_id", F.col(source).cast("string").alias("source"), _size(whole(text)).alias("size")
+        packed(docs).alias("row"), "doc_id", F.col(source).cast("string").alias("source"), _size(whole(text)).alias("size"),
+        F.md5(whole(text)).alias("digest"),
     )
     placed = _placed(rows, _sizes(docs, text, source), weights, share, most, block, shard_words, seed)
     copies = placed.select(

@@ -90,7 +90,8 @@ QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_substring_dedup, op
 MIXING_SQL = f"""
     WITH RECURSIVE docs AS (
         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-               md5('0:' || coalesce(doc_id::VARCHAR, '')) AS digest
+               md5(coalesce(text, '')) AS text_digest,
+               md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS digest
         FROM documents
     ),
     sources AS (
@@ -151,7 +152,7 @@ MIXING_SQL = f"""
         FROM picks, unnest(range(0, n_blocks)) AS u(b)
     ),
     spans AS (
-        SELECT *, coalesce(sum(size) OVER (PARTITION BY place, shard ORDER BY in_shard, doc_id, size
+        SELECT *, coalesce(sum(size) OVER (PARTITION BY place, shard ORDER BY in_shard, doc_id, text_digest
                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_word
         FROM placed
     ),

@@ -87,6 +87,19 @@ def is_part(few, many):
     return all(w in rest for w in few)
 
 
+def test_rows_without_an_id_spread_over_the_shards(spark):
+    docs = spark.range(20_000).selectExpr(
+        "cast(null as long) as doc_id", "concat(repeat('word ', 20), id) as text", "'en' as lang", "'one' as source", "0L as n_chars"
+    )
+    sizes = mixing._sizes(docs, "text", "source")
+    placed = mixing._placed(sizes, sizes, mixing.WEIGHTS, mixing.SHARE, mixing.MOST, mixing.BLOCK, 1 << 15, 0)
+    words = [r["sum(size)"] for r in placed.groupBy("shard").sum("size").collect()]
+    assert sum(words) == 420_000 and len(words) == 14
+    assert max(words) < 1.2 * (1 << 15)
+    taken = mixing.mark(docs, shard_words=1 << 15).agg({"taken": "sum"}).first()[0]
+    assert abs(taken - 630_000) <= 64 * 14
+
+
 def test_empty_and_native(empty, messy):
     assert mixing.mark(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
     assert python_nodes(mixing.mark(messy)) == [] and python_nodes(mixing.mixed_rows(messy)) == []
