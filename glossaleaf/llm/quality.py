@@ -28,8 +28,6 @@ BUCKETS = 1 << 14
 SMOOTHING = 1.0
 # in nats for each n-gram; clean prose lies about 0, text of another make far below
 THRESHOLD = -0.5
-# trusted documents are labelled rows, at most so many, so that their ids can be broadcast
-MOST_TRUSTED = 20_000
 
 
 def _grams(words: Column, buckets: int) -> Column:
@@ -82,13 +80,18 @@ def weights(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", buckets
     All rows of ``docs`` count. Equal texts, those with one SHA-256 and one row of n-grams,
     combine before the first shuffle, so a task sends each of its texts once, as n-grams, however
     many copies it has; then a task sends one row per bucket at most. A text is trusted if one
-    of its rows is. ``trusted_ids`` must be bounded, see :func:`trusted`.
+    of its rows is. ``trusted_ids`` are distinct and may be any number: Spark broadcasts them
+    while they are small and else shuffles them and the rows, of which only n-grams are left by then.
     """
     mark = trusted_ids.select(F.col("doc_id").alias("trusted_id"))
-    rows = docs.select("doc_id", F.unhex(F.sha2(whole(text), 256)).alias("digest"), words_of(whole(text)).alias("words"))
-    flagged = rows.join(F.broadcast(mark), F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = _grams(F.col("words"), buckets).cast("array<short>" if buckets <= 1 << 15 else "array<int>")
-    texts = flagged.select("digest", grams.alias("grams"), F.col("trusted_id").isNotNull().cast("long").alias("is_trusted"))
+    grams = let(words_of(whole(text)), lambda words: _grams(words, buckets))
+    rows = docs.select(
+        "doc_id",
+        F.unhex(F.sha2(whole(text), 256)).alias("digest"),
+        grams.cast("array<short>" if buckets <= 1 << 15 else "array<int>").alias("grams"),
+    )
+    flagged = rows.join(mark, F.col("doc_id") == F.col("trusted_id"), "left")
+    texts = flagged.select("digest", "grams", F.col("trusted_id").isNotNull().cast("long").alias("is_trusted"))
     texts = texts.groupBy("digest", "grams").agg(F.count("*").alias("n"), F.sum("is_trusted").alias("n_trusted"))
     each = explode_rows(texts, ["n", "n_trusted"], "grams", "place", "bucket")
     counts = each.groupBy("bucket").agg(
@@ -111,10 +114,10 @@ def weights(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", buckets
     return model.select(ratio("t", "c").alias("weights"), ratio("t_once", "c_once").alias("once"))
 
 
-def trusted(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """Ids of documents labelled of good quality, at most ``most`` in the order of a hash."""
+def trusted(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """Ids of documents labelled of good quality, all or at most ``most`` in the order of a hash."""
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good if most is None else good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def _judged(
@@ -149,7 +152,7 @@ def _judged(
 
 def judge(
     docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD,
-    buckets: int = BUCKETS, most_trusted: int = MOST_TRUSTED,
+    buckets: int = BUCKETS, most_trusted: int | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, score, base_failed, kept, score_once. ``score`` counts all rows, ``kept``
@@ -171,7 +174,7 @@ def judge(
 
 def kept_rows(
     docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD,
-    buckets: int = BUCKETS, most_trusted: int = MOST_TRUSTED,
+    buckets: int = BUCKETS, most_trusted: int | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; see :func:`judge`."""
     model = weights(docs, trusted(labels, most_trusted), text, buckets)

@@ -89,6 +89,22 @@ def test_kept_rows(messy, labels):
     assert kept.count() == quality.judge(messy, labels, threshold=-5.0).filter("kept").count() > 0
 
 
+def test_many_trusted_ids_with_and_without_broadcast(spark):
+    docs = spark.range(30_500).selectExpr("if(id < 500, null, id) as doc_id", "concat('word', id % 97, ' other', id % 31, ' third') as text")
+    labels = spark.range(500, 30_500).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    ids = quality.trusted(labels)
+    assert ids.count() == 30_000
+    small = quality.weights(docs, ids).first()
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert quality.weights(docs, ids).first() == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    some = quality.weights(docs, quality.trusted(labels, 20_000)).first()
+    assert some != small
+
+
 def test_bound_of_trusted_rows(labels):
     assert quality.trusted(labels, 7).count() == 7
     assert quality.trusted(labels, 100).count() == 20
