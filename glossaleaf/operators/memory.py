@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,10 @@ SEARCH_KEYS = ["language_annotation_text", "language_diary_text", "model_id_embe
 RULE_KEYS = ["language_annotation_text", "language_diary_text", "error_rule", "category"]
 
 MAX_BROADCAST_GROUPS = 100_000
-QUERY_BLOCK = 1_024
+QUERY_BLOCK = 4_096
 MEMORY_BLOCK = 8_192
+# numbers of a distance matrix, or of gathered vectors, that a task holds at once
+TILE = 1 << 20
 FOUND = "query_id long, error_id long, distance double"
 
 
@@ -144,7 +146,7 @@ def arrays(part: pd.DataFrame, row_id: str) -> tuple[np.ndarray, np.ndarray]:
     return part[row_id].to_numpy(), np.stack(part["embedding"].to_numpy()).astype("float64")
 
 
-def _keep(found: pd.DataFrame, k: int) -> pd.DataFrame:
+def keep(found: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = found.sort_values(["query_id", "distance", "error_id"], kind="stable")
     return ordered[ordered.groupby("query_id").cumcount() < k]
 
@@ -156,21 +158,26 @@ def nearest(
     errors: np.ndarray,
     k: int,
     exclude_same_id: bool = False,
-    pairs_at_once: int = 200_000,
+    among: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> pd.DataFrame:
     """The k nearest stored vectors of each query.
 
     A matrix product finds the candidates, with room for its rounding; their distances
-    are then computed directly, so that equal vectors tie exactly.
+    are then computed directly, so that equal vectors tie exactly. Both are done for a few queries
+    at a time, so that no array holds many more than ``TILE`` numbers, however long the vectors are.
+    ``among`` gets some of the queries and marks (queries x errors) what they may find.
     """
     found = []
     error_norms = (errors**2).sum(axis=1)
-    for at in range(0, len(queries), QUERY_BLOCK):
-        ids, block = query_ids[at: at + QUERY_BLOCK], queries[at: at + QUERY_BLOCK]
+    at_once, pairs_at_once = max(TILE // max(len(errors), 1), 1), max(TILE // max(errors.shape[1], 1), 1)
+    for at in range(0, len(queries), at_once):
+        ids, block = query_ids[at: at + at_once], queries[at: at + at_once]
         norms = (block**2).sum(axis=1)
         rough = norms[:, None] + error_norms[None, :] - 2.0 * (block @ errors.T)
         if exclude_same_id:
             rough[ids[:, None] == error_ids[None, :]] = np.inf
+        if among is not None:
+            rough[~among(block)] = np.inf
         room = 1e-9 * (1.0 + norms[:, None] + error_norms.max())
         last = min(k, rough.shape[1]) - 1
         limit = np.partition(rough, last, axis=1)[:, last: last + 1]
@@ -179,11 +186,11 @@ def nearest(
             r, c = rows[start: start + pairs_at_once], columns[start: start + pairs_at_once]
             exact = ((block[r] - errors[c]) ** 2).sum(axis=1)
             found.append(
-                _keep(pd.DataFrame({"query_id": ids[r], "error_id": error_ids[c], "distance": exact}), k)
+                keep(pd.DataFrame({"query_id": ids[r], "error_id": error_ids[c], "distance": exact}), k)
             )
     if not found:
         return pd.DataFrame({"query_id": [], "error_id": [], "distance": []})
-    return _keep(pd.concat(found), k)
+    return keep(pd.concat(found), k)
 
 
 def past_errors(errors: DataFrame, memory: DataFrame, entry: str, k: int = 10) -> DataFrame:

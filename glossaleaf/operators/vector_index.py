@@ -5,8 +5,8 @@ bounded sample. ``lists`` holds every stored vector under the list of its neares
 a short code of what is left after the centre: one byte per part of the vector. Its folders are the
 lists, so appending writes new files and a search reads the asked lists only.
 
-A search ranks the codes of the asked lists, then reads the vectors of the best of them and ranks
-those by their true distances.
+A search ranks the codes of each asked list, then the best of them by the true distances of their vectors,
+in the same task: only a query's k nearest of a list leave it.
 """
 
 from __future__ import annotations
@@ -26,10 +26,9 @@ from glossaleaf.session import materialize
 SAMPLE = 20_000
 ROUNDS = 12
 CODEWORDS = 256
-# queries of a task, and codes of one list that meet them there
-QUERY_BLOCK = 512
-CODE_BLOCK = 65_536
-NEAR = "query_id long, error_id long, list int, rough double"
+# queries of a task, and vectors of one list that meet them there
+QUERY_BLOCK = 4_096
+CODE_BLOCK = 8_192
 
 
 @dataclass
@@ -166,11 +165,12 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, error_id, distance): like ``memory.similar_errors``, from the stored index.
 
-    Each query asks its ``probes`` nearest lists. By the codes, its ``again`` * k best there are chosen,
-    and of those the vectors are read and ranked by squared Euclidean distance, ties by error_id. A
+    Each query asks its ``probes`` nearest lists. By the codes, its ``again`` * k best of each list are
+    chosen, and those are ranked by squared Euclidean distance, ties by error_id. A
     near error in a list that was not asked, or with a misleading code, is missed. Raise ``probes`` up
     to the number of lists and ``again`` for more recall. Queries and lists are cut into blocks, so
-    a large list is several tasks.
+    a large list is several tasks, and of each block a query's k nearest are returned, whatever
+    ``again`` is.
     """
     group = group or memory.SEARCH_KEYS
     spark = queries.sparkSession
@@ -182,11 +182,13 @@ def search(
         for batch in batches:
             yield pd.Series(list(model.lists_of(_stacked(batch), probes).astype("int32")) if len(batch) else [], dtype=object)
 
-    asked = queries.filter(F.size("embedding") > 0).select("query_id", "embedding", *group)
-    asked = materialize(asked.withColumn("list", F.explode(nearest_lists("embedding"))), "index-queries")
+    asking = queries.filter(F.size("embedding") > 0).select("query_id", "embedding", *group)
+    # one row per query; it is repeated for its lists on the way to them
+    asking = materialize(asking.withColumn("lists", nearest_lists("embedding")), "index-queries")
+    asked = asking.select("query_id", "embedding", *group, F.explode("lists").alias("list"))
     # at most one number per list
     lists = sorted(r.list for r in asked.select("list").distinct().collect())
-    codes = stored(spark, path, lists).select("error_id", "code", "list", *group)
+    codes = stored(spark, path, lists).select("error_id", "code", "embedding", "list", *group)
 
     pair = [*group, "list"]
     sizes = codes.groupBy(*pair).agg(F.ceil(F.count("*") / CODE_BLOCK).cast("int").alias("n_c")).join(
@@ -200,36 +202,29 @@ def search(
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "error_id": [], "list": [], "rough": []})
+            return pd.DataFrame({"query_id": [], "error_id": [], "distance": []})
         which = int(right["list"].iloc[0])
         found = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
-        ids, errors = left["query_id"].to_numpy(), right["error_id"].to_numpy()
-        kept = []
-        for at in range(0, len(left), 64):
-            rough = model.rough_distances(_stacked(left["embedding"].iloc[at : at + 64]), which, found)
-            if exclude_same_id:
-                rough[ids[at : at + 64, None] == errors[None]] = np.inf
-            best = np.argsort(rough, axis=1, kind="stable")[:, :most]
-            near = np.take_along_axis(rough, best, axis=1)
-            rows, columns = np.nonzero(np.isfinite(near))
-            kept.append(
-                pd.DataFrame({"query_id": ids[at + rows], "error_id": errors[best[rows, columns]], "list": which, "rough": near[rows, columns]})
-            )
-        return pd.concat(kept)
+
+        def by_codes(some: np.ndarray) -> np.ndarray:
+            rough = model.rough_distances(some, which, found)
+            chosen = np.zeros(rough.shape, bool)
+            # a query's own record may be one of the best, and is left out later
+            n = most + exclude_same_id
+            np.put_along_axis(chosen, np.argpartition(rough, n - 1, axis=1)[:, :n], True, axis=1)
+            return chosen
+
+        among = by_codes if most + exclude_same_id < len(right) else None
+        near = memory.nearest(
+            *memory.arrays(left, "query_id"), *memory.arrays(right, "error_id"), k, exclude_same_id, among
+        )
+        # an id that repeats in a list brings each hit once more for each of its rows
+        copies = near["query_id"].map(left["query_id"].value_counts()) * near["error_id"].map(right["error_id"].value_counts())
+        return near if near.empty or copies.max() == 1 else memory.keep(near.iloc[np.arange(len(near)).repeat(copies)], k)
 
     left = blocked(asked, "query_id", "q_block", "n_q", "c_block", "n_c")
     right = blocked(codes.toDF(*codes.columns), "error_id", "c_block", "n_c", "q_block", "n_q")
-    rough = left.cogroup(right).applyInPandas(scan, NEAR)
-    chosen = memory.best_rows(rough, most, "rough").drop("rank")
-
-    vectors = stored(spark, path, lists).select(*[F.col(c).alias(f"_{c}") for c in ("error_id", "list", "embedding")])
-    own = asked.select(F.col("query_id").alias("_query"), F.col("embedding").alias("_asked"), F.col("list").alias("_from"))
-    ranked = (
-        chosen.join(vectors, (F.col("error_id") == F.col("_error_id")) & (F.col("list") == F.col("_list")))
-        .join(own, (F.col("query_id") == F.col("_query")) & (F.col("list") == F.col("_from")))
-        .select("query_id", "error_id", memory.squared_distance(F.col("_asked"), F.col("_embedding")).alias("distance"))
-    )
-    return memory.best_rows(ranked, k, "distance")
+    return memory.best_rows(left.cogroup(right).applyInPandas(scan, memory.FOUND), k, "distance")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

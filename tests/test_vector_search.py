@@ -1,6 +1,7 @@
 """The stored index and the search with pivots, against the plain exact search."""
 
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -119,3 +120,23 @@ def test_index_refuses_what_it_cannot_hold(spark, clustered):
         vector_index.fit(clustered, 3, parts=5)
     with pytest.raises(ValueError, match="no vector"):
         vector_index.fit(clustered.limit(0), 3)
+
+
+def test_only_the_nearest_leave_a_list(index, clustered):
+    found = vector_index.search(index, as_queries(clustered), 5, probes=99, again=400, group=GROUP)
+    after_scan = found._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInPandas")[0]
+    assert "Join" not in after_scan and "rank" in after_scan
+
+
+def test_distances_are_held_a_few_at_a_time():
+    """Blocks of the largest size, and long vectors, in arrays of bounded size."""
+    rng = np.random.default_rng(3)
+    for n, dims in ((memory.MEMORY_BLOCK, 64), (600, 1024)):
+        stored, asked = rng.normal(size=(n, dims)), rng.normal(size=(memory.QUERY_BLOCK, dims))
+        tracemalloc.start()
+        found = memory.nearest(np.arange(len(asked)), asked, np.arange(n), stored, 10)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == 10 * len(asked) and most < 60e6
+        away = ((stored - asked[77]) ** 2).sum(axis=1)
+        assert found[found.query_id == 77].error_id.tolist() == np.argsort(away)[:10].tolist()
