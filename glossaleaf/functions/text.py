@@ -7,9 +7,11 @@ from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from glossaleaf.schemas import SPAN
 
@@ -98,23 +100,36 @@ SUBSTITUTED = T.StructType(
 )
 
 
-@F.pandas_udf(SUBSTITUTED)
-def substituted(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-    """(body, flat body, phrases, old, new) to the spans of the phrases in the flat body, the body with each
-    old replaced by its new, and the spans of the new there. What follows a miss is null."""
+# drafts that are Python objects at a time; the rest of a batch stays in Arrow
+AT_ONCE = 64
 
-    def one(body, flat, phrases, old, new):
-        if body is None or phrases is None:
-            return None, None, None
-        before = _only_spans(flat, phrases)
+
+@F.arrow_udf(SUBSTITUTED)
+def substituted(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """(body, old, new) to the spans of each old without its brackets in the body, white space being
+    alike, the body with each old replaced by its new, and the spans of the new there. What follows a miss is null."""
+    other_space = re.compile(f"[{PY_SPACE.replace(' ', '')}]")
+    brackets_off = str.maketrans("", "", "[]")
+
+    def flat(value):
+        return other_space.sub(" ", value)
+
+    def one(body, old, new):
+        if body is None or old is None:
+            return dict.fromkeys(SUBSTITUTED.names)
+        before = _only_spans(flat(body), [o and flat(o.translate(brackets_off)) for o in old])
         if None in before:
-            return before, None, None
+            return {"before": before}
         replaced = replace_all(body, old, new)
-        return before, replaced, _only_spans(replaced, new)
+        return {"before": before, "replaced": replaced, "after": _only_spans(replaced, new)}
 
+    kind = to_arrow_type(SUBSTITUTED)
     for columns in batches:
-        rows = [one(*row) for row in zip(*columns)]
-        yield pd.DataFrame(rows, columns=SUBSTITUTED.fieldNames(), dtype=object)
+        made = []
+        for at in range(0, len(columns[0]), AT_ONCE):
+            some = [c.slice(at, AT_ONCE).to_pylist() for c in columns]
+            made.append(pa.array([one(*row) for row in zip(*some)], kind))
+        yield pa.concat_arrays(made) if made else pa.array([], kind)
 
 
 def replace_all(body: str, old: Iterable[str], new: Iterable[str]) -> str:

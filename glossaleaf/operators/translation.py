@@ -87,9 +87,8 @@ def _status(places_ok: Column, spans_ok: Column) -> Column:
 
 def _strict_spans(df: DataFrame, draft: str) -> DataFrame:
     """One Python step for each batch of drafts; a draft that failed is not substituted at all."""
-    phrases = F.transform("pairs", lambda p: text.flat_space(_phrase(p)))
     old, new = (F.transform("pairs", lambda p: p[name]) for name in ("expression_original", "expression_translation"))
-    made = text.substituted(F.col(draft), text.flat_space(F.col(draft)), phrases, old, new)
+    made = text.substituted(F.col(draft), old, new)
     return (
         df.withColumn("_made", made)
         .withColumns({"_before": F.col("_made.before"), "_replaced": F.col("_made.replaced"), "_after": F.col("_made.after")})
