@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossaleaf.functions.rows import explode_rows
-from glossaleaf.session import materialize
 
 
 def _longest_rise(values: list[int]) -> list[int]:
@@ -91,12 +90,14 @@ def line_edits(pairs: DataFrame, keys: list[str], old: str = "old_text", new: st
 
     ``keys`` name a pair and must be unique. Lines end at ``\\n``, an empty text is one empty line,
     a null text has no lines. Equal texts give no row. One pair's lines may meet in one task, as its
-    texts already lie in one row; an entry with many pairs is spread.
+    texts already lie in one row; an entry with many pairs is spread. ``pairs`` is read twice.
     """
-    # read for the anchors and for the gaps
-    lines = materialize(_lines(pairs, keys, old, new), "lines")
+    lines = _lines(pairs, keys, old, new)
     anchors = _anchors(lines, keys).withColumn("_held", F.lit(True))
-    placed = lines.join(anchors, [*keys, "_new", "_at"], "left")
+    # lines and anchors by pair in one shuffle: every window below lies within a pair
+    both = lines.withColumn("_held", F.lit(None).cast("boolean")).unionByName(anchors, True).repartition(*keys)
+    held = F.max("_held").over(Window.partitionBy(*keys, "_new", "_at"))
+    placed = both.withColumn("_held", held).filter("_line is not null")
     before = Window.partitionBy(*keys, "_new").orderBy("_at")
     gaps = placed.withColumn("_gap", F.count("_held").over(before)).filter("_held is null").drop("_held")
     rest = _unmatched(_unmatched(gaps, keys, F.col("_at").asc()), keys, F.col("_at").desc())
@@ -123,13 +124,17 @@ def replay(pairs: DataFrame, edits: DataFrame, keys: list[str], old: str = "old_
     kept and inserted lines merge by one sort.
     """
     lines = explode_rows(pairs.select(*keys, F.split(old, "\n").alias("_lines")), keys, "_lines", "at", "_line")
-    gone = edits.filter("op = 'delete'").select(*keys, "at")
-    in_order = Window.partitionBy(*keys).orderBy("at")
-    nth = F.row_number().over(in_order) - 1
-    kept = lines.join(gone, [*keys, "at"], "left_anti").select(*keys, nth.alias("_rank"), F.lit(1).alias("_kind"), "at", "_line")
-    added = edits.filter("op = 'insert'").select(
-        *keys, (F.col("at") - nth).alias("_rank"), F.lit(0).alias("_kind"), "at", F.col("line").alias("_line")
+    gone, is_insert = F.col("op") == "delete", F.col("op") == "insert"
+    lines = lines.select(*keys, "at", "_line", F.lit(1).alias("_kind"), F.lit(False).alias("_gone"))
+    steps = edits.filter(gone | is_insert).select(
+        *keys, "at", F.when(is_insert, F.col("line")).alias("_line"), F.when(gone, 1).otherwise(0).alias("_kind"), gone.alias("_gone")
     )
+    # lines and edits by pair in one shuffle
+    both = lines.unionByName(steps).repartition(*keys)
+    all_gone = F.max("_gone").over(Window.partitionBy(*keys, "_kind", "at"))
+    left = both.withColumn("_gone", all_gone).filter(~F.col("_gone"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_kind").orderBy("at")) - 1
+    ranked = left.withColumn("_rank", F.when(F.col("_kind") == 1, nth).otherwise(F.col("at") - nth))
     merged = F.sort_array(F.collect_list(F.struct("_rank", "_kind", "at", "_line")))
-    made = kept.unionByName(added).groupBy(*keys).agg(F.array_join(merged["_line"], "\n").alias(text))
+    made = ranked.groupBy(*keys).agg(F.array_join(merged["_line"], "\n").alias(text))
     return pairs.select(*keys).join(made, keys, "left")

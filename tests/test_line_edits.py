@@ -93,3 +93,10 @@ def test_empty_table_and_a_very_long_text(spark):
     df = spark.createDataFrame([("e", 1, "\n".join(lines), "\n".join(changed))], SCHEMA)
     got = sorted((e.op, e.at, e.line) for e in line_edits.line_edits(df, KEYS).collect())
     assert got == [("delete", 10_000, "line 10000"), ("insert", 10_000, "new")]
+
+
+def test_lines_meet_no_join(spark):
+    """Lines, anchors and edits come together in one shuffle by pair."""
+    pairs = spark.createDataFrame([(1, "a\nb\nc", "a\nc\nd"), (2, "x", "x\ny")], "pair int, old_text string, new_text string")
+    plan = line_edits.line_edits(pairs, ["pair"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
