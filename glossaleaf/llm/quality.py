@@ -33,7 +33,7 @@ THRESHOLD = -0.5
 def _grams(words: Column, buckets: int) -> Column:
     def gram(word: Column, i: Column) -> Column:
         following = F.get(words, i + 1)
-        return F.pmod(F.xxhash64(F.concat(F.right(word, F.lit(3)), F.lit(" "), F.left(following, F.lit(1)))), F.lit(buckets))
+        return F.pmod(F.xxhash64(F.concat(F.substring(word, -3, 3), F.lit(" "), F.substring(following, 1, 1))), F.lit(buckets))
 
     return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), gram)
 
@@ -77,22 +77,22 @@ def weights(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", buckets
     """One row with the log ratio of every bucket, all 0 without trusted text: ``weights``
     counts every row, ``once`` counts equal texts once.
 
-    All rows of ``docs`` count. Equal texts, those with one SHA-256 and one row of n-grams,
-    combine before the first shuffle, so a task sends each of its texts once, as n-grams, however
+    All rows of ``docs`` count. Equal texts, those with one SHA-256, combine before the only
+    shuffle of n-grams, so a task sends each of its texts once, as n-grams, however
     many copies it has; then a task sends one row per bucket at most. A text is trusted if one
     of its rows is. ``trusted_ids`` are distinct and may be any number: Spark broadcasts them
-    while they are small and else shuffles them and the rows, of which only n-grams are left by then.
+    while they are small and else shuffles them and the ids and digests of the rows, without their n-grams.
     """
     mark = trusted_ids.select(F.col("doc_id").alias("trusted_id"))
     grams = let(words_of(whole(text)), lambda words: _grams(words, buckets))
-    rows = docs.select(
-        "doc_id",
-        F.unhex(F.sha2(whole(text), 256)).alias("digest"),
-        grams.cast("array<short>" if buckets <= 1 << 15 else "array<int>").alias("grams"),
+    grams = grams.cast("array<short>" if buckets <= 1 << 15 else "array<int>")
+    digest = F.unhex(F.sha2(whole(text), 256)).alias("digest")
+    marked = docs.select("doc_id", digest).join(mark, F.col("doc_id") == F.col("trusted_id"))
+    rows = docs.select(digest, grams.alias("grams"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("n_trusted"))
+    marks = marked.groupBy("digest").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("n_trusted"))
+    texts = rows.unionByName(marks, allowMissingColumns=True).groupBy("digest").agg(
+        F.any_value("grams", True).alias("grams"), F.sum("n").alias("n"), F.sum("n_trusted").alias("n_trusted")
     )
-    flagged = rows.join(mark, F.col("doc_id") == F.col("trusted_id"), "left")
-    texts = flagged.select("digest", "grams", F.col("trusted_id").isNotNull().cast("long").alias("is_trusted"))
-    texts = texts.groupBy("digest", "grams").agg(F.count("*").alias("n"), F.sum("is_trusted").alias("n_trusted"))
     each = explode_rows(texts, ["n", "n_trusted"], "grams", "place", "bucket")
     counts = each.groupBy("bucket").agg(
         F.sum("n").alias("c"),
