@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaleaf.functions import keys
+from glossaleaf.session import materialize
 
 SEARCH_KEYS = ["language_annotation_text", "language_diary_text", "model_id_embedding"]
 RULE_KEYS = ["language_annotation_text", "language_diary_text", "error_rule", "category"]
@@ -193,6 +194,30 @@ def nearest(
     return keep(pd.concat(found), k)
 
 
+def similar_by_vector(queries: DataFrame, memory: DataFrame, k: int = 10, group: list[str] | None = None) -> DataFrame:
+    """(query_id, error_id, distance): the rows of ``similar_errors`` without their rank, where many
+    vectors are equal.
+
+    Equal vectors of a group have the same nearest errors, so each different one is searched for once; of
+    the stored rows with one vector only the k of least error_id can be among the nearest. The cost
+    is the product of the different vectors of the two sides, at most k of each stored one. Rows that
+    come twice, of either side, count twice among a query's k.
+    """
+    group = group or SEARCH_KEYS
+    same = [*group, "embedding"]
+    asked = _with_vector(queries).select("query_id", *same)
+    # numbered once: the numbers must not change if a task runs again
+    different = materialize(asked.select(*same).distinct().withColumn("query_id", F.monotonically_increasing_id()), "vectors")
+    least = Window.partitionBy(*same).orderBy("error_id")
+    stored = _with_vector(memory).select("error_id", *same).withColumn("_nth", F.row_number().over(least))
+    stored = stored.filter(F.col("_nth") <= k).select("error_id", *same)
+    near = best_rows(_block_pairs(different, stored, k, group, False), k, "distance")
+    near = near.groupBy("query_id").agg(F.collect_list(F.struct("error_id", "distance")).alias("_near"))
+    answers = different.join(near, "query_id").drop("query_id")
+    found = best_rows(asked.join(answers, same).select("query_id", F.inline("_near")), k, "distance")
+    return found.groupBy("query_id", "error_id").agg(F.min("distance").alias("distance"))
+
+
 def past_errors(errors: DataFrame, memory: DataFrame, entry: str, k: int = 10) -> DataFrame:
     """(entry, past): the texts of the stored errors that are among the ``k`` nearest of any of
     the entry's errors, each once, nearest first. Entries without any are left out.
@@ -200,7 +225,7 @@ def past_errors(errors: DataFrame, memory: DataFrame, entry: str, k: int = 10) -
     ``errors`` has query_id, embedding, the entry and the group columns; ``memory`` also has
     page_content. An entry's list holds k texts for each of its errors at most.
     """
-    found = with_texts(similar_errors(errors, memory, k), memory)
+    found = with_texts(similar_by_vector(errors, memory, k), memory)
     owned = found.join(errors.select("query_id", entry), "query_id")
     texts = owned.groupBy(entry, "page_content").agg(F.min("distance").alias("distance"))
     ordered = F.sort_array(F.collect_list(F.struct("distance", "page_content")))

@@ -184,3 +184,19 @@ def test_short_and_long_texts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(langid, "WEIGHTS_AT_ONCE", 500)
     sliced = langid.train(texts, "text", "language_source")
     assert {r[0]: r[1] for r in langid.detect(some, "doc_id", "text", sliced).collect()} == found
+
+
+def test_equal_vectors_are_searched_once(spark, stored):
+    """The exact hits also where vectors, texts and whole rows come many times."""
+    few = F.transform("embedding", lambda x: F.round(x).cast("float"))
+    again = stored.withColumn("embedding", F.slice(few, 1, 2)).select("error_id", "embedding", *memory.SEARCH_KEYS)
+    asked = again.withColumnRenamed("error_id", "query_id")
+    found = memory.similar_by_vector(asked, again, 4)
+    want = {(r.query_id, r.error_id): r.distance for r in memory.similar_errors(asked, again, 4).collect()}
+    assert {(r.query_id, r.error_id): r.distance for r in found.collect()} == want
+    vectors = asked.select("embedding", *memory.SEARCH_KEYS).distinct().count()
+    searched = {f.rsplit("/", 1)[0] for f in found.inputFiles() if "/vectors-" in f}
+    assert len(searched) == 1 and spark.read.parquet(*searched).count() == vectors < asked.count()
+    twice = memory.similar_by_vector(asked.union(asked), again.union(again), 4)
+    # of four rows all are one error's
+    assert twice.groupBy("query_id").count().filter("count > 1").count() == 0
