@@ -3,11 +3,16 @@
 The state of a job is its latest event. A repeated or older event changes nothing. While a job is processing a timer
 runs in event time; when the watermark passes it, the job ends as an error. An end that arrives later
 still counts.
+
+Jobs are dealt into buckets by a hash, and a bucket's jobs are kept and stepped together, with one timer for the first
+of them that is due: a call into Python costs milliseconds, a job in it microseconds. A job that has ended
+before the watermark is forgotten, as whatever may still come of it is later and counts anyway; so a bucket holds the
+running jobs and those of the last ``delay``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,63 +22,78 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from glossaleaf.operators import store
 
 RUNNING = "processing"
-KEPT = "at_ms long, diary_id string, status string, message string"
-CHANGE = f"job_id string, {KEPT}"
+COLUMNS = ["job_id", "at_ms", "diary_id", "status", "message"]
+CHANGE = "job_id string, at_ms long, diary_id string, status string, message string"
+# the same by column, a value per job
+KEPT = "job_id array<string>, at_ms array<long>, diary_id array<string>, status array<string>, message array<string>"
+BUCKETS = 4_096
 
 
 def stuck_message(minutes: int) -> str:
     return f"no end within {minutes} minutes"
 
 
-def changes(events: DataFrame, minutes: int, delay: str) -> DataFrame:
+def changes(events: DataFrame, minutes: int, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """A stream of (job_id, at_ms, diary_id, status, message): each job's state whenever it has changed.
 
     ``events`` has the columns of ``STATUS_EVENTS``. ``delay`` is how late an event may come; one that is
     later is dropped. Of events of one millisecond an end counts before ``processing``, then the
-    greater status and message.
+    greater status and message. Give ``buckets`` so many that a bucket's running and recent jobs are a few
+    thousand; the number is fixed once a checkpoint has begun.
     """
     limit = minutes * 60_000
+    stuck = stuck_message(minutes)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = tuple(state.get) if state.exists else None
-        now = before
-        if state.hasTimedOut:
-            now = (now[0], now[1], "error", stuck_message(minutes))
+        kept = {row[0]: row[1:] for row in zip(*state.get)} if state.exists else {}
+        before = dict(kept)
         for batch in batches:
-            for row in zip(batch["at_ms"], batch["diary_id"], batch["status"], batch["message"]):
-                if now is None or _place(row) > _place(now) and (row[0] > now[0] or now[3] != stuck_message(minutes)):
-                    now = (int(row[0]), *row[1:])
-        if now is None:
-            return
-        if now[2] == RUNNING:
+            for job, *row in zip(*(batch[c] for c in COLUMNS)):
+                now = kept.get(job)
+                if now is None or _place(row) > _place(now) and (row[0] > now[0] or now[3] != stuck):
+                    kept[job] = (int(row[0]), *row[1:])
+        watermark = state.getCurrentWatermarkMs()
+        due = None
+        for job, now in kept.items():
+            if now[2] != RUNNING:
+                continue
             # the watermark may have passed the limit already
-            if now[0] + limit < state.getCurrentWatermarkMs():
-                now = (now[0], now[1], "error", stuck_message(minutes))
+            if now[0] + limit < watermark:
+                kept[job] = (now[0], now[1], "error", stuck)
             else:
-                state.setTimeoutTimestamp(max(now[0] + limit, state.getCurrentWatermarkMs() + 1))
-        if now != before:
-            state.update(now)
-            yield pd.DataFrame([(key[0], *now)], columns=["job_id", "at_ms", "diary_id", "status", "message"])
+                due = now[0] + limit if due is None else min(due, now[0] + limit)
+        changed = [(job, *now) for job, now in kept.items() if now != before.get(job)]
+        # later batches bring nothing from before the watermark
+        held = [(job, *now) for job, now in kept.items() if now[2] == RUNNING or now[0] >= watermark]
+        if held:
+            state.update(tuple(list(column) for column in zip(*held)))
+            if due is not None:
+                state.setTimeoutTimestamp(max(due, watermark + 1))
+        elif state.exists:
+            state.remove()
+        if changed:
+            yield pd.DataFrame(changed, columns=COLUMNS)
 
     # a time with a zone, as watermarks need; milliseconds, as timers have
     at = F.col("ts").cast("timestamp")
     timed = events.withColumn("at", at).withColumn("at_ms", F.unix_millis(at)).withWatermark("at", delay)
     rows = timed.select("job_id", "at", "at_ms", "diary_id", "status", F.coalesce("message", F.lit("")).alias("message"))
-    return rows.groupBy("job_id").applyInPandasWithState(step, CHANGE, KEPT, "update", GroupStateTimeout.EventTimeTimeout)
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")).groupBy("bucket")
+    return dealt.applyInPandasWithState(step, CHANGE, KEPT, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def _place(row: tuple) -> tuple:
+def _place(row: Sequence) -> tuple:
     return row[0], row[2] != RUNNING, row[2], row[3]
 
 
-def run(events: DataFrame, minutes: int, delay: str, out: str, checkpoint: str):
+def run(events: DataFrame, minutes: int, delay: str, out: str, checkpoint: str, buckets: int = BUCKETS):
     """Writes the changes of each micro-batch to a folder of its own, which a repeat replaces."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
-        changes(events, minutes, delay).writeStream.foreachBatch(write).outputMode("update")
+        changes(events, minutes, delay, buckets).writeStream.foreachBatch(write).outputMode("update")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

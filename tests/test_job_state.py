@@ -55,3 +55,29 @@ def test_repeated_and_older_events_change_nothing(stream):
 
 def test_an_end_of_the_same_moment_counts(stream):
     assert stream.arrive(("a", 10, "completed"), ("a", 10, "processing")) == {"a": ("completed", "")}
+
+
+def test_jobs_share_few_states_and_ended_ones_are_forgotten(spark):
+    arrivals, out, state = (fresh_path(spark, x) for x in ("events", "out", "state"))
+
+    def arrive(jobs, minute, status):
+        rows = [(f"j{n}", f"d{n}", START + timedelta(minutes=minute, seconds=n % 50), status, "") for n in jobs]
+        spark.createDataFrame(rows, STATUS_EVENTS).write.mode("append").parquet(arrivals)
+        reader = spark.readStream.schema(STATUS_EVENTS).parquet(arrivals)
+        stream = job_state.run(reader, 30, "10 minutes", out, state, buckets=4)
+        stream.awaitTermination()
+        held = spark.read.format("statestore").load(state).select("value.groupState.job_id").collect()
+        found = {r.job_id: r.status for r in job_state.read(spark, out).collect()}
+        return found, len(held), sum(len(r.job_id) for r in held)
+
+    first = {f"j{n}": "processing" for n in range(200)}
+    assert arrive(range(200), 0, "processing") == (first, 4, 200)
+    ended = first | {f"j{n}": "completed" for n in range(180)}
+    assert arrive(range(180), 5, "completed") == (ended, 4, 200)
+    # past the limit the last 20 are stuck; of all jobs only the new ones need to be known
+    late = ended | {f"j{n}": "error" for n in range(180, 200)} | {f"j{n}": "processing" for n in range(200, 300)}
+    found, states, jobs = arrive(range(200, 300), 60, "processing")
+    assert found == late and states <= 4 and jobs == 100
+    # an older event of a forgotten job changes nothing, a later one counts
+    assert arrive(range(150, 200), 20, "processing")[0] == late
+    assert arrive(range(190, 200), 61, "completed")[0] == late | {f"j{n}": "completed" for n in range(190, 200)}
