@@ -16,8 +16,10 @@ SEARCH_KEYS = ["language_annotation_text", "language_diary_text", "model_id_embe
 RULE_KEYS = ["language_annotation_text", "language_diary_text", "error_rule", "category"]
 
 MAX_BROADCAST_GROUPS = 100_000
-QUERY_BLOCK = 4_096
-MEMORY_BLOCK = 8_192
+# rows of a side that a task holds, at most; of long vectors fewer, so that they hold no more than BLOCK_NUMBERS
+QUERY_BLOCK = 32_768
+MEMORY_BLOCK = 32_768
+BLOCK_NUMBERS = 1 << 22
 # numbers of a distance matrix, or of gathered vectors, that a task holds at once
 TILE = 1 << 20
 FOUND = "query_id long, error_id long, distance double"
@@ -77,10 +79,10 @@ def similar_errors(
 
     ``queries`` has query_id and ``memory`` has error_id (longs); both have ``embedding``
     and the group columns. Both sides are cut into blocks of bounded size and every pair of
-    blocks is one small task, so a group that holds a large share of all vectors becomes many
+    blocks is one task, so a group that holds a large share of all vectors becomes many
     tasks. Each task returns at most k rows per query; vector pairs never become rows. Every
     query meets every stored vector of its group: the cost is the product of the two, and a
-    block is sent once for each block of the other side.
+    block is sent once for each block of the other side, so blocks are as large as a task can hold.
     """
     group = group or SEARCH_KEYS
     queries = _with_vector(queries).select("query_id", "embedding", *group)
@@ -116,12 +118,10 @@ def _block_pairs(
     queries: DataFrame, memory: DataFrame, k: int, group: list[str], exclude_same_id: bool
 ) -> DataFrame:
     def sizes(df: DataFrame, rows: int, name: str) -> DataFrame:
-        return df.groupBy(*group).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+        return df.groupBy(*group).agg(block_count(rows, F.max(F.size("embedding"))).alias(name))
 
     # one row per group and side: the block counts of both
-    blocks = sizes(queries, QUERY_BLOCK, "n_q").join(sizes(memory, MEMORY_BLOCK, "n_m"), group)
-    if blocks.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
-        blocks = F.broadcast(blocks)
+    blocks = beside(sizes(queries, QUERY_BLOCK, "n_q").join(sizes(memory, MEMORY_BLOCK, "n_m"), group))
 
     def numbered(df: DataFrame, row_id: str, own: str, count: str, other: str, other_count: str) -> DataFrame:
         return (
@@ -143,6 +143,17 @@ def _block_pairs(
     return left.cogroup(right).applyInPandas(search, FOUND)
 
 
+def block_count(rows: int, numbers: Column) -> Column:
+    """An aggregate: the blocks that the counted rows make, of at most ``rows`` and BLOCK_NUMBERS, if a vector has ``numbers``."""
+    held = F.least(F.lit(rows), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_NUMBERS) / numbers)))
+    return F.ceil(F.count("*") / held).cast("int")
+
+
+def beside(blocks: DataFrame) -> DataFrame:
+    """Counts by group that go to the rows, not the rows to them, unless the groups are very many."""
+    return F.broadcast(blocks) if blocks.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS else blocks
+
+
 def arrays(part: pd.DataFrame, row_id: str) -> tuple[np.ndarray, np.ndarray]:
     return part[row_id].to_numpy(), np.stack(part["embedding"].to_numpy()).astype("float64")
 
@@ -174,7 +185,11 @@ def nearest(
     for at in range(0, len(queries), at_once):
         ids, block = query_ids[at: at + at_once], queries[at: at + at_once]
         norms = (block**2).sum(axis=1)
-        rough = norms[:, None] + error_norms[None, :] - 2.0 * (block @ errors.T)
+        # in place: one array of all pairs
+        rough = block @ errors.T
+        rough *= -2.0
+        rough += norms[:, None]
+        rough += error_norms
         if exclude_same_id:
             rough[ids[:, None] == error_ids[None, :]] = np.inf
         if among is not None:
@@ -183,15 +198,20 @@ def nearest(
         last = min(k, rough.shape[1]) - 1
         limit = np.partition(rough, last, axis=1)[:, last: last + 1]
         rows, columns = np.nonzero((rough <= limit + room) & np.isfinite(rough))
+        some = []
         for start in range(0, len(rows), pairs_at_once):
             r, c = rows[start: start + pairs_at_once], columns[start: start + pairs_at_once]
             exact = ((block[r] - errors[c]) ** 2).sum(axis=1)
-            found.append(
+            some.append(
                 keep(pd.DataFrame({"query_id": ids[r], "error_id": error_ids[c], "distance": exact}), k)
             )
+        if some:
+            found.append(keep(pd.concat(some), k) if len(some) > 1 else some[0])
     if not found:
         return pd.DataFrame({"query_id": [], "error_id": [], "distance": []})
-    return keep(pd.concat(found), k)
+    every = pd.concat(found)
+    # only an id that comes twice may have hits of several rounds
+    return every if len(np.unique(query_ids)) == len(query_ids) else keep(every, k)
 
 
 def similar_by_vector(queries: DataFrame, memory: DataFrame, k: int = 10, group: list[str] | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ from glossaleaf.session import materialize
 # vectors that the pivots are chosen from, at most
 SAMPLE = 5_000
 BANDS = 64
+QUERY_BLOCK = 4_096
 BLOCK = ["pivot", "band", "part"]
 # bounds are widened by this share, for the rounding of distances
 ROOM = 1e-9
@@ -113,7 +114,7 @@ def plan(
 
     asking = queries.filter(F.size("embedding") > 0).select("query_id", "embedding", *group)
     away = asking.select("query_id", *group, _distances(F.col("embedding"), chosen, pivots).alias("away"))
-    parts = away.groupBy(*group).agg(F.ceil(F.count("*") / memory.QUERY_BLOCK).cast("int").alias("n_q"))
+    parts = away.groupBy(*group).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("n_q"))
     left = away.join(parts, group).withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("n_q")).cast("int")).drop("n_q")
     right = blocks.join(parts, group).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))).drop("n_q")
     need = k + exclude_same_id
@@ -167,7 +168,7 @@ def similar_errors(
 
 def found(known: Plan, k: int, exclude_same_id: bool) -> DataFrame:
     block = [*known.group, *BLOCK]
-    parts = known.asked.groupBy(*block).agg(F.ceil(F.count("*") / memory.QUERY_BLOCK).cast("int").alias("n_q"))
+    parts = known.asked.groupBy(*block).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("n_q"))
     left = known.asked.join(parts, block).withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("n_q")).cast("int"))
     # an inner join: a block that nobody asks stays where it is
     right = known.stored.drop("away").join(parts, block).withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))

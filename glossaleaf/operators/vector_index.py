@@ -11,6 +11,7 @@ in the same task: only a query's k nearest of a list leave it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +27,11 @@ from glossaleaf.session import materialize
 SAMPLE = 20_000
 ROUNDS = 12
 CODEWORDS = 256
-# queries of a task, and vectors of one list that meet them there
-QUERY_BLOCK = 4_096
-CODE_BLOCK = 8_192
+# queries of a task, and vectors of one list that meet them there, at most; fewer if they are long
+QUERY_BLOCK = 32_768
+CODE_BLOCK = 32_768
+# coded vectors that one choice of the best by codes is made for
+CHOICE = 8_192
 
 
 @dataclass
@@ -53,14 +56,10 @@ class Model:
             out[:, p] = np.argmin((book**2).sum(axis=1) - 2.0 * (left[:, p] @ book.T), axis=1)
         return out
 
-    def rough_distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances between queries and the coded vectors of one list: sums of looked-up parts."""
-        left = self.parts(queries - self.centres[which])
-        out = np.zeros((len(queries), len(codes)))
-        for p, book in enumerate(self.books):
-            table = ((left[:, p, None] - book[None]) ** 2).sum(axis=2)
-            out += table[:, codes[:, p]]
-        return out
+    def decoded(self, which: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors of one list as their codes give them."""
+        left = [book[codes[:, p]] for p, book in enumerate(self.books)]
+        return self.centres[which] + np.concatenate(left, axis=1)
 
 
 def _centres(vectors: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -168,9 +167,9 @@ def search(
     Each query asks its ``probes`` nearest lists. By the codes, its ``again`` * k best of each list are
     chosen, and those are ranked by squared Euclidean distance, ties by error_id. A
     near error in a list that was not asked, or with a misleading code, is missed. Raise ``probes`` up
-    to the number of lists and ``again`` for more recall. Queries and lists are cut into blocks, so
-    a large list is several tasks, and of each block a query's k nearest are returned, whatever
-    ``again`` is.
+    to the number of lists and ``again`` for more recall. Queries and lists are cut into blocks, as large as
+    a task can hold, so a very large list is several tasks. As many are chosen by the codes for each ``CHOICE``
+    vectors of a block, and its k nearest are returned, whatever ``again`` is.
     """
     group = group or memory.SEARCH_KEYS
     spark = queries.sparkSession
@@ -191,9 +190,11 @@ def search(
     codes = stored(spark, path, lists).select("error_id", "code", "embedding", "list", *group)
 
     pair = [*group, "list"]
-    sizes = codes.groupBy(*pair).agg(F.ceil(F.count("*") / CODE_BLOCK).cast("int").alias("n_c")).join(
-        asked.groupBy(*pair).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("n_q")), pair
+    numbers = F.lit(model.centres.shape[1])
+    sizes = codes.groupBy(*pair).agg(memory.block_count(CODE_BLOCK, numbers).alias("n_c")).join(
+        asked.groupBy(*pair).agg(memory.block_count(QUERY_BLOCK, numbers).alias("n_q")), pair
     )
+    sizes = memory.beside(sizes)
 
     def blocked(df: DataFrame, row_id: str, own: str, count: str, other: str, other_count: str) -> DataFrame:
         mine = df.join(sizes, pair).withColumn(own, F.pmod(F.xxhash64(row_id), F.col(count)).cast("int"))
@@ -204,17 +205,18 @@ def search(
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "error_id": [], "distance": []})
         which = int(right["list"].iloc[0])
-        found = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
+        known = model.decoded(which, np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1))
+        norms = (known**2).sum(axis=1)
+        # a query's own record may be one of the best, and is left out later
+        n = most * math.ceil(len(right) / CHOICE) + exclude_same_id
 
         def by_codes(some: np.ndarray) -> np.ndarray:
-            rough = model.rough_distances(some, which, found)
+            rough = norms - 2.0 * (some @ known.T)
             chosen = np.zeros(rough.shape, bool)
-            # a query's own record may be one of the best, and is left out later
-            n = most + exclude_same_id
             np.put_along_axis(chosen, np.argpartition(rough, n - 1, axis=1)[:, :n], True, axis=1)
             return chosen
 
-        among = by_codes if most + exclude_same_id < len(right) else None
+        among = by_codes if n < len(right) else None
         near = memory.nearest(
             *memory.arrays(left, "query_id"), *memory.arrays(right, "error_id"), k, exclude_same_id, among
         )

@@ -140,3 +140,63 @@ def test_distances_are_held_a_few_at_a_time():
         assert len(found) == 10 * len(asked) and most < 60e6
         away = ((stored - asked[77]) ** 2).sum(axis=1)
         assert found[found.query_id == 77].error_id.tolist() == np.argsort(away)[:10].tolist()
+
+
+def sent(found):
+    """Rows that were sent to the pairs of blocks, by side."""
+    found.collect()
+
+    def below(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from below(node.children().apply(i))
+
+    scan = next(n for n in below(found._jdf.queryExecution().executedPlan()) if n.nodeName() == "FlatMapCoGroupsInPandas")
+    sides = [scan.children().apply(i) for i in range(2)]
+    exchanges = [next(n for n in below(side) if n.nodeName() == "Exchange") for side in sides]
+    return [e.metrics().apply("shuffleRecordsWritten").value() for e in exchanges]
+
+
+def test_no_row_is_sent_twice_to_a_group_that_a_task_can_hold(spark, monkeypatch):
+    """10,000 rows of one group: each goes once, or once for each list that it asks."""
+    numbers = F.array(F.rand(1).cast("float"), F.rand(2).cast("float"))
+    stored = spark.range(10_000).select(F.col("id").alias("error_id"), F.lit("a").alias("g"), numbers.alias("embedding")).cache()
+    path = fresh_path(spark, "index")
+    vector_index.create(stored, path, lists=2, parts=1)
+    vector_index.append(path, stored, GROUP)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        assert sent(memory.similar_errors(as_queries(stored), stored, 1, GROUP)) == [10_000, 10_000]
+        assert sent(vector_index.search(path, as_queries(stored), 1, probes=2, group=GROUP)) == [20_000, 10_000]
+        # but no task gets more numbers than it can hold
+        monkeypatch.setattr(memory, "BLOCK_NUMBERS", 10_000)
+        assert sent(memory.similar_errors(as_queries(stored).filter("query_id < 10"), stored, 1, GROUP)) == [20, 10_000]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+
+
+def test_long_vectors_make_small_blocks(spark):
+    blocks = [memory.block_count(memory.QUERY_BLOCK, F.lit(n)).alias(str(n)) for n in (2, 64, 1024, 1 << 23)]
+    assert list(spark.range(32_000).agg(*blocks).first()) == [1, 1, 8, 32_000]
+
+
+def test_a_list_of_several_choices_chooses_for_each(spark, monkeypatch):
+    """Lists cut into smaller choices are re-ranked from more codes, never fewer."""
+    rng = np.random.default_rng(2)
+    data = [(i, "a", v.tolist()) for i, v in enumerate(rng.normal(size=(900, 8)))]
+    stored = spark.createDataFrame(data, "error_id long, g string, embedding array<float>").cache()
+    path = fresh_path(spark, "index")
+    vector_index.create(stored, path, lists=1, parts=2, sample=300)
+    vector_index.append(path, stored, GROUP)
+    asked = as_queries(stored).filter("query_id < 100")
+    want = memory.similar_errors(asked, stored, 5, GROUP)
+
+    def hits():
+        got = vector_index.search(path, asked, 5, probes=1, again=1, group=GROUP)
+        return vector_index.recall(got, want).first().n_found
+
+    few = hits()
+    monkeypatch.setattr(vector_index, "CHOICE", 90)
+    assert few < 500 and hits() > few
+    monkeypatch.setattr(vector_index, "CHOICE", 5)
+    assert hits() == 500
