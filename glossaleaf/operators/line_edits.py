@@ -55,7 +55,10 @@ def _lines(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:
 
 def _anchors(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., _new, _at) of the chain's lines, on both sides."""
-    counts = lines.groupBy(*keys, "_line").agg(
+    # which lines are equal is told by 32 bytes at most: short lines stand for themselves
+    digest = F.unhex(F.sha2("_line", 256))
+    named = F.when(F.octet_length("_line") < 32, F.col("_line").cast("binary")).otherwise(digest)
+    counts = lines.groupBy(*keys, named.alias("_name")).agg(
         F.count_if("_new").alias("_n_new"),
         F.count_if(~F.col("_new")).alias("_n_old"),
         F.max(F.when(~F.col("_new"), F.col("_at"))).alias("_old_at"),

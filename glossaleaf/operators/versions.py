@@ -15,6 +15,9 @@ from glossaleaf.functions.rows import settled
 from glossaleaf.operators import line_edits, ordered, store
 from glossaleaf.session import materialize
 
+# hashes of 8 bytes that every task gets
+MAX_BROADCAST_ENTRIES = 2_000_000
+
 
 def version_numbers(
     changes: DataFrame, entry: str, order: list[str], spread: bool = True, stored: str | None = None
@@ -34,6 +37,18 @@ def with_stored_version(changes: DataFrame, entry: str, entries: DataFrame) -> D
     return changes.join(known, changes[entry] == known["_id"], "left").drop("_id")
 
 
+def _with_several(rows: DataFrame, entry: str) -> DataFrame:
+    """``rows`` without those of entries with one row, in which nothing can change.
+
+    Hashes of the entries are compared; two entries with one hash only keep rows that could go.
+    """
+    hashes = rows.groupBy(F.xxhash64(entry).alias("_hash")).agg(F.count("*").alias("_rows"))
+    several = materialize(hashes.filter("_rows > 1").select("_hash"), "several-versions")
+    if several.limit(MAX_BROADCAST_ENTRIES + 1).count() > MAX_BROADCAST_ENTRIES:
+        return rows
+    return rows.join(F.broadcast(several), F.xxhash64(entry) == F.col("_hash"), "left_semi")
+
+
 def version_pairs(
     versions: DataFrame, entry: str, order: list[str], text: str, spread: bool = True, stored: str | None = None
 ) -> DataFrame:
@@ -41,15 +56,28 @@ def version_pairs(
 
     The first text of an entry is version 0, or the version in the column ``stored``; an edit
     that changes nothing is no edit and raises no version.
+
+    Texts are written once, those of entries with one text not at all. Only their SHA-256 digests are
+    ordered, numbered and compared; the texts of real edits are then met by the number of their row.
     """
-    cols = versions.select(entry, *order, text, *([stored] if stored else []))
-    # the texts are written once: real edits are counted where the pairs are made
-    paired = ordered.with_previous(cols, entry, order, "_n", {text: "old_text"}, spread, changes={text: "version_to"})
-    paired = paired.withColumnRenamed(text, "new_text")
-    edits = paired.filter((F.col("_n") > 1) & (F.col("old_text") != F.col("new_text"))).drop("_n")
+    kept = [entry, *order, *([stored] if stored else [])]
+    rows = _with_several(versions.select(*kept, text), entry)
+    rows = rows.withColumns({"_digest": F.unhex(F.sha2(text, 256)), "_row": F.monotonically_increasing_id()})
+    # written once: a row's number must not change between its readers
+    rows = materialize(rows, "version-texts")
+    before, changes = {"_digest": "_old_digest", "_row": "_old_row"}, {"_digest": "version_to"}
+    # rows alike in their order stay as they came
+    paired = ordered.with_previous(rows.drop(text), entry, [*order, "_row"], "_n", before, spread, changes=changes)
+    edits = paired.filter((F.col("_n") > 1) & (F.col("_old_digest") != F.col("_digest")))
     if stored:
-        edits = edits.withColumn("version_to", F.col("version_to") + F.coalesce(F.col(stored), F.lit(0))).drop(stored)
-    return edits.withColumn("version_from", F.col("version_to") - 1)
+        edits = edits.withColumn("version_to", F.col("version_to") + F.coalesce(F.col(stored), F.lit(0)))
+    edits = edits.select(entry, *order, "version_to", F.col("_row").alias("_new_row"), "_old_row")
+    # alike but for the names, so that the texts move once for both
+    for side in ("new", "old"):
+        edits = edits.join(rows.select(F.col("_row").alias(f"_{side}_row"), F.col(text).alias(f"{side}_text")), f"_{side}_row")
+    return edits.select(
+        entry, *order, "new_text", "old_text", "version_to", (F.col("version_to") - 1).alias("version_from")
+    )
 
 
 @F.pandas_udf(T.StringType())

@@ -100,3 +100,32 @@ def test_lines_meet_no_join(spark):
     pairs = spark.createDataFrame([(1, "a\nb\nc", "a\nc\nd"), (2, "x", "x\ny")], "pair int, old_text string, new_text string")
     plan = line_edits.line_edits(pairs, ["pair"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" in plan
+
+
+def test_lines_are_counted_by_their_digests(spark):
+    """Long lines do not go through the aggregate that finds the anchors."""
+    pairs = spark.createDataFrame([(1, "a\nb\nc", "a\nc\nd")], "pair int, old_text string, new_text string")
+    plan = line_edits.line_edits(pairs, ["pair"])._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.split("\n") if "HashAggregate(keys=[" in line]
+    assert keyed and not any("_line#" in line.split("keys=[")[1].split("]")[0] for line in keyed)
+
+
+def test_lines_of_any_length_anchor(spark):
+    rng = random.Random(9)
+    lines = [c * n for n in (1, 30, 31, 32, 33, 64, 5000) for c in ("a", "é", "\U0001f600")]
+    rows = []
+    for n in range(40):
+        old = [rng.choice(lines) for _ in range(rng.randint(1, 14))]
+        new = [x for x in old if rng.random() < 0.7]
+        for _ in range(rng.randint(0, 4)):
+            new.insert(rng.randint(0, len(new)), rng.choice(lines))
+        rows.append(("e", n, "\n".join(old), "\n".join(new)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    edits = {}
+    for e in line_edits.line_edits(df, KEYS).collect():
+        edits.setdefault(e.version, []).append(e)
+    for _, n, old, new in rows:
+        a, b, anchors = lines_and_anchors(old, new)
+        mine = edits.get(n, [])
+        assert made(a, mine) == b
+        assert len(a) - sum(e.op == "delete" for e in mine) >= anchors

@@ -1,11 +1,14 @@
 import difflib
 import json
+import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from glossaleaf.operators import ordered, versions
+from glossaleaf.session import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +82,54 @@ def test_pairs_and_line_changes_against_plain_python(skewed, spread):
     assert as_set(changes, "entry", "version_to", "change", "line", "n") == lines
 
 
+def sizes(spark):
+    """Bytes of each file in the shared folder."""
+    top = Path(shared_dir(spark).removeprefix("file:"))
+    return {f: f.stat().st_size for f in top.rglob("*.parquet")}
+
+
+def test_texts_of_entries_with_one_text_are_not_written(spark):
+    rng = random.Random(5)
+    rows = [(f"k{i}", 0, "".join(rng.choices("abcdefghij ", k=2000))) for i in range(300)]
+    rows += [("k7", 1, "second"), ("k7", 2, "third")]
+    texts = spark.createDataFrame(rows, "entry string, seq int, text string")
+    before = sizes(spark)
+    got = as_set(versions.version_pairs(texts, "entry", ["seq"], "text"), "version_to", "old_text", "new_text")
+    assert got == Counter([(1, rows[7][2], "second"), (2, "second", "third")])
+    assert sum(n for f, n in sizes(spark).items() if f not in before) < 300 * 2000 / 10
+
+
+def test_only_digests_are_ordered(skewed):
+    """Texts go through no window and no aggregate, only to the pairs that hold them."""
+    plan = versions.version_pairs(skewed, "entry", ["seq"], "text")._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line or "Aggregate(" in line]
+    assert windows and not any("text" in line for line in windows)
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+@pytest.mark.parametrize("spread", [False, True])
+def test_pairs_with_and_without_sent_hashes(spark, monkeypatch, spread, most):
+    monkeypatch.setattr(versions, "MAX_BROADCAST_ENTRIES", most)
+    rows = [
+        ("a", 1, "x"), ("a", 2, "y"), ("a", 3, None), ("a", 4, "z"), ("a", 5, "z"), ("a", 6, "y"), ("a", 6, "y"),
+        ("b", 1, "x"), ("c", 1, "x"), ("c", 2, "x"), ("d", None, "x"), ("d", 1, ""),
+    ]
+    texts = spark.createDataFrame(rows, "entry string, seq int, text string")
+    pairs = versions.version_pairs(texts, "entry", ["seq"], "text", spread)
+    assert pairs.columns == ["entry", "seq", "new_text", "old_text", "version_to", "version_from"]
+    want = [("a", 2, "y", "x", 1, 0), ("a", 6, "y", "z", 2, 1), ("d", 1, "", "x", 1, 0)]
+    assert as_set(pairs, *pairs.columns) == Counter(want)
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_stored_text_comes_before_an_edit_without_time(spark, spread):
+    entries = spark.createDataFrame([(f"e{i}", "old", 0) for i in range(40)], "primary_id string, diary_rewritten string, current_version int")
+    edits = spark.createDataFrame([(f"e{i}", None, "new") for i in range(40)], "primary_id string, at int, text string")
+    updated, records = versions.edit_texts(entries, edits, "diary_rewritten", spread)
+    assert {r.diary_rewritten for r in updated.collect()} == {"new"}
+    assert records.count() == 40
+
+
 def test_diff_text(spark):
     df = spark.createDataFrame([("a\nb", "a\nc"), ("x", "x\ny")], "old_text string, new_text string")
     got = [json.loads(r.changes)["diary_rewritten"] for r in versions.text_changes(df, "diary_rewritten").collect()]
